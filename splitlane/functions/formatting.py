@@ -19,15 +19,20 @@ def pretty_round(value: Column, places: int | None = None) -> Column:
     )
 
 
+def _label(pattern: str, value: Column) -> Column:
+    # format_string would print a missing value as the text "null".
+    return F.when(value.isNotNull(), F.format_string(pattern, value))
+
+
 def signed_pp(value: Column) -> Column:
     """A fraction as signed percentage points, such as ``+0.89pp``."""
-    return F.format_string("%+.2fpp", F.round(value * 100.0, 2))
+    return _label("%+.2fpp", F.round(value * 100.0, 2))
 
 
 def percent(value: Column, places: int = 1) -> Column:
     """A fraction as a percentage, such as ``91.8%``."""
-    return F.format_string(f"%.{places}f%%", F.round(value * 100.0, places))
+    return _label(f"%.{places}f%%", F.round(value * 100.0, places))
 
 
 def money(value: Column) -> Column:
-    return F.format_string("$%.2f", F.round(value, 2))
+    return _label("$%.2f", F.round(value, 2))

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
 # The tracking contract's enum members and step order.
 VARIANTS = ("control", "treatment")
@@ -24,33 +23,29 @@ EVENT_NAMES = (
 )
 
 
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
-
 # Timestamps arrive as ISO-8601 text and are parsed by the reader. `date` is the
 # partition column: the day a funnel started, which is not always the event's day.
-RAW_SCHEMAS: dict[str, T.StructType] = {
-    "add_to_cart": _struct(
+RAW_SCHEMAS: dict[str, str] = {
+    "add_to_cart": (
         "user_id string, session_id string, timestamp string, cart_value double,"
         " items_count bigint, variant string, date date"
     ),
-    "begin_checkout": _struct(
+    "begin_checkout": (
         "user_id string, checkout_id string, timestamp string, variant string, date date"
     ),
-    "checkout_step_view": _struct(
+    "checkout_step_view": (
         "checkout_id string, step_name string, step_index bigint, timestamp string,"
         " variant string, latency_ms bigint, date date"
     ),
-    "form_error": _struct(
+    "form_error": (
         "checkout_id string, step_name string, field_name string, error_code string,"
         " timestamp string, variant string, date date"
     ),
-    "payment_attempt": _struct(
+    "payment_attempt": (
         "checkout_id string, payment_method string, authorized boolean,"
         " timestamp string, variant string, date date"
     ),
-    "order_completed": _struct(
+    "order_completed": (
         "order_id string, checkout_id string, user_id string, timestamp string,"
         " order_value double, currency string, variant string, date date"
     ),
