@@ -25,7 +25,6 @@ PRESET_RULES: dict[str, dict[str, float]] = {
     "aov": {"max_drop_pct": 1.0},
     "payment_latency_p95": {"max_increase_ms": 150.0},
 }
-RULE_SCHEMA = "metric string, rule_type string, threshold double"
 
 
 def read_rule(rule: Mapping[str, float]) -> tuple[str, float]:
@@ -43,8 +42,17 @@ def read_rule(rule: Mapping[str, float]) -> tuple[str, float]:
 def rules_table(
     spark: SparkSession, rules: Mapping[str, Mapping[str, float]] = PRESET_RULES
 ) -> DataFrame:
-    rows = [(metric, *read_rule(rule)) for metric, rule in rules.items()]
-    return spark.createDataFrame(rows, RULE_SCHEMA)
+    rows = []
+    for metric, rule in rules.items():
+        rule_type, threshold = read_rule(rule)
+        rows.append(
+            F.struct(
+                F.lit(metric).alias("metric"),
+                F.lit(rule_type).alias("rule_type"),
+                F.lit(threshold).alias("threshold"),
+            )
+        )
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def guardrail_delta(base: Column, treated: Column, rule_type: Column) -> Column:

@@ -113,16 +113,14 @@ def adjust_p_values(tests: DataFrame, family: str, p: str) -> DataFrame:
     """Bonferroni, Holm and Benjamini-Hochberg p-values within each family.
 
     Input is one row per test; a family is as long as the number of tests in it.
+    Tests without a p-value rank last, count for nothing and get NULLs.
     """
     everyone = Window.partitionBy(family)
-    ordered = everyone.orderBy(p, "test")
+    ordered = everyone.orderBy(F.asc_nulls_last(p), "test")
     upwards = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     downwards = ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    ranked = tests.where(F.col(p).isNotNull()).withColumns(
-        {
-            "_m": F.count(F.lit(1)).over(everyone),
-            "_rank": F.row_number().over(ordered),
-        }
+    ranked = tests.withColumns(
+        {"_m": F.count(p).over(everyone), "_rank": F.row_number().over(ordered)}
     )
     stepped = ranked.withColumns(
         {
@@ -130,14 +128,18 @@ def adjust_p_values(tests: DataFrame, family: str, p: str) -> DataFrame:
             "_bh": F.col(p) * F.col("_m") / F.col("_rank"),
         }
     )
-    one = F.lit(1.0)
+    one, tested = F.lit(1.0), F.col(p).isNotNull()
+
+    def capped(value: Column) -> Column:
+        return F.when(tested, F.least(one, value))
+
     return stepped.select(
         family,
         "test",
         p,
-        F.least(one, F.col(p) * F.col("_m")).alias("bonferroni"),
-        F.least(one, F.max("_holm").over(upwards)).alias("holm"),
-        F.least(one, F.min("_bh").over(downwards)).alias("benjamini_hochberg"),
+        capped(F.col(p) * F.col("_m")).alias("bonferroni"),
+        capped(F.max("_holm").over(upwards)).alias("holm"),
+        capped(F.min("_bh").over(downwards)).alias("benjamini_hochberg"),
     )
 
 

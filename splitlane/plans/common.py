@@ -14,6 +14,10 @@ from splitlane.sources.activity_log import read_activity_log
 from splitlane.sources.contract import EventTables
 
 PLACES = 6
+# Sums of doubles may differ in their last bits between runs and engines. This nudge
+# is far above those bits and far below the last place shown, so that a value halfway
+# between two roundings goes the same way everywhere.
+NUDGE = 1.000000000001
 
 
 class Query(NamedTuple):
@@ -27,7 +31,7 @@ def presentable(df: DataFrame) -> DataFrame:
     def shown(field: T.StructField):
         col = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.DoubleType):
-            col = F.round(col, PLACES)
+            col = F.round(col * F.lit(NUDGE), PLACES)
         elif isinstance(field.dataType, T.DateType):
             col = col.cast("string")
         elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
@@ -134,7 +138,7 @@ def with_tables(*ctes: str, select: str) -> str:
 
 def r(expression: str, name: str | None = None) -> str:
     """A double rounded as the Spark result is."""
-    return f"round({expression}, {PLACES}) AS {name or expression}"
+    return f"round(({expression}) * {NUDGE!r}::DOUBLE, {PLACES}) AS {name or expression}"
 
 
 def day(expression: str = "date", name: str = "date") -> str:

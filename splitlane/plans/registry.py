@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from splitlane.plans import foundation
+from splitlane.plans import drilldowns, experiments, foundation, measures
 from splitlane.plans.common import Query
 
 QUERIES: dict[str, Query] = {
     **foundation.QUERIES,
+    **measures.QUERIES,
+    **experiments.QUERIES,
+    **drilldowns.QUERIES,
 }

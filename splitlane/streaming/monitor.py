@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from splitlane.functions.clock import epoch_seconds
 from splitlane.operators.guardrails import PRESET_RULES, evaluate, rules_table
 from splitlane.operators.quality import side_by_side
 from splitlane.sources.activity_log import events_from_activity_log
@@ -14,6 +15,7 @@ from splitlane.sources.contract import EventTables
 from splitlane.sources.sinks import shared_folder
 
 LATENESS = "2 hours"
+DAY_SECONDS = 86_400
 
 
 def outcome_stream(events: EventTables) -> DataFrame:
@@ -42,7 +44,10 @@ def outcome_stream(events: EventTables) -> DataFrame:
         F.lit(1).alias("ordered"),
         "order_value",
     )
-    return payments.unionByName(orders)
+    # Watermarks need an instant: the wall clock is read as UTC in any session.
+    return payments.unionByName(orders).withColumn(
+        "timestamp", F.timestamp_seconds(epoch_seconds(F.col("timestamp")))
+    )
 
 
 def daily_outcomes(outcomes: DataFrame, lateness: str = LATENESS) -> DataFrame:
@@ -50,6 +55,7 @@ def daily_outcomes(outcomes: DataFrame, lateness: str = LATENESS) -> DataFrame:
 
     A day is emitted when no event of it can arrive any more; later rows are dropped.
     """
+    day = F.floor(F.unix_seconds("window.start") / DAY_SECONDS).cast("int")
     return (
         outcomes.withWatermark("timestamp", lateness)
         .dropDuplicatesWithinWatermark(["event_key"])
@@ -61,7 +67,7 @@ def daily_outcomes(outcomes: DataFrame, lateness: str = LATENESS) -> DataFrame:
             F.sum("order_value").alias("order_value"),
         )
         .select(
-            F.to_date("window.start").alias("date"),
+            F.date_from_unix_date(day).alias("date"),
             "variant",
             "total_attempts",
             "authorized",
