@@ -6,16 +6,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Sums of doubles may differ in their last bits between runs and engines. This nudge
+# is far above those bits and far below any place shown, so that a value halfway
+# between two roundings always goes away from zero.
+NUDGE = 1.000000000001
+
+
+def settled(value: Column, places: int) -> Column:
+    """Rounded half away from zero, however the last bits of ``value`` fell."""
+    return F.round(value * F.lit(NUDGE), places)
+
+
 def pretty_round(value: Column, places: int | None = None) -> Column:
     """Fewer decimals the larger the value, unless ``places`` fixes them."""
     if places is not None:
-        return F.round(value, places)
+        return settled(value, places)
     size = F.abs(value)
     return (
-        F.when(size >= 100, F.round(value, 1))
-        .when(size >= 1, F.round(value, 2))
-        .when(size >= 0.01, F.round(value, 3))
-        .otherwise(F.round(value, 4))
+        F.when(size >= 100, settled(value, 1))
+        .when(size >= 1, settled(value, 2))
+        .when(size >= 0.01, settled(value, 3))
+        .otherwise(settled(value, 4))
     )
 
 
@@ -26,13 +37,13 @@ def _label(pattern: str, value: Column) -> Column:
 
 def signed_pp(value: Column) -> Column:
     """A fraction as signed percentage points, such as ``+0.89pp``."""
-    return _label("%+.2fpp", F.round(value * 100.0, 2))
+    return _label("%+.2fpp", settled(value * 100.0, 2))
 
 
 def percent(value: Column, places: int = 1) -> Column:
     """A fraction as a percentage, such as ``91.8%``."""
-    return _label(f"%.{places}f%%", F.round(value * 100.0, places))
+    return _label(f"%.{places}f%%", settled(value * 100.0, places))
 
 
 def money(value: Column) -> Column:
-    return _label("$%.2f", F.round(value, 2))
+    return _label("$%.2f", settled(value, 2))

@@ -18,7 +18,12 @@ from splitlane.operators.metrics import (
 )
 from splitlane.operators.quality import side_by_side
 from splitlane.operators.readout import tested_cells, two_proportion_daily
-from splitlane.operators.skew import HEAVY_ROWS, exact_percentiles, with_neighbour
+from splitlane.operators.skew import (
+    HEAVY_ROWS,
+    exact_percentiles,
+    salted_lookup,
+    with_neighbour,
+)
 from splitlane.sources.contract import EventTables
 
 SLOW_MS = 3000
@@ -33,19 +38,12 @@ def _rows(name: str) -> Column:
     return F.count(F.lit(1)).alias(name)
 
 
-def checkout_flags(events: EventTables) -> DataFrame:
-    """One row per (checkout, variant) and which tables mention it.
+def checkout_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row per (checkout, variant): in how many rows of each table it occurs.
 
-    One aggregation over the four checkout tables replaces a chain of joins: rows
-    combine per checkout before the shuffle and meet in it once.
+    One aggregation over the tables replaces a chain of joins: rows combine per
+    checkout before the shuffle and meet in it once.
     """
-    tables = {
-        "begun": events.begin_checkout,
-        "viewed": events.checkout_step_view,
-        "paid": events.payment_attempt,
-        "ordered": events.order_completed,
-        "failed": events.form_error,
-    }
     out = None
     for name, df in tables.items():
         part = df.select(
@@ -62,19 +60,18 @@ def checkout_flags(events: EventTables) -> DataFrame:
 # --- conversion and funnel -------------------------------------------------------
 
 
-def gross_conversion(events: EventTables) -> DataFrame:
-    """Sessions with a cart whose user ordered on the session's day, per variant."""
-    sessions = (
-        events.add_to_cart.groupBy("session_id", "date", "user_id", "variant")
-        .agg(F.lit(1).alias("_one"))
-        .drop("_one")
-    )
-    buyers = user_days(events).where("converted").select("date", "user_id", "variant")
-    marked = sessions.join(
-        buyers.withColumn("_bought", F.lit(True)), ["date", "user_id", "variant"], "left"
+def gross_conversion(events: EventTables, min_rows: int = HEAVY_ROWS) -> DataFrame:
+    """Sessions with a cart whose user ordered on the session's day, per variant.
+
+    A user may own very many sessions of a day, hence the salted lookup.
+    """
+    unit = ["date", "user_id", "variant"]
+    sessions = events.add_to_cart.select("session_id", *unit).distinct()
+    marked = salted_lookup(
+        sessions, user_days(events), unit, ["session_id"], min_rows=min_rows
     )
     per_session = marked.groupBy("session_id", "variant").agg(
-        F.max(F.col("_bought").isNotNull()).alias("converted")
+        F.max("converted").alias("converted")
     )
     return (
         per_session.groupBy("variant")
@@ -134,15 +131,10 @@ def segment_cut(units: DataFrame, segment: str, alpha: float = 0.05) -> DataFram
 
 def new_or_returning(events: EventTables) -> DataFrame:
     """User-days marked ``new`` on the user's first cart day, else ``returning``."""
-    first = events.add_to_cart.groupBy("user_id").agg(F.min("date").alias("_first"))
-    return (
-        user_days(events)
-        .join(first, "user_id")
-        .withColumn(
-            "segment",
-            F.when(F.col("date") == F.col("_first"), "new").otherwise("returning"),
-        )
-        .drop("_first")
+    # A user has at most one unit per day and variant, so the window stays short.
+    first = F.min("date").over(Window.partitionBy("user_id"))
+    return user_days(events).withColumn(
+        "segment", F.when(F.col("date") == first, "new").otherwise("returning")
     )
 
 
@@ -188,7 +180,8 @@ def error_mix(events: EventTables, top: int = 10) -> DataFrame:
 
 def multi_error_sessions(events: EventTables, threshold: int = 3) -> DataFrame:
     """Checkouts with errors: how many had several, and how many still ordered."""
-    failed = checkout_flags(events).where(F.col("failed") > 0)
+    tables = {"failed": events.form_error, "ordered": events.order_completed}
+    failed = checkout_counts(tables).where(F.col("failed") > 0)
     return (
         failed.groupBy("variant")
         .agg(
@@ -399,10 +392,7 @@ def payment_retry_rate(events: EventTables) -> DataFrame:
 
 def _hourly_units(events: EventTables) -> DataFrame:
     """User-days with the hour of their first cart that day."""
-    first = events.add_to_cart.groupBy("date", "user_id", "variant").agg(
-        F.hour(F.min("timestamp")).alias("hour")
-    )
-    return user_days(events).join(first, ["date", "user_id", "variant"])
+    return user_days(events, timed=True).withColumn("hour", F.hour("first_cart_at"))
 
 
 def ccr_by_hour(events: EventTables) -> DataFrame:

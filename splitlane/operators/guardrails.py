@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from splitlane.functions.formatting import settled
 from splitlane.operators.metrics import guardrails_daily
 from splitlane.operators.quality import side_by_side
 from splitlane.sources.contract import EventTables
@@ -93,10 +94,10 @@ def _message() -> Column:
     told = F.concat(
         word,
         F.lit(" of "),
-        F.format_string("%.3f", F.round("delta", 3)),
+        F.format_string("%.3f", settled(F.col("delta"), 3)),
         unit,
         F.lit(" against a limit of "),
-        F.format_string("%.3f", F.round("threshold", 3)),
+        F.format_string("%.3f", settled(F.col("threshold"), 3)),
         unit,
         F.lit(": "),
         verdict,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from splitlane.functions.formatting import settled
 from splitlane.sources.contract import EventTables
 
 STEP_KEYS = ["checkout_id", "step_name"]
@@ -86,8 +87,8 @@ def step_progression(steps: DataFrame) -> DataFrame:
     checkouts = F.count_distinct("checkout_id")
     return steps.groupBy("step_name", "step_index").agg(
         checkouts.alias("checkouts"),
-        F.round(F.avg("median_latency_ms"), 0).alias("avg_median_latency_ms"),
-        F.round(F.sum("error_events") * F.lit(100.0) / checkouts, 1).alias(
+        settled(F.avg("median_latency_ms"), 0).alias("avg_median_latency_ms"),
+        settled(F.sum("error_events") * F.lit(100.0) / checkouts, 1).alias(
             "error_rate_pct"
         ),
     )

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from splitlane.functions.formatting import settled
 from splitlane.operators import marts
 from splitlane.operators.dates import EVENT, PARTITION, day_of, on_day
 from splitlane.sources.contract import EventTables
@@ -15,7 +16,7 @@ Day = dt.date | str | None
 
 
 def pct(part: Column, whole: Column, places: int = 1) -> Column:
-    return F.round(F.try_divide(part * F.lit(100.0), whole), places)
+    return settled(F.try_divide(part * F.lit(100.0), whole), places)
 
 
 def zero_if_absent(name: str) -> Column:
@@ -26,29 +27,36 @@ def distinct_per(df: DataFrame, by: list[str | Column], key: str, name: str) ->
     return df.groupBy(*by).agg(F.count_distinct(key).alias(name))
 
 
-def user_days(events: EventTables, day: Day = None, all_days: bool = True) -> DataFrame:
+def user_days(
+    events: EventTables, day: Day = None, all_days: bool = True, timed: bool = False
+) -> DataFrame:
     """One row per (partition day, user, variant) with a cart; did they order that day?
 
     Carts and orders meet in one aggregation instead of a join of two distinct sets,
-    so the unit table costs a single shuffle of pre-combined rows.
+    so the unit table costs a single shuffle of pre-combined rows. ``timed`` adds
+    ``first_cart_at``.
     """
     keys = ["date", "user_id", "variant"]
     carts, orders = events.add_to_cart, events.order_completed
     if not all_days:
         carts = on_day(carts, events, PARTITION, day)
         orders = on_day(orders, events, PARTITION, day)
+    cart_time = F.when(F.col("_added"), F.col("timestamp"))
+    extra = [F.min(cart_time).alias("first_cart_at")] if timed else []
     # An order without a variant or user matches no cart.
     matched = F.col("variant").isNotNull() & F.col("user_id").isNotNull()
+    columns = [*keys, *(["timestamp"] if timed else [])]
     touches = carts.select(
-        *keys, F.lit(True).alias("_added"), F.lit(False).alias("_ordered")
+        *columns, F.lit(True).alias("_added"), F.lit(False).alias("_ordered")
     ).unionAll(
-        orders.select(*keys, F.lit(False).alias("_added"), matched.alias("_ordered"))
+        orders.select(*columns, F.lit(False).alias("_added"), matched.alias("_ordered"))
     )
     return (
         touches.groupBy(*keys)
         .agg(
             F.max("_added").alias("_added"),
             F.max("_ordered").alias("converted"),
+            *extra,
         )
         .where("_added")
         .drop("_added")
@@ -193,7 +201,7 @@ def _rounded_guardrails(payments: DataFrame, orders: DataFrame, keys: list[str])
     return payments.join(orders, keys).select(
         *keys,
         pct(F.col("authorized"), F.col("total_attempts")).alias("auth_rate_pct"),
-        F.round("aov", 2).alias("avg_order_value"),
+        settled(F.col("aov"), 2).alias("avg_order_value"),
     )
 
 

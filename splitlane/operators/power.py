@@ -46,18 +46,32 @@ def unit_key() -> Column:
     return F.concat_ws(":", F.col("user_id"), F.col("date").cast("string"))
 
 
-def replicated(units: DataFrame, repeats: int, salt: str) -> DataFrame:
-    """Every unit once per replicate with its digest and re-dealt variant."""
+def with_digests(
+    units: DataFrame, keep: list[str], repeats: int, salt: str
+) -> DataFrame:
+    """Every unit once per replicate, with the digest that decides its fate there.
+
+    The work per unit grows by the number of replicates, so units are first spread
+    over all shuffle partitions: adaptive execution sizes partitions by their bytes
+    before this step and would leave the hashing to too few tasks.
+    """
+    slots = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        units.select(unit_key().alias("unit"), "converted")
+        units.select(unit_key().alias("unit"), *keep)
+        .repartition(slots, "unit")
         .withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
         .withColumn(
             "digest", salted_digest("unit", F.concat(F.lit(salt), F.col("replicate")))
         )
-        .withColumn("variant", variant_of_digest(F.col("digest")))
     )
 
 
+def replicated(units: DataFrame, repeats: int, salt: str) -> DataFrame:
+    """Every unit once per replicate with its re-dealt variant."""
+    dealt = with_digests(units, ["converted"], repeats, salt)
+    return dealt.withColumn("variant", variant_of_digest(F.col("digest")))
+
+
 def _in_sample(pct: int) -> Column:
     return draw(F.col("digest"), SAMPLE_SLOT) < draw_threshold(pct / 100)
 

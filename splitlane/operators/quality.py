@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from splitlane.functions.formatting import settled
 from splitlane.functions.inference import two_proportion_test
 from splitlane.operators import marts
 from splitlane.operators.metrics import (
@@ -28,22 +29,31 @@ SHOWN_CHARS = 20
 # --- referential integrity -------------------------------------------------------
 
 
-def _orphan_keys(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
-    """Keys without a parent and how many rows carry them.
+def _key_presence(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """Per key: how many rows carry it and whether a parent has it.
 
-    Rows collapse to one per key before the anti-join, so a key owning a large share
-    of the rows weighs no more than any other.
+    Both tables meet in one aggregation, so rows combine per key before the shuffle
+    and a key owning a large share of them weighs no more than any other. A missing
+    key has no parent.
     """
-    carried = rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-    return carried.join(parents.select(key).distinct(), key, "left_anti")
+    known = F.col(key).isNotNull()
+    return (
+        rows.select(key, F.lit(1).alias("_row"), F.lit(False).alias("_parent"))
+        .unionAll(parents.select(key, F.lit(0), known))
+        .groupBy(key)
+        .agg(F.sum("_row").alias("rows"), F.max("_parent").alias("has_parent"))
+    )
+
+
+def _orphan_keys(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    presence = _key_presence(rows, parents, key)
+    return presence.where(~F.col("has_parent") & (F.col("rows") > 0))
 
 
 def _integrity(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
-    carried = rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-    known = parents.select(key).distinct().withColumn("_known", F.lit(True))
-    orphaned = F.when(F.col("_known").isNull(), F.col("rows")).otherwise(F.lit(0))
+    orphaned = F.when(F.col("has_parent"), 0).otherwise(F.col("rows"))
     return (
-        carried.join(known, key, "left")
+        _key_presence(rows, parents, key)
         .agg(
             F.coalesce(F.sum("rows"), F.lit(0)).alias("total"),
             F.coalesce(F.sum(orphaned), F.lit(0)).alias("orphans"),
@@ -67,29 +77,27 @@ def _first_rows(
 ) -> DataFrame:
     """The first ``limit`` rows by (key, detail) among ``keys``.
 
-    They all lie in the first ``limit`` keys, so only those few are broadcast.
+    They all lie in the first ``limit`` keys, so only those few are broadcast. A
+    missing key sorts first.
     """
-    wanted = keys.select(key).orderBy(key).limit(limit)
+    wanted = keys.select(F.col(key).alias("_wanted")).orderBy("_wanted").limit(limit)
+    same = F.col(key).eqNullSafe(F.col("_wanted"))
     return (
-        rows.join(F.broadcast(wanted), key, "left_semi")
+        rows.join(F.broadcast(wanted), same, "left_semi")
         .select(F.col(key).alias("key"), F.col(detail).alias("detail"))
         .orderBy("key", "detail")
         .limit(limit)
     )
 
 
-def _null_key_first(rows: DataFrame, key: str) -> DataFrame:
-    return rows.where(F.col(key).isNotNull())
-
-
 def orphan_order_sample(events: EventTables, limit: int = SAMPLE_ROWS) -> DataFrame:
-    orders = _null_key_first(events.order_completed, "checkout_id")
+    orders = events.order_completed
     keys = _orphan_keys(orders, events.begin_checkout, "checkout_id")
     return _first_rows(orders, keys, "checkout_id", "order_id", limit)
 
 
 def orphan_step_sample(events: EventTables, limit: int = SAMPLE_ROWS) -> DataFrame:
-    views = _null_key_first(events.checkout_step_view, "checkout_id")
+    views = events.checkout_step_view
     keys = _orphan_keys(views, events.begin_checkout, "checkout_id")
     return _first_rows(views, keys, "checkout_id", "step_name", limit)
 
@@ -106,7 +114,7 @@ def early_steps(events: EventTables, min_rows: int = HEAVY_ROWS) -> DataFrame:
         "checkout_id", "user_id", F.col("timestamp").alias("begin_ts")
     )
     joined = salted_lookup(
-        begun, first, "checkout_id", ["user_id", "begin_ts"], min_rows=min_rows
+        begun, first, ["checkout_id"], ["user_id", "begin_ts"], min_rows=min_rows
     )
     return joined.where(F.col("first_step_ts") < F.col("begin_ts"))
 
@@ -366,7 +374,7 @@ def _aa_verdict(events: EventTables) -> DataFrame:
         "control_adders",
         "treatment_orderers",
         "treatment_adders",
-        F.round("p_value", 4),
+        settled(F.col("p_value"), 4),
     )
     message = F.when(F.col("invalid_reason").isNull(), detail).otherwise(
         F.col("invalid_reason")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from splitlane.functions.assignment import draw, draw_threshold, salted_digest
+from splitlane.functions.assignment import draw, draw_threshold
 from splitlane.functions.inference import two_proportion_test
 from splitlane.functions.normal import two_sided_p
 from splitlane.operators.metrics import guardrails_daily, user_days
-from splitlane.operators.power import replicated, unit_key
+from splitlane.operators.power import replicated, with_digests
 from splitlane.operators.quality import side_by_side
 from splitlane.operators.readout import two_proportion_daily
 from splitlane.sources.contract import EventTables
@@ -52,14 +52,9 @@ def bootstrap_ci(
     Each user-day draws its own weight in each resample, so resamples need no
     central sampling and reduce to two sums per arm before any shuffle.
     """
-    units = user_days(events)
+    dealt = with_digests(user_days(events), ["variant", "converted"], repeats, salt)
     resampled = (
-        units.select(unit_key().alias("unit"), "variant", "converted")
-        .withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-        .withColumn(
-            "digest", salted_digest("unit", F.concat(F.lit(salt), F.col("replicate")))
-        )
-        .withColumn("weight", poisson_weight(F.col("digest")))
+        dealt.withColumn("weight", poisson_weight(F.col("digest")))
         .groupBy("replicate", "variant")
         .agg(
             F.sum("weight").alias("adders"),

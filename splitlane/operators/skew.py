@@ -24,21 +24,23 @@ SALTS = 256
 
 
 def heavy_keys(
-    df: DataFrame, key: str, share: float = HEAVY_SHARE, min_rows: int = HEAVY_ROWS
+    df: DataFrame,
+    key: list[str],
+    share: float = HEAVY_SHARE,
+    min_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Keys owning more than ``share`` of the rows: at most ``1 / share`` of them."""
     total = df.agg(F.count(F.lit(1))).scalar()
     floor = F.greatest(total * F.lit(share), F.lit(float(min_rows)))
     return (
-        df.where(F.col(key).isNotNull())
-        .groupBy(key)
+        df.groupBy(*key)
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > floor)
-        .select(key, F.lit(True).alias("_heavy"))
+        .select(*key, F.lit(True).alias("_heavy"))
     )
 
 
-def _flag_heavy(df: DataFrame, heavy: DataFrame, key: str) -> DataFrame:
+def _flag_heavy(df: DataFrame, heavy: DataFrame, key: list[str]) -> DataFrame:
     flagged = df.join(F.broadcast(heavy), key, "left")
     return flagged.withColumn("_heavy", F.coalesce("_heavy", F.lit(False)))
 
@@ -46,7 +48,7 @@ def _flag_heavy(df: DataFrame, heavy: DataFrame, key: str) -> DataFrame:
 def salted_lookup(
     rows: DataFrame,
     per_key: DataFrame,
-    key: str,
+    key: list[str],
     spread: list[str],
     min_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
@@ -64,7 +66,7 @@ def salted_lookup(
         F.array(F.lit(0))
     )
     right = _flag_heavy(per_key, heavy, key).withColumn("_salt", F.explode(copies))
-    return left.drop("_heavy").join(right.drop("_heavy"), [key, "_salt"]).drop("_salt")
+    return left.drop("_heavy").join(right.drop("_heavy"), [*key, "_salt"]).drop("_salt")
 
 
 def with_neighbour(
@@ -84,9 +86,9 @@ def with_neighbour(
     row per (heavy key, minute).
     """
     order = [time, *tie_breaks]
-    heavy = heavy_keys(df, key, min_rows=min_rows)
+    heavy = heavy_keys(df, [key], min_rows=min_rows)
     minute = epoch_minutes(F.col(time))
-    cut = _flag_heavy(df, heavy, key).withColumn(
+    cut = _flag_heavy(df, heavy, [key]).withColumn(
         "_piece", F.when(F.col("_heavy"), minute).otherwise(F.lit(0).cast("bigint"))
     )
     look: Callable[[Column], Column] = F.lead if ahead else F.lag

@@ -10,14 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from splitlane.functions import normal
+from splitlane.functions.formatting import NUDGE, settled
 from splitlane.sources.activity_log import read_activity_log
 from splitlane.sources.contract import EventTables
 
 PLACES = 6
-# Sums of doubles may differ in their last bits between runs and engines. This nudge
-# is far above those bits and far below the last place shown, so that a value halfway
-# between two roundings goes the same way everywhere.
-NUDGE = 1.000000000001
 
 
 class Query(NamedTuple):
@@ -31,7 +28,7 @@ def presentable(df: DataFrame) -> DataFrame:
     def shown(field: T.StructField):
         col = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.DoubleType):
-            col = F.round(col * F.lit(NUDGE), PLACES)
+            col = settled(col, PLACES)
         elif isinstance(field.dataType, T.DateType):
             col = col.cast("string")
         elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):

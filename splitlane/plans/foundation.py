@@ -273,8 +273,8 @@ messages AS (
     ELSE count(*) || ' invalid values in ' || CAST(sum(rows) AS BIGINT) || ' rows' END
     FROM ({_profile_sql(ENUM_VALUES)}) WHERE NOT valid
   UNION ALL SELECT 'randomization balance',
-    'treatment share ' || printf('%.2f', round(count(*) FILTER (WHERE variant = 'treatment')
-      * 100.0::DOUBLE / count(*), 2)) || '% (band 48-52%)' FROM experiments
+    'treatment share ' || printf('%.2f', round((count(*) FILTER (WHERE variant = 'treatment')
+      * 100.0::DOUBLE / count(*)) * 1.000000000001::DOUBLE, 2)) || '% (band 48-52%)' FROM experiments
   UNION ALL SELECT 'timestamp order', CASE WHEN (SELECT count(*) FROM early_steps) = 0
     THEN 'all ' || count(DISTINCT checkout_id) || ' checkouts are in order'
     ELSE (SELECT count(*) FROM early_steps) || ' checkouts start before they begin; sample: '
@@ -283,11 +283,11 @@ messages AS (
     FROM checkout_step_view
   UNION ALL SELECT 'A/A difference', 'control ' || control_orderers || '/' || control_adders
     || ', treatment ' || treatment_orderers || '/' || treatment_adders
-    || ', p=' || printf('%.4f', round(p_value, 4)) FROM tested)""",
+    || ', p=' || printf('%.4f', round((p_value) * 1.000000000001::DOUBLE, 4)) FROM tested)""",
     select="""
 SELECT name, CASE name WHEN 'enum values' THEN message LIKE 'all %'
-    WHEN 'randomization balance' THEN (SELECT round(count(*) FILTER (WHERE
-      variant = 'treatment') * 100.0::DOUBLE / count(*), 2) BETWEEN 48 AND 52 FROM experiments)
+    WHEN 'randomization balance' THEN (SELECT round((count(*) FILTER (WHERE
+      variant = 'treatment') * 100.0::DOUBLE / count(*)) * 1.000000000001::DOUBLE, 2) BETWEEN 48 AND 52 FROM experiments)
     WHEN 'A/A difference' THEN (SELECT p_value >= 0.05 FROM tested)
     ELSE message LIKE 'all %' END AS passed, message
 FROM messages""",
@@ -418,7 +418,7 @@ FROM form_error GROUP BY 1, 2, 3"""
 SELECT variant, users, percentage,
   CASE WHEN variant = 'treatment' THEN percentage BETWEEN 48 AND 52 END AS in_band
 FROM (SELECT variant, count(*) AS users,
-  round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 2) AS percentage
+  round((count(*) * 100.0::DOUBLE / sum(count(*)) OVER ()) * 1.000000000001::DOUBLE, 2) AS percentage
   FROM experiments GROUP BY variant)""",
         ),
     ),
@@ -428,7 +428,7 @@ FROM (SELECT variant, count(*) AS users,
             NEWEST,
             select="""
 SELECT variant, count(DISTINCT user_id) AS users,
-  round(count(DISTINCT user_id) * 100.0::DOUBLE / sum(count(DISTINCT user_id)) OVER (), 1) AS pct
+  round((count(DISTINCT user_id) * 100.0::DOUBLE / sum(count(DISTINCT user_id)) OVER ()) * 1.000000000001::DOUBLE, 1) AS pct
 FROM add_to_cart WHERE date = (SELECT day FROM newest) GROUP BY variant""",
         ),
     ),

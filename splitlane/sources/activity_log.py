@@ -6,8 +6,7 @@ JSON object with an integer ``k``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from splitlane.functions.assignment import assign_variant
 from splitlane.sources.contract import (
@@ -18,79 +17,85 @@ from splitlane.sources.contract import (
 )
 
 
-def _pick(index: Column, names: tuple[str, ...]) -> Column:
-    return F.element_at(F.array(*map(F.lit, names)), (index + 1).cast("int"))
+def _pick(index: str, names: tuple[str, ...], alias: str) -> str:
+    cases = " ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(names))
+    return f"CASE {index} {cases} END AS {alias}"
 
 
 def events_from_activity_log(log: DataFrame) -> EventTables:
-    user_id = F.col("user_id").cast("string")
-    date = F.to_date("ts")
-    k = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
-    log = log.select(
+    log = log.selectExpr(
         "event_id",
         "event_type",
         "value",
-        user_id.alias("user_id"),
-        F.concat_ws(":", user_id, date.cast("string")).alias("checkout_id"),
-        F.col("ts").alias("timestamp"),
-        assign_variant(user_id).alias("variant"),
-        date.alias("date"),
-        k.alias("k"),
-    )
+        "CAST(user_id AS STRING) AS user_id",
+        "concat_ws(':', user_id, to_date(ts)) AS checkout_id",
+        "ts AS timestamp",
+        "to_date(ts) AS date",
+        "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k",
+    ).withColumn("variant", assign_variant("user_id"))
 
-    def of(kind: str) -> DataFrame:
-        return log.where(F.col("event_type") == kind)
+    def of(condition: str, *columns: str) -> DataFrame:
+        return log.where(condition).selectExpr(*columns)
 
-    step_index = F.col("k") % 4
     return EventTables(
-        add_to_cart=of("view").select(
+        add_to_cart=of(
+            "event_type = 'view'",
             "user_id",
-            F.col("checkout_id").alias("session_id"),
+            "checkout_id AS session_id",
             "timestamp",
-            F.col("value").alias("cart_value"),
-            (F.col("k") % 10 + 1).alias("items_count"),
+            "value AS cart_value",
+            "k % 10 + 1 AS items_count",
             "variant",
             "date",
         ),
-        begin_checkout=of("click")
+        begin_checkout=of(
+            "event_type = 'click'",
+            "user_id",
+            "checkout_id",
+            "timestamp",
+            "variant",
+            "date",
+        )
         .groupBy("user_id", "checkout_id", "variant", "date")
-        .agg(F.min("timestamp").alias("timestamp"))
-        .select("user_id", "checkout_id", "timestamp", "variant", "date"),
-        checkout_step_view=of("signup").select(
+        .agg({"timestamp": "min"})
+        .withColumnRenamed("min(timestamp)", "timestamp"),
+        checkout_step_view=of(
+            "event_type = 'signup'",
             "checkout_id",
-            _pick(step_index, STEP_NAMES).alias("step_name"),
-            step_index.alias("step_index"),
+            _pick("k % 4", STEP_NAMES, "step_name"),
+            "k % 4 AS step_index",
             "timestamp",
             "variant",
-            (F.floor(F.col("value") * 20) + 200).alias("latency_ms"),
+            "floor(value * 20) + 200 AS latency_ms",
             "date",
         ),
-        form_error=of("error").select(
+        form_error=of(
+            "event_type = 'error'",
             "checkout_id",
-            _pick(step_index, STEP_NAMES).alias("step_name"),
-            F.concat(F.lit("f"), F.col("k") % 5).alias("field_name"),
-            _pick(F.col("k") % 3, ERROR_CODES).alias("error_code"),
+            _pick("k % 4", STEP_NAMES, "step_name"),
+            "concat('f', k % 5) AS field_name",
+            _pick("k % 3", ERROR_CODES, "error_code"),
             "timestamp",
             "variant",
             "date",
         ),
-        payment_attempt=of("purchase").select(
+        payment_attempt=of(
+            "event_type = 'purchase'",
             "checkout_id",
-            _pick(F.col("k") % 2, PAYMENT_METHODS).alias("payment_method"),
-            (F.col("k") % 10 != 0).alias("authorized"),
+            _pick("k % 2", PAYMENT_METHODS, "payment_method"),
+            "k % 10 <> 0 AS authorized",
             "timestamp",
             "variant",
             "date",
         ),
-        order_completed=of("purchase")
-        .where(F.col("k") % 10 != 0)
-        .select(
-            F.col("event_id").cast("string").alias("order_id"),
+        order_completed=of(
+            "event_type = 'purchase' AND k % 10 <> 0",
+            "CAST(event_id AS STRING) AS order_id",
             "checkout_id",
             "user_id",
             "timestamp",
-            F.col("value").alias("order_value"),
-            F.lit("USD").alias("currency"),
+            "value AS order_value",
+            "'USD' AS currency",
             "variant",
             "date",
         ),
