@@ -9,7 +9,7 @@ from splitlane.functions.clock import seconds_between
 from splitlane.functions.inference import chi_square_even_split
 from splitlane.functions.normal import two_sided_p
 from splitlane.operators.dates import EVENT
-from splitlane.operators.guardrails import evaluate, rules_table
+from splitlane.operators.guardrails import evaluate
 from splitlane.operators.metrics import (
     conversions,
     guardrails_daily,
@@ -331,7 +331,7 @@ def latency_guardrail(events: EventTables) -> DataFrame:
         F.col("control_p95").alias("baseline"),
         F.col("treatment_p95").alias("treatment"),
     )
-    return evaluate(wide, rules_table(events.add_to_cart.sparkSession))
+    return evaluate(wide)
 
 
 def latency_bucket(ms: Column) -> Column:

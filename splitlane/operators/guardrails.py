@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splitlane.functions.formatting import settled
@@ -40,20 +40,21 @@ def read_rule(rule: Mapping[str, float]) -> tuple[str, float]:
     return found
 
 
-def rules_table(
-    spark: SparkSession, rules: Mapping[str, Mapping[str, float]] = PRESET_RULES
-) -> DataFrame:
-    rows = []
-    for metric, rule in rules.items():
+def rule_of(metric: Column, rules: Mapping[str, Mapping[str, float]]) -> Column:
+    """The rule of a metric as ``struct<rule_type, threshold>``; NULL without one.
+
+    Rules are a handful of literals, so they are looked up in a constant map.
+    """
+    entries: list[Column] = []
+    for name, rule in rules.items():
         rule_type, threshold = read_rule(rule)
-        rows.append(
+        entries += [
+            F.lit(name),
             F.struct(
-                F.lit(metric).alias("metric"),
-                F.lit(rule_type).alias("rule_type"),
-                F.lit(threshold).alias("threshold"),
-            )
-        )
-    return spark.range(1).select(F.inline(F.array(*rows)))
+                F.lit(rule_type).alias("rule_type"), F.lit(threshold).alias("threshold")
+            ),
+        ]
+    return F.try_element_at(F.create_map(*entries), metric)
 
 
 def guardrail_delta(base: Column, treated: Column, rule_type: Column) -> Column:
@@ -64,18 +65,20 @@ def guardrail_delta(base: Column, treated: Column, rule_type: Column) -> Column:
     return F.when(relative, F.try_divide(harm, base) * 100.0).otherwise(harm)
 
 
-def evaluate(metrics: DataFrame, rules: DataFrame) -> DataFrame:
-    """Judge ``metric, baseline, treatment`` rows by their rules.
-
-    Rows whose metric has no rule are left out. Rules are a short literal table, so
-    the join never shuffles the metrics.
-    """
-    joined = metrics.join(F.broadcast(rules), "metric")
+def evaluate(
+    metrics: DataFrame, rules: Mapping[str, Mapping[str, float]] = PRESET_RULES
+) -> DataFrame:
+    """Judge ``metric, baseline, treatment`` rows; metrics without a rule are left out."""
     base, treated = F.col("baseline"), F.col("treatment")
     known = base.isNotNull() & treated.isNotNull()
-    delta = guardrail_delta(base, treated, F.col("rule_type"))
+    ruled = (
+        metrics.withColumn("_rule", rule_of(F.col("metric"), rules))
+        .where(F.col("_rule").isNotNull())
+        .select("*", "_rule.rule_type", "_rule.threshold")
+        .drop("_rule")
+    )
     return (
-        joined.withColumn("delta", delta)
+        ruled.withColumn("delta", guardrail_delta(base, treated, F.col("rule_type")))
         .withColumn(
             "passed",
             F.coalesce(known & (F.col("delta") <= F.col("threshold")), F.lit(False)),
@@ -132,5 +135,4 @@ def daily_metric_rows(events: EventTables) -> DataFrame:
 def guardrail_eval(
     events: EventTables, rules: Mapping[str, Mapping[str, float]] = PRESET_RULES
 ) -> DataFrame:
-    spark = events.add_to_cart.sparkSession
-    return evaluate(daily_metric_rows(events), rules_table(spark, rules))
+    return evaluate(daily_metric_rows(events), rules)

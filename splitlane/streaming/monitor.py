@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splitlane.functions.clock import epoch_seconds
-from splitlane.operators.guardrails import PRESET_RULES, evaluate, rules_table
+from splitlane.operators.guardrails import PRESET_RULES, evaluate
 from splitlane.operators.quality import side_by_side
 from splitlane.sources.activity_log import events_from_activity_log
 from splitlane.sources.contract import EventTables
@@ -96,10 +96,7 @@ def judge_days(
         )
         for metric, column in (("payment_auth_rate", "auth_rate"), ("aov", "aov"))
     ]
-    return evaluate(
-        wide.select("date", F.inline(F.array(*rows))),
-        rules_table(days.sparkSession, rules),
-    )
+    return evaluate(wide.select("date", F.inline(F.array(*rows))), rules)
 
 
 def run_monitor(outcomes: DataFrame, out: str, checkpoint: str, lateness: str = LATENESS):
