@@ -33,62 +33,69 @@ def orders(events: EventTables) -> DataFrame:
     )
 
 
-def _step_latencies(events: EventTables) -> DataFrame:
-    """Views and errors reduced to one row per step and latency, then joined.
+def _error_counts(events: EventTables) -> DataFrame:
+    return events.form_error.groupBy(*STEP_KEYS).agg(F.count(F.lit(1)).alias("errors"))
 
-    Both sides have at most one row per key and latency before the join, so nothing
+
+def _step_mart(
+    events: EventTables, error_events: Column, accuracy: int | None
+) -> DataFrame:
+    """Views and errors reduced on both sides before they meet.
+
+    Views become one row per step and latency, errors one row per step, so nothing
     multiplies however often one checkout is viewed or fails.
     """
-    views = events.checkout_step_view.groupBy(*STEP_GRAIN, "latency_ms").agg(
-        F.count(F.lit(1)).alias("views"), F.min("timestamp").alias("first_seen_at")
-    )
-    errors = events.form_error.groupBy(*STEP_KEYS).agg(
-        F.count(F.lit(1)).alias("errors")
+    views = events.checkout_step_view.groupBy(
+        *STEP_GRAIN, *([] if accuracy else ["latency_ms"])
+    ).agg(
+        F.count(F.lit(1)).alias("views"),
+        F.min("timestamp").alias("first_seen_at"),
+        *([F.percentile_approx("latency_ms", 0.5, accuracy).alias("_median")] if accuracy else []),
     )
-    return views.join(errors, STEP_KEYS, "left").withColumn(
-        "errors", F.coalesce("errors", F.lit(0))
+    median = (
+        F.max("_median")
+        if accuracy
+        else F.percentile(F.col("latency_ms"), F.lit(0.5), F.col("views"))
     )
-
-
-def _step_mart(events: EventTables, weight: Column, errors: Column) -> DataFrame:
-    median = F.percentile(F.col("latency_ms"), F.lit(0.5), weight)
     return (
-        _step_latencies(events)
+        views.join(_error_counts(events), STEP_KEYS, "left")
+        .withColumn("errors", F.coalesce("errors", F.lit(0)))
         .groupBy(*STEP_GRAIN)
         .agg(
             F.min("first_seen_at").alias("first_seen_at"),
             F.floor(median).cast("int").alias("median_latency_ms"),
-            errors.alias("error_events"),
+            error_events.alias("error_events"),
         )
     )
 
 
-def checkout_steps(events: EventTables) -> DataFrame:
+def checkout_steps(events: EventTables, accuracy: int | None = None) -> DataFrame:
     """One row per checkout and step, counted as a join of raw views and errors would.
 
     In that join every view meets every error of its step: k views and e errors give
-    k * e error events, and each view weighs max(e, 1) in the median. The counts give
-    the same numbers without making those pairs.
+    k * e error events, which the counts give without making those pairs. Every view
+    is repeated equally often, which leaves the median as it is. ``accuracy`` asks
+    for an approximate median instead of the exact one.
     """
-    return _step_mart(
-        events,
-        weight=F.col("views") * F.greatest("errors", F.lit(1)),
-        errors=F.sum(F.col("views") * F.col("errors")),
-    )
+    return _step_mart(events, F.sum(F.col("views") * F.col("errors")), accuracy)
 
 
-def checkout_steps_exact(events: EventTables) -> DataFrame:
+def checkout_steps_exact(events: EventTables, accuracy: int | None = None) -> DataFrame:
     """One row per checkout and step; every view and every error counts once."""
-    return _step_mart(events, weight=F.col("views"), errors=F.max("errors"))
+    return _step_mart(events, F.max("errors"), accuracy)
 
 
 def step_progression(steps: DataFrame) -> DataFrame:
     """Checkouts, mean of median latencies and errors per 100 checkouts, by step."""
     checkouts = F.count_distinct("checkout_id")
-    return steps.groupBy("step_name", "step_index").agg(
-        checkouts.alias("checkouts"),
-        settled(F.avg("median_latency_ms"), 0).alias("avg_median_latency_ms"),
-        settled(F.sum("error_events") * F.lit(100.0) / checkouts, 1).alias(
-            "error_rate_pct"
-        ),
+    return (
+        steps.groupBy("step_name", "step_index")
+        .agg(
+            checkouts.alias("checkouts"),
+            settled(F.avg("median_latency_ms"), 0).alias("avg_median_latency_ms"),
+            settled(F.sum("error_events") * F.lit(100.0) / checkouts, 1).alias(
+                "error_rate_pct"
+            ),
+        )
+        .orderBy("step_index")
     )

@@ -115,6 +115,7 @@ def ccr_compact(events: EventTables, day: Day = None) -> DataFrame:
         .withColumn(
             "conditional_conversion_pct", pct(F.col("orders"), F.col("adders"))
         )
+        .orderBy("variant")
     )
 
 
@@ -256,7 +257,7 @@ def _funnel(events: EventTables, basis: str, day: Day) -> DataFrame:
         zero_if_absent("begin_checkout"),
         zero_if_absent("payment_attempts"),
         zero_if_absent("orders"),
-    )
+    ).orderBy("variant")
 
 
 def variant_funnel(events: EventTables, day: Day = None) -> DataFrame:
@@ -282,12 +283,15 @@ def event_counts_by_date(events: EventTables) -> DataFrame:
         )
         counts = part if counts is None else counts.unionByName(part)
     names = [name for name, _ in events.items()]
-    return counts.groupBy("date").pivot("event_type", names).sum("cnt").fillna(0)
+    table = counts.groupBy("date").pivot("event_type", names).sum("cnt").fillna(0)
+    return table.orderBy("date")
 
 
-def exposure_overview(events: EventTables) -> DataFrame:
+def exposure_overview(events: EventTables, rsd: float | None = None) -> DataFrame:
+    """Users and variants; ``rsd`` asks for approximate user counts of that error."""
+    users = F.approx_count_distinct("user_id", rsd) if rsd else F.count_distinct("user_id")
     return marts.experiments(events).agg(
-        F.count_distinct("user_id").alias("total_users"),
+        users.alias("total_users"),
         F.count_distinct("variant").alias("variants"),
     )
 
@@ -338,16 +342,19 @@ def latency_histogram(
 ) -> DataFrame:
     """Equal-width bins between the day's extremes; the last bin is closed.
 
-    Empty bins are not listed. A single-valued day falls into bin 0.
+    Empty bins are not listed. A single-valued day falls into bin 0. The extremes are
+    taken over the frequency table, which is as short as there are whole milliseconds.
     """
-    table = latency_frequency(events, day)
-    low = table.agg(F.min("latency_ms")).scalar()
-    high = table.agg(F.max("latency_ms")).scalar()
-    width = (high - low).cast("double") / bins
-    position = F.floor(F.try_divide(F.col("latency_ms") - low, width))
+    everything = Window.partitionBy()
+    low, high = (f("latency_ms").over(everything) for f in (F.min, F.max))
+    width = (F.col("_high") - F.col("_low")).cast("double") / bins
+    position = F.floor(F.try_divide(F.col("latency_ms") - F.col("_low"), F.col("_width")))
     index = F.least(F.coalesce(position, F.lit(0)), F.lit(bins - 1)).cast("int")
     return (
-        table.withColumns({"bin": index, "_low": low, "_width": width})
+        latency_frequency(events, day)
+        .withColumns({"_low": low, "_high": high})
+        .withColumn("_width", width)
+        .withColumn("bin", index)
         .groupBy("bin", "_low", "_width")
         .agg(F.sum("views").alias("views"))
         .select(

@@ -72,63 +72,59 @@ def replicated(units: DataFrame, repeats: int, salt: str) -> DataFrame:
     return dealt.withColumn("variant", variant_of_digest(F.col("digest")))
 
 
-def _in_sample(pct: int) -> Column:
-    return draw(F.col("digest"), SAMPLE_SLOT) < draw_threshold(pct / 100)
-
-
-def _cell(pct_index: int, name: str) -> str:
-    return f"_{pct_index}_{name}"
-
-
-def flip_thresholds(units: DataFrame, uplifts: tuple[float, ...]) -> Column:
-    """One scalar struct of draw thresholds, so no row computes a threshold itself.
+def traffic_facts(units: DataFrame, uplifts: tuple[float, ...]) -> Column:
+    """One scalar struct: a draw threshold per uplift, and the average daily units.
 
     Lifting a base rate p to p(1 + u) converts p * u / (1 - p) of the non-buyers.
+    As one subquery it runs once, and no row computes a threshold itself.
     """
     p = F.col("_rate")
-    rate = units.agg(F.avg(F.col("converted").cast("double")).alias("_rate"))
-    return rate.select(
-        F.struct(
-            *[
-                draw_threshold(
-                    F.coalesce(F.try_divide(p * u, 1.0 - p), F.lit(0.0))
-                ).alias(f"u{j}")
-                for j, u in enumerate(uplifts)
-            ]
-        )
-    ).scalar()
+    facts = units.agg(
+        F.avg(F.col("converted").cast("double")).alias("_rate"),
+        F.try_divide(F.count(F.lit(1)).cast("double"), F.count_distinct("date")).alias(
+            "per_day"
+        ),
+    )
+    cuts = [
+        draw_threshold(F.coalesce(F.try_divide(p * u, 1.0 - p), F.lit(0.0))).alias(f"u{j}")
+        for j, u in enumerate(uplifts)
+    ]
+    return facts.select(F.struct(*cuts, "per_day")).scalar()
 
 
-def replicate_counts(units: DataFrame, grid: PowerGrid = GRID) -> DataFrame:
+def replicate_counts(units: DataFrame, facts: Column, grid: PowerGrid) -> DataFrame:
     """Adders and orders per replicate, arm, sample size and uplift."""
-    bought = F.col("converted")
-    cuts = flip_thresholds(units, grid.uplifts)
-    dealt = replicated(units, grid.repeats, grid.salt)
-    treated = F.col("variant") == "treatment"
-
-    counts = []
-    for i, pct in enumerate(grid.sample_pcts):
-        sampled = _in_sample(pct)
-        counts.append(F.count_if(sampled).alias(_cell(i, "n")))
-        for j, uplift in enumerate(grid.uplifts):
-            flipped = treated & (
-                draw(F.col("digest"), FLIP_SLOT) < cuts.getField(f"u{j}")
-            )
-            counts.append(
-                F.count_if(sampled & (bought | flipped)).alias(_cell(i, f"u{j}"))
-            )
-    wide = dealt.groupBy("replicate", "variant").agg(*counts)
-    cells = [
-        F.struct(
-            F.lit(pct).alias("sample_pct"),
-            F.lit(uplift).alias("uplift"),
-            F.col(_cell(i, "n")).alias("adders"),
-            F.col(_cell(i, f"u{j}")).alias("orders"),
-        )
+    sampled = {
+        f"in_{i}": draw(F.col("digest"), SAMPLE_SLOT) < draw_threshold(pct / 100)
+        for i, pct in enumerate(grid.sample_pcts)
+    }
+    flipped = {
+        f"flip_{j}": (F.col("variant") == "treatment")
+        & (draw(F.col("digest"), FLIP_SLOT) < facts.getField(f"u{j}"))
+        for j in range(len(grid.uplifts))
+    }
+    points = [
+        (i, pct, j, uplift)
         for i, pct in enumerate(grid.sample_pcts)
         for j, uplift in enumerate(grid.uplifts)
     ]
-    return wide.select("replicate", "variant", F.inline(F.array(*cells)))
+    adders = [f"count_if(in_{i}) AS n_{i}" for i in range(len(grid.sample_pcts))]
+    orders = [
+        f"count_if(in_{i} AND (converted OR flip_{j})) AS hit_{i}_{j}"
+        for i, _, j, _ in points
+    ]
+    cells = ", ".join(
+        f"struct({pct} AS sample_pct, {uplift!r}D AS uplift, n_{i} AS adders,"
+        f" hit_{i}_{j} AS orders)"
+        for i, pct, j, uplift in points
+    )
+    return (
+        replicated(units, grid.repeats, grid.salt)
+        .withColumns({**sampled, **flipped})
+        .groupBy("replicate", "variant")
+        .agg(*map(F.expr, adders + orders))
+        .selectExpr("replicate", "variant", f"inline(array({cells}))")
+    )
 
 
 def _arms(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -141,14 +137,6 @@ def _arms(cells: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def users_per_day(units: DataFrame, pct: Column) -> Column:
-    """Average daily units in a sample of ``pct`` percent, rounded down."""
-    per_day = units.agg(
-        F.try_divide(F.count(F.lit(1)).cast("double"), F.count_distinct("date"))
-    ).scalar()
-    return F.floor(per_day * pct / 100.0).cast("bigint")
-
-
 def detection_grid(events: EventTables, grid: PowerGrid = GRID) -> DataFrame:
     """Share of replicates detecting each uplift at each sample size.
 
@@ -156,8 +144,9 @@ def detection_grid(events: EventTables, grid: PowerGrid = GRID) -> DataFrame:
     always the number of repeats.
     """
     units = user_days(events)
+    facts = traffic_facts(units, grid.uplifts)
     arms = _arms(
-        replicate_counts(units, grid), ["replicate", "sample_pct", "uplift"]
+        replicate_counts(units, facts, grid), ["replicate", "sample_pct", "uplift"]
     )
     tested = two_proportion_test(
         arms,
@@ -168,11 +157,12 @@ def detection_grid(events: EventTables, grid: PowerGrid = GRID) -> DataFrame:
         grid.alpha,
     )
     detected = F.coalesce(F.col("p_value") < grid.alpha, F.lit(False))
+    sample_per_day = facts.getField("per_day") * F.col("sample_pct") / 100.0
     return (
         tested.groupBy("sample_pct", "uplift")
         .agg(F.count_if(detected).alias("detections"))
         .select(
-            users_per_day(units, F.col("sample_pct")).alias("users_per_day"),
+            F.floor(sample_per_day).cast("bigint").alias("users_per_day"),
             "uplift",
             F.lit(grid.repeats).cast("bigint").alias("repeats"),
             "detections",
@@ -184,8 +174,10 @@ def detection_grid(events: EventTables, grid: PowerGrid = GRID) -> DataFrame:
 
 def grid_points(events: EventTables, grid: PowerGrid = GRID) -> DataFrame:
     """Every run of the grid with the arm sizes its re-randomization gives."""
+    units = user_days(events)
+    facts = traffic_facts(units, grid.uplifts)
     arms = _arms(
-        replicate_counts(user_days(events), grid), ["replicate", "sample_pct", "uplift"]
+        replicate_counts(units, facts, grid), ["replicate", "sample_pct", "uplift"]
     )
     return arms.select(
         "sample_pct",

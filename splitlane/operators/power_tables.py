@@ -62,15 +62,15 @@ def power_best_by_uplift(grid: DataFrame) -> DataFrame:
 
 def power_curve(grid: DataFrame) -> DataFrame:
     """Detection rate by positive uplift at the smallest and largest sample size."""
-    smallest = grid.agg(F.min("users_per_day")).scalar()
-    largest = grid.agg(F.max("users_per_day")).scalar()
+    everything = Window.partitionBy()
+    smallest = F.min("users_per_day").over(everything)
+    largest = F.max("users_per_day").over(everything)
     label = F.when(F.col("users_per_day") == smallest, "smallest").when(
         F.col("users_per_day") == largest, "largest"
     )
     return (
-        grid.where(F.col("uplift") > 0)
-        .withColumns({"size": label, "uplift_pct": F.col("uplift") * 100.0})
-        .where(F.col("size").isNotNull())
+        grid.withColumns({"size": label, "uplift_pct": F.col("uplift") * 100.0})
+        .where((F.col("uplift") > 0) & F.col("size").isNotNull())
         .groupBy("uplift_pct")
         .pivot("size", ["smallest", "largest"])
         .agg(F.first("detection_rate"))

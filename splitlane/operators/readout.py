@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from splitlane.functions.formatting import money, percent, pretty_round, signed_pp
@@ -118,12 +118,14 @@ def z_critical(events: EventTables, family_alpha: float = 0.05) -> DataFrame:
 
     Looking at the first d days spends ``family_alpha / d`` on each look.
     """
-    days = events.add_to_cart.select("date").distinct()
-    start = days.agg(F.min("date")).scalar()
+    start = F.min("date").over(Window.partitionBy())
     looks = F.date_diff(F.col("date"), start) + 1
-    return days.select(
-        "date", (F.lit(family_alpha) / looks).alias("alpha")
-    ).withColumn("z_crit", critical_value_of(F.col("alpha")))
+    return (
+        events.add_to_cart.select("date")
+        .distinct()
+        .withColumn("alpha", F.lit(family_alpha) / looks)
+        .withColumn("z_crit", critical_value_of(F.col("alpha")))
+    )
 
 
 def _decision_columns(plan: ExperimentPlan) -> dict[str, Column]:

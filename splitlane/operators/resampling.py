@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from splitlane.functions.assignment import draw, draw_threshold
+from splitlane.functions.assignment import draw, draw_threshold, variant_of_digest
 from splitlane.functions.inference import two_proportion_test
 from splitlane.functions.normal import two_sided_p
 from splitlane.operators.metrics import guardrails_daily, user_days
-from splitlane.operators.power import replicated, with_digests
+from splitlane.operators.power import with_digests
 from splitlane.operators.quality import side_by_side
 from splitlane.operators.readout import two_proportion_daily
 from splitlane.sources.contract import EventTables
@@ -73,25 +73,30 @@ def bootstrap_ci(
 def permutation_test(
     events: EventTables, repeats: int = 100, salt: str = "permute"
 ) -> DataFrame:
-    """Two-sided p-value of the observed effect among re-dealt labels."""
-    units = user_days(events)
+    """Two-sided p-value of the observed effect among re-dealt labels.
 
-    def counts(df: DataFrame, by: list[str]) -> DataFrame:
-        return df.groupBy(*by, "variant").agg(
-            F.count(F.lit(1)).alias("adders"),
-            F.count_if("converted").alias("orders"),
-        )
+    Each replicate counts its units by dealt and by real label in one pass, so the
+    observed effect needs no second look at the traffic.
+    """
 
-    observed = _rate_gap(
-        counts(units.withColumn("replicate", F.lit(-1)), ["replicate"]), ["replicate"]
-    )
-    dealt = _rate_gap(
-        counts(replicated(units, repeats, salt), ["replicate"]), ["replicate"]
+    def effect(label: str) -> str:
+        rates = [
+            f"try_divide(count_if({label} = '{v}' AND converted), count_if({label} = '{v}'))"
+            for v in ("treatment", "control")
+        ]
+        return " - ".join(rates)
+
+    dealt = with_digests(user_days(events), ["variant", "converted"], repeats, salt)
+    effects = (
+        dealt.withColumn("dealt", variant_of_digest(F.col("digest")))
+        .groupBy("replicate")
+        .agg(
+            F.expr(effect("dealt")).alias("effect"),
+            F.expr(effect("variant")).alias("observed"),
+        )
     )
-    observed_effect = observed.agg(F.max("effect")).scalar()
     return (
-        dealt.where(F.col("effect").isNotNull())
-        .withColumn("observed", observed_effect)
+        effects.where(F.col("effect").isNotNull())
         .groupBy("observed")
         .agg(
             F.count(F.lit(1)).alias("replicates"),

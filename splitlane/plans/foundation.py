@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitlane.operators import marts, metrics, quality, readout
+from splitlane.operators import marts, metrics, quality, readout, results
 from splitlane.operators.dates import most_recent_date
 from splitlane.plans.common import (
     EXPERIMENTS,
@@ -93,27 +93,46 @@ def mart_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-FUNNEL_SCHEMA = (
-    "variant string, adders bigint, begin_checkout bigint, payment_attempts bigint,"
-    " orders bigint"
-)
-SUMMARY_SCHEMA = (
-    "date date, variant string, rate double, ci_low double, ci_high double,"
-    " authorized bigint, total_attempts bigint, mean_order_value double,"
-    " order_count bigint"
-)
-
-
 def funnel_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = sinks.shared_folder(spark, "funnel-csv")
     sinks.write_csv(metrics.variant_funnel(read_activity_log(spark, sf_dir)), path)
-    return presentable(sinks.read_csv(spark, path, FUNNEL_SCHEMA))
+    return presentable(sinks.read_csv(spark, path, results.FUNNEL_ROW))
+
+
+def ccr_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = sinks.shared_folder(spark, "ccr-json")
+    sinks.write_json(results.ccr_records(read_activity_log(spark, sf_dir)), path)
+    stored = sinks.read_json(spark, path, results.CCR_RECORD)
+    arms = [
+        F.col(f"{v}.{name}").alias(f"{v}_{name}")
+        for v in VARIANTS
+        for name in ("adders", "orders", "ccr")
+    ]
+    return presentable(stored.select("*", *arms).drop(*VARIANTS))
 
 
 def guardrails_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = sinks.shared_folder(spark, "guardrails-json")
-    sinks.write_json(readout.guardrails_summary(read_activity_log(spark, sf_dir)), path)
-    return presentable(sinks.read_json(spark, path, SUMMARY_SCHEMA))
+    sinks.write_json(results.guardrails_records(read_activity_log(spark, sf_dir)), path)
+    stored = sinks.read_json(spark, path, results.GUARDRAILS_RECORD)
+    arms = [
+        F.struct(
+            F.lit(v).alias("variant"),
+            F.col(f"payment_authorization.{v}").alias("auth"),
+            F.col(f"average_order_value.{v}").alias("value"),
+        )
+        for v in VARIANTS
+    ]
+    rows = stored.select("date", F.inline(F.array(*arms))).where(F.col("auth").isNotNull())
+    return presentable(
+        rows.select(
+            "date",
+            "variant",
+            "auth.*",
+            F.col("value.mean").alias("mean_order_value"),
+            F.col("value.count").alias("order_count"),
+        )
+    )
 
 
 def run_metadata(events: EventTables) -> DataFrame:

@@ -24,6 +24,7 @@ from splitlane.plans.foundation import (
     EVENT_FUNNEL_SQL,
     FUNNEL_SQL,
     STEP_JOIN,
+    ccr_json,
     guardrails_json,
 )
 from splitlane.sources.contract import EVENT_NAMES
@@ -315,6 +316,17 @@ SELECT {day()}, control_adders, control_orders, {r('p_a', 'control_ccr')}, treat
   p_value < 0.05 AS significant FROM tested""",
         ),
     ),
+    "ccr_json_roundtrip": Query(
+        ccr_json,
+        with_tables(
+            FIRST_EXPOSURE,
+            tested_conversion("first_exposure", "date"),
+            select=f"""
+SELECT {day()}, control_adders, control_orders, {r('p_a', 'control_ccr')}, treatment_adders,
+  treatment_orders, {r('p_b', 'treatment_ccr')}, {r('effect_abs')}, {r('effect_rel')},
+  {r('p_value')}, {r('ci_low')}, {r('ci_high')}, p_value < 0.05 AS significant FROM tested""",
+        ),
+    ),
     "auth_rate_ci": Query(
         on_events(readout.auth_rate_ci),
         with_tables(

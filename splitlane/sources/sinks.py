@@ -67,8 +67,11 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", "false").json(path)
+def read_json(
+    spark: SparkSession, path: str, schema: str, multi_line: bool = False
+) -> DataFrame:
+    """JSON lines, or with ``multi_line`` one pretty-printed document per file."""
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

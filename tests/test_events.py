@@ -9,7 +9,7 @@ from frames import DAY, NEXT, begin, cart, error, one, order, payment, records,
 from pyspark.sql import functions as F
 
 from splitlane.functions.assignment import assign_variant, draw, draw_threshold
-from splitlane.operators import diagnostics, marts, metrics, quality, readout
+from splitlane.operators import diagnostics, marts, metrics, quality, readout, results
 from splitlane.sources import sinks
 from splitlane.sources.contract import CONTRACT_ENUMS, STEP_NAMES
 from splitlane.sources.lake import read_event, read_events, register_views
@@ -333,6 +333,42 @@ def test_views_marts_and_result_files(spark, tmp_path):
         assert sorted(map(tuple, back.collect())) == [("a", 1.5, None), ("b", None, 2)]
 
 
+def test_result_files_and_mart_tables_of_a_run(spark, tmp_path):
+    events = decision_events(spark, 400)
+    folder = str(tmp_path / "results")
+    results.save_results(events, folder, dt.datetime(2025, 1, 3), "abc", 42)
+    stored = one(sinks.read_json(spark, f"{folder}/ccr_summary", results.CCR_RECORD))
+    assert stored["treatment"] == {"adders": 400, "orders": 180, "ccr": 0.45}
+    assert stored["significant"] is True
+    guard = one(sinks.read_json(spark, f"{folder}/guardrails_summary", results.GUARDRAILS_RECORD))
+    assert guard["payment_authorization"]["control"]["authorized"] == 400
+    assert guard["average_order_value"]["treatment"] == {"mean": 10.0, "count": 180}
+    meta = one(spark.read.json(f"{folder}/_run_meta"))
+    assert (meta["date_analyzed"], meta["revision"], meta["seed"]) == ("2025-01-01", "abc", 42)
+    funnel = records(sinks.read_csv(spark, f"{folder}/variant_funnel", results.FUNNEL_ROW))
+    assert sorted(r["orders"] for r in funnel) == [100, 180]
+    spark.sql("CREATE DATABASE IF NOT EXISTS run_marts")
+    for _ in range(2):
+        results.build_marts(events, "run_marts", buckets=2)
+    assert spark.table("run_marts.fct_experiments").count() == 800
+    assert spark.table("run_marts.fct_orders").count() == 280
+
+
+def test_approximate_options(spark):
+    events = step_events(spark)
+    approx = {(r["checkout_id"], r["step_name"]): r for r in records(marts.checkout_steps(events, 1000))}
+    assert approx[("c1", "address")]["error_events"] == 4
+    assert approx[("c1", "payment")]["median_latency_ms"] == 300
+    users = tables(spark, add_to_cart=[cart(str(i), "2025-01-01T01:00:00Z") for i in range(50)])
+    assert one(metrics.exposure_overview(users, rsd=0.01))["total_users"] == pytest.approx(50, abs=2)
+
+
+def test_pretty_printed_json_reads_as_one_document(spark, tmp_path):
+    (tmp_path / "one.json").write_text('{\n  "k": "a",\n  "n": 3\n}\n')
+    back = sinks.read_json(spark, str(tmp_path / "one.json"), "k string, n bigint", multi_line=True)
+    assert one(back) == {"k": "a", "n": 3}
+
+
 def test_shared_folder_follows_the_session(spark):
     folder = sinks.shared_folder(spark, "x")
     assert folder.startswith(spark.conf.get("spark.checkpoint.dir"))

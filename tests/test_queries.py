@@ -17,6 +17,7 @@ EAGER = {
     "sink_roundtrip",
     "mart_tables",
     "funnel_csv_roundtrip",
+    "ccr_json_roundtrip",
     "guardrails_json_roundtrip",
     "monitor_stream",
     "monitor_verdicts",
