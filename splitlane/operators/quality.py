@@ -45,42 +45,43 @@ def _key_presence(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _orphan_keys(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
-    presence = _key_presence(rows, parents, key)
-    return presence.where(~F.col("has_parent") & (F.col("rows") > 0))
+def _integrity(presence: DataFrame) -> DataFrame:
+    orphaned = F.when(F.col("has_parent"), 0).otherwise(F.col("rows"))
+    return presence.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("total"),
+        F.coalesce(F.sum(orphaned), F.lit(0)).alias("orphans"),
+    ).withColumn("passed", F.col("orphans") == 0)
 
 
-def _integrity(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
-    orphaned = F.when(F.col("has_parent"), 0).otherwise(F.col("rows"))
-    return (
-        _key_presence(rows, parents, key)
-        .agg(
-            F.coalesce(F.sum("rows"), F.lit(0)).alias("total"),
-            F.coalesce(F.sum(orphaned), F.lit(0)).alias("orphans"),
-        )
-        .withColumn("passed", F.col("orphans") == 0)
+def _order_presence(events: EventTables) -> DataFrame:
+    return _key_presence(events.order_completed, events.begin_checkout, "checkout_id")
+
+
+def _step_presence(events: EventTables) -> DataFrame:
+    return _key_presence(
+        events.checkout_step_view, events.begin_checkout, "checkout_id"
     )
 
 
 def orphan_orders(events: EventTables) -> DataFrame:
     """Orders whose checkout was never begun: total, orphans, verdict."""
-    return _integrity(events.order_completed, events.begin_checkout, "checkout_id")
+    return _integrity(_order_presence(events))
 
 
 def orphan_steps(events: EventTables) -> DataFrame:
     """Step views whose checkout was never begun: total, orphans, verdict."""
-    return _integrity(events.checkout_step_view, events.begin_checkout, "checkout_id")
+    return _integrity(_step_presence(events))
 
 
-def _first_rows(
-    rows: DataFrame, keys: DataFrame, key: str, detail: str, limit: int
+def _first_orphans(
+    rows: DataFrame, presence: DataFrame, key: str, detail: str, limit: int
 ) -> DataFrame:
-    """The first ``limit`` rows by (key, detail) among ``keys``.
+    """The first ``limit`` orphaned rows by (key, detail); a missing key sorts first.
 
-    They all lie in the first ``limit`` keys, so only those few are broadcast. A
-    missing key sorts first.
+    They all lie in the first ``limit`` orphaned keys, so only those few are broadcast.
     """
-    wanted = keys.select(F.col(key).alias("_wanted")).orderBy("_wanted").limit(limit)
+    orphaned = presence.where(~F.col("has_parent") & (F.col("rows") > 0))
+    wanted = orphaned.select(F.col(key).alias("_wanted")).orderBy("_wanted").limit(limit)
     same = F.col(key).eqNullSafe(F.col("_wanted"))
     return (
         rows.join(F.broadcast(wanted), same, "left_semi")
@@ -90,16 +91,22 @@ def _first_rows(
     )
 
 
-def orphan_order_sample(events: EventTables, limit: int = SAMPLE_ROWS) -> DataFrame:
-    orders = events.order_completed
-    keys = _orphan_keys(orders, events.begin_checkout, "checkout_id")
-    return _first_rows(orders, keys, "checkout_id", "order_id", limit)
+def orphan_order_sample(
+    events: EventTables, limit: int = SAMPLE_ROWS, presence: DataFrame | None = None
+) -> DataFrame:
+    presence = _order_presence(events) if presence is None else presence
+    return _first_orphans(
+        events.order_completed, presence, "checkout_id", "order_id", limit
+    )
 
 
-def orphan_step_sample(events: EventTables, limit: int = SAMPLE_ROWS) -> DataFrame:
-    views = events.checkout_step_view
-    keys = _orphan_keys(views, events.begin_checkout, "checkout_id")
-    return _first_rows(views, keys, "checkout_id", "step_name", limit)
+def orphan_step_sample(
+    events: EventTables, limit: int = SAMPLE_ROWS, presence: DataFrame | None = None
+) -> DataFrame:
+    presence = _step_presence(events) if presence is None else presence
+    return _first_orphans(
+        events.checkout_step_view, presence, "checkout_id", "step_name", limit
+    )
 
 
 # --- order of events -------------------------------------------------------------
@@ -119,9 +126,10 @@ def early_steps(events: EventTables, min_rows: int = HEAVY_ROWS) -> DataFrame:
     return joined.where(F.col("first_step_ts") < F.col("begin_ts"))
 
 
-def timestamp_order(events: EventTables) -> DataFrame:
+def timestamp_order(events: EventTables, early: DataFrame | None = None) -> DataFrame:
     """Checkouts with step views, order violations, verdict."""
-    violations = early_steps(events).agg(F.count(F.lit(1))).scalar()
+    early = early_steps(events) if early is None else early
+    violations = early.agg(F.count(F.lit(1))).scalar()
     return (
         events.checkout_step_view.agg(F.count_distinct("checkout_id").alias("checkouts"))
         .withColumn("violations", violations)
@@ -129,10 +137,12 @@ def timestamp_order(events: EventTables) -> DataFrame:
     )
 
 
-def early_step_sample(events: EventTables, limit: int = SAMPLE_ROWS) -> DataFrame:
+def early_step_sample(
+    events: EventTables, limit: int = SAMPLE_ROWS, early: DataFrame | None = None
+) -> DataFrame:
+    early = early_steps(events) if early is None else early
     return (
-        early_steps(events)
-        .select(
+        early.select(
             F.col("checkout_id").alias("key"),
             F.col("begin_ts").cast("string").alias("detail"),
         )
@@ -310,21 +320,23 @@ def _orphan_verdict(
 
 
 def _orders_verdict(events: EventTables) -> DataFrame:
+    presence = _order_presence(events)
     return _orphan_verdict(
         "orders reference checkouts",
-        orphan_orders(events),
+        _integrity(presence),
         "orders",
-        orphan_order_sample(events),
+        orphan_order_sample(events, presence=presence),
         "detail",
     )
 
 
 def _steps_verdict(events: EventTables) -> DataFrame:
+    presence = _step_presence(events)
     return _orphan_verdict(
         "steps reference checkouts",
-        orphan_steps(events),
+        _integrity(presence),
         "step views",
-        orphan_step_sample(events),
+        orphan_step_sample(events, presence=presence),
         "key",
     )
 
@@ -352,15 +364,16 @@ def _balance_verdict(events: EventTables) -> DataFrame:
 
 
 def _order_verdict(events: EventTables) -> DataFrame:
+    early = early_steps(events)
     good = F.concat(F.lit("all "), F.col("checkouts"), F.lit(" checkouts are in order"))
     bad = F.concat(
         F.col("violations"),
         F.lit(" checkouts start before they begin; sample: "),
-        _shown(early_step_sample(events), "key"),
+        _shown(early_step_sample(events, early=early), "key"),
     )
     return _verdict(
         "timestamp order",
-        timestamp_order(events),
+        timestamp_order(events, early),
         F.col("passed"),
         F.when(F.col("passed"), good).otherwise(bad),
     )

@@ -21,6 +21,7 @@ HEAVY_SHARE = 1 / 20_000
 # Below this many rows a key fits a task however large its share.
 HEAVY_ROWS = 2_000_000
 SALTS = 256
+NO_MINUTE = -(2**62)
 
 
 def heavy_keys(
@@ -83,12 +84,15 @@ def with_neighbour(
 
     Heavy keys are cut by the minute. Each piece finds neighbours inside itself; its
     edge row takes them from the nearest non-empty piece, carried through one small
-    row per (heavy key, minute).
+    row per (heavy key, minute). Rows without a key belong to no group: they stay, and
+    have no neighbours.
     """
     order = [time, *tie_breaks]
-    heavy = heavy_keys(df, [key], min_rows=min_rows)
-    minute = epoch_minutes(F.col(time))
-    cut = _flag_heavy(df, heavy, [key]).withColumn(
+    keyed = df.where(F.col(key).isNotNull())
+    heavy = heavy_keys(keyed, [key], min_rows=min_rows)
+    # A missing time sorts first, so its piece does too.
+    minute = F.coalesce(epoch_minutes(F.col(time)), F.lit(NO_MINUTE))
+    cut = _flag_heavy(keyed, heavy, [key]).withColumn(
         "_piece", F.when(F.col("_heavy"), minute).otherwise(F.lit(0).cast("bigint"))
     )
     look: Callable[[Column], Column] = F.lead if ahead else F.lag
@@ -105,12 +109,14 @@ def with_neighbour(
         )
         .drop("_edge")
     )
-    return (
+    linked = (
         cut.withColumn("_near", look(payload).over(inside))
         .join(carried, [key, "_piece"], "left")
         .withColumn(name, F.coalesce("_near", "_carried"))
         .drop("_near", "_carried", "_piece", "_heavy")
     )
+    alone = df.where(F.col(key).isNull())
+    return linked.unionByName(alone, allowMissingColumns=True)
 
 
 def exact_percentiles(

@@ -15,18 +15,31 @@ def parse_timestamps(df: DataFrame) -> DataFrame:
     return df.withColumn("timestamp", F.col("timestamp").try_cast("timestamp_ntz"))
 
 
-def read_event(spark: SparkSession, base: str, name: str) -> DataFrame:
+def read_event(
+    spark: SparkSession, base: str, name: str, keep_extra: bool = False
+) -> DataFrame:
     """Scan ``base/name/date=*/``.
 
     Part files may lack columns or hold them in another order: the declared schema
     resolves columns by name and fills absent ones with NULL, with no footer merge.
+    ``keep_extra`` merges the footers to keep columns outside the contract as well,
+    such as a segment column.
     """
-    raw = spark.read.schema(RAW_SCHEMAS[name]).parquet(f"{base.rstrip('/')}/{name}")
-    return parse_timestamps(raw)
-
-
-def read_events(spark: SparkSession, base: str) -> EventTables:
-    return EventTables(**{name: read_event(spark, base, name) for name in EVENT_NAMES})
+    path, schema = f"{base.rstrip('/')}/{name}", RAW_SCHEMAS[name]
+    if keep_extra:
+        found = spark.read.option("mergeSchema", "true").parquet(path).schema
+        declared = spark.read.schema(schema).parquet(path).schema
+        extra = [f for f in found.fields if f.name not in declared.fieldNames()]
+        schema = type(found)([*declared.fields, *extra])
+    return parse_timestamps(spark.read.schema(schema).parquet(path))
+
+
+def read_events(
+    spark: SparkSession, base: str, keep_extra: bool = False
+) -> EventTables:
+    return EventTables(
+        **{name: read_event(spark, base, name, keep_extra) for name in EVENT_NAMES}
+    )
 
 
 def register_views(events: EventTables, prefix: str = "") -> None:

@@ -279,6 +279,18 @@ def test_lake_reads_by_name_and_fills_absent_columns(spark, tmp_path):
     assert second["cart_value"] == 5.0 and second["variant"] == "treatment"
 
 
+def test_lake_can_keep_columns_outside_the_contract(spark, tmp_path):
+    base = str(tmp_path / "lake")
+    for date, columns in ((DAY, "user_id string, device string"), (NEXT, "user_id string, country string")):
+        spark.createDataFrame([("a", "x")], columns).write.parquet(f"{base}/begin_checkout/date={date}")
+    plain = read_event(spark, base, "begin_checkout")
+    kept = read_event(spark, base, "begin_checkout", keep_extra=True)
+    assert set(kept.columns) - set(plain.columns) == {"device", "country"}
+    first, second = records(kept.orderBy("date"))
+    assert (first["device"], first["country"], second["country"]) == ("x", None, "x")
+    assert first["date"] == DAY and first["timestamp"] is None
+
+
 def test_writing_a_day_again_replaces_only_that_day(spark, tmp_path):
     path = str(tmp_path / "carts")
     two_days = tables(

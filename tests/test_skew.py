@@ -37,6 +37,20 @@ def test_heavy_keys_are_few_and_exact(spark):
     assert heavy_keys(df, ["k"], share=0.1, min_rows=2000).count() == 0
 
 
+@pytest.mark.parametrize("ahead", [False, True])
+def test_rows_without_time_sort_first_and_rows_without_key_stay_alone(spark, ahead):
+    df = spark.createDataFrame(
+        [("a", None, 1), ("a", "2025-01-01 00:00:00", 2), ("a", "2025-01-01 00:05:00", 3),
+         (None, "2025-01-01 00:00:00", 4), (None, "2025-01-01 00:01:00", 5)],
+        "k string, at string, id int",
+    ).withColumn("at", F.col("at").cast("timestamp_ntz"))
+    for min_rows in (0, 10**9):
+        out = with_neighbour(df, "k", "at", ["id"], ["id"], "n", ahead, min_rows=min_rows)
+        near = {r.id: r.n.id if r.n else None for r in out.collect()}
+        expected = {1: 2, 2: 3, 3: None} if ahead else {1: None, 2: 1, 3: 2}
+        assert near == {**expected, 4: None, 5: None}
+
+
 @pytest.mark.parametrize("ahead", [False, True])
 @pytest.mark.parametrize("min_rows", [0, 900, 10**9])
 def test_neighbours_match_a_plain_window(spark, ahead, min_rows):
