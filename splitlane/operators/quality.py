@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from splitlane.functions.formatting import settled
@@ -248,10 +248,11 @@ def variant_balance(events: EventTables) -> DataFrame:
         marts.experiments(events).groupBy("variant").agg(F.count(F.lit(1)).alias("users"))
     )
     shares = share_of_total(users, "users", "percentage", 2)
-    return shares.withColumn(
-        "in_band",
-        F.when(F.col("variant") == "treatment", F.col("percentage").between(*BALANCE_BAND)),
+    treated = F.when(
+        F.col("variant") == "treatment", F.col("percentage").between(*BALANCE_BAND)
     )
+    verdict = F.max(treated).over(Window.partitionBy())
+    return shares.withColumn("in_band", F.coalesce(verdict, F.lit(False)))
 
 
 def side_by_side(
@@ -413,13 +414,37 @@ CHECKS: tuple[tuple[str, Callable[[EventTables], DataFrame]], ...] = (
 )
 
 
+def _checks(aa_mode: bool):
+    return CHECKS + ((("A/A difference", _aa_verdict),) if aa_mode else ())
+
+
+def _fault_text(fault: Exception) -> str:
+    condition = fault.getCondition() if isinstance(fault, PySparkException) else None
+    return f"error: {condition or type(fault).__name__}"
+
+
+def run_checks(events: EventTables, aa_mode: bool = False) -> list[dict]:
+    """Run the checks one by one and return their verdicts, for gating a run.
+
+    Whatever goes wrong in one check, unreadable files included, becomes its failed
+    verdict. Each check brings a single row to the driver.
+    """
+    verdicts = []
+    for name, build in _checks(aa_mode):
+        try:
+            verdicts += [row.asDict() for row in build(events).collect()]
+        except Exception as fault:  # noqa: BLE001  any failure is a verdict here
+            verdicts.append({"name": name, "passed": False, "message": _fault_text(fault)})
+    return verdicts
+
+
 def report(events: EventTables, aa_mode: bool = False) -> DataFrame:
     """One row per check: name, passed, message.
 
     A check that cannot be planned, for example over a table lacking a column,
     becomes a failed row and leaves the other checks alone.
     """
-    checks = CHECKS + ((("A/A difference", _aa_verdict),) if aa_mode else ())
+    checks = _checks(aa_mode)
     spark = events.add_to_cart.sparkSession
     out = None
     for name, build in checks:
@@ -427,9 +452,10 @@ def report(events: EventTables, aa_mode: bool = False) -> DataFrame:
             row = build(events)
             row.schema  # noqa: B018  resolves the plan, so faults surface here
         except AnalysisException as fault:
-            text = f"error: {fault.getCondition() or type(fault).__name__}"
-            row = spark.createDataFrame(
-                [(name, False, text)], "name string, passed boolean, message string"
+            row = spark.range(1).select(
+                F.lit(name).alias("name"),
+                F.lit(False).alias("passed"),
+                F.lit(_fault_text(fault)).alias("message"),
             )
         out = row if out is None else out.unionByName(row)
     return out

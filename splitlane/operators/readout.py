@@ -73,7 +73,7 @@ def ccr_summary(events: EventTables, alpha: float = 0.05) -> DataFrame:
         "treatment_orders",
         F.col("p_b").alias("treatment_ccr"),
         *[c for c in TEST_COLUMNS if c not in ("p_a", "p_b", "z")],
-        (F.col("p_value") < alpha).alias("significant"),
+        F.coalesce(F.col("p_value") < alpha, F.lit(False)).alias("significant"),
     )
 
 

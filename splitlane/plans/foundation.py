@@ -435,7 +435,8 @@ FROM form_error GROUP BY 1, 2, 3"""
             EXPERIMENTS,
             select="""
 SELECT variant, users, percentage,
-  CASE WHEN variant = 'treatment' THEN percentage BETWEEN 48 AND 52 END AS in_band
+  coalesce(max(percentage) FILTER (WHERE variant = 'treatment') OVER () BETWEEN 48 AND 52,
+    false) AS in_band
 FROM (SELECT variant, count(*) AS users,
   round((count(*) * 100.0::DOUBLE / sum(count(*)) OVER ()) * 1.000000000001::DOUBLE, 2) AS percentage
   FROM experiments GROUP BY variant)""",

@@ -313,7 +313,7 @@ SELECT {day()}, control_adders, control_orders, treatment_adders, treatment_orde
 SELECT {day()}, control_adders, control_orders, {r('p_a', 'control_ccr')}, treatment_adders,
   treatment_orders, {r('p_b', 'treatment_ccr')}, {r('effect_abs')}, {r('effect_rel')},
   {r('p_value')}, {r('ci_low')}, {r('ci_high')}, invalid_reason,
-  p_value < 0.05 AS significant FROM tested""",
+  coalesce(p_value < 0.05, false) AS significant FROM tested""",
         ),
     ),
     "ccr_json_roundtrip": Query(
@@ -324,7 +324,7 @@ SELECT {day()}, control_adders, control_orders, {r('p_a', 'control_ccr')}, treat
             select=f"""
 SELECT {day()}, control_adders, control_orders, {r('p_a', 'control_ccr')}, treatment_adders,
   treatment_orders, {r('p_b', 'treatment_ccr')}, {r('effect_abs')}, {r('effect_rel')},
-  {r('p_value')}, {r('ci_low')}, {r('ci_high')}, p_value < 0.05 AS significant FROM tested""",
+  {r('p_value')}, {r('ci_low')}, {r('ci_high')}, coalesce(p_value < 0.05, false) AS significant FROM tested""",
         ),
     ),
     "auth_rate_ci": Query(

@@ -53,7 +53,7 @@ def test_first_exposure_orders_may_exceed_adders_and_are_flagged(spark):
     days = {r["date"]: r for r in records(readout.ccr_summary(events))}
     assert days[NEXT]["control_orders"] == 2 and days[NEXT]["control_adders"] == 1
     assert days[NEXT]["invalid_reason"] == "successes exceed observations"
-    assert days[NEXT]["p_value"] is None and days[NEXT]["significant"] is None
+    assert days[NEXT]["p_value"] is None and days[NEXT]["significant"] is False
     bounded = {(r["date"], r["variant"]): r for r in records(metrics.ccr_same_day(events))}
     assert bounded[(NEXT, "control")]["orders"] == 0
 
@@ -190,6 +190,17 @@ def test_quality_report_survives_a_broken_table(spark):
     assert rows["orders reference checkouts"]["message"] == "2 orphaned orders; sample: 2, 3"
 
 
+def test_checks_survive_unreadable_files(spark, tmp_path):
+    events = broken_events(spark)
+    base = str(tmp_path / "lake")
+    sinks.write_events(events, base)
+    (tmp_path / "lake" / "order_completed" / "date=2025-01-01" / "part-bad.parquet").write_text("no")
+    verdicts = {v["name"]: v for v in quality.run_checks(read_events(spark, base), aa_mode=True)}
+    assert len(verdicts) == 6
+    assert verdicts["orders reference checkouts"]["message"].startswith("error: ")
+    assert verdicts["timestamp order"]["message"].startswith("1 checkouts start before")
+
+
 def test_empty_tables_give_a_verdict(spark):
     rows = {r["name"]: r for r in records(quality.report(tables(spark), aa_mode=True))}
     assert rows["orders reference checkouts"]["passed"]
