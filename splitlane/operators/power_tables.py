@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 NEAR_MDE = 0.005
+POWER_TARGETS = (50, 80, 95)
 
 
 def power_table(grid: DataFrame) -> DataFrame:
@@ -87,14 +88,21 @@ def power_grid_shape(grid: DataFrame) -> DataFrame:
 
 
 def sample_size_table(grid: DataFrame) -> DataFrame:
-    """The smallest sample reaching each power target, per uplift (0 is the A/A row)."""
-    reached = {
-        f"n_for_{target}pct": F.min(
-            F.when(F.col("detection_rate") >= target / 100, F.col("users_per_day"))
+    """The smallest sample reaching each power target, per uplift (0 is the A/A row).
+
+    Where no tested sample reaches a target, the row shows the largest one tried.
+    """
+    targets = F.array(*[F.lit(t) for t in POWER_TARGETS])
+    enough = F.col("detection_rate") >= F.col("target_pct") / 100.0
+    smallest = F.min(F.when(enough, F.col("users_per_day")))
+    return (
+        grid.withColumn("target_pct", F.explode(targets))
+        .groupBy("uplift", "target_pct")
+        .agg(
+            smallest.isNotNull().alias("reached"),
+            F.coalesce(smallest, F.max("users_per_day")).alias("users_per_day"),
         )
-        for target in (50, 80, 95)
-    }
-    return grid.groupBy("uplift").agg(*[c.alias(n) for n, c in reached.items()])
+    )
 
 
 def false_positive_rate(grid: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from splitlane.operators.metrics import (
     guardrails_daily,
 )
 from splitlane.operators.quality import side_by_side
-from splitlane.sources.contract import EventTables
+from splitlane.sources.contract import VARIANTS, EventTables
 
 
 @dataclass(frozen=True)
@@ -40,8 +40,12 @@ PLAN = ExperimentPlan()
 
 
 def tested_cells(cells: DataFrame, keys: list[str], alpha: float = 0.05) -> DataFrame:
-    """Pair the variants of ``adders, orders`` cells and test treatment on control."""
+    """Pair the variants of ``adders, orders`` cells and test treatment on control.
+
+    A variant without a cell has no adders.
+    """
     wide = side_by_side(cells, keys, ["adders", "orders"])
+    wide = wide.fillna(0, [f"{v}_{m}" for v in VARIANTS for m in ("adders", "orders")])
     return two_proportion_test(
         wide,
         "control_orders",

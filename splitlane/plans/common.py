@@ -23,12 +23,14 @@ class Query(NamedTuple):
 
 
 def presentable(df: DataFrame) -> DataFrame:
-    """Rounded doubles, and dates and timestamps as text, alike in every engine."""
+    """Rounded doubles, long integers, and dates and timestamps as text."""
 
     def shown(field: T.StructField):
         col = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.DoubleType):
             col = settled(col, PLACES)
+        elif isinstance(field.dataType, T.IntegerType):
+            col = col.cast("bigint")
         elif isinstance(field.dataType, T.DateType):
             col = col.cast("string")
         elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
@@ -215,11 +217,17 @@ tested AS (SELECT *, {two_sided_p('z')} AS p_value FROM scored)"""
 
 
 def tested_conversion(source: str, keys: str) -> str:
+    filled = ", ".join(
+        f"coalesce({v}_{m}, 0) AS {v}_{m}"
+        for v in ("control", "treatment")
+        for m in ("adders", "orders")
+    )
     return (
         wide(source, "paired", keys, ["adders", "orders"])
-        + ","
+        + f"""
+, filled AS (SELECT * REPLACE ({filled}) FROM paired),"""
         + tested(
-            "paired",
+            "filled",
             "control_orders",
             "control_adders",
             "treatment_orders",

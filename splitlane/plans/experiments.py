@@ -123,7 +123,7 @@ QUERIES: dict[str, Query] = {
             CELLS,
             wide("cells", "paired", "replicate, sample_pct, uplift", ["adders"]),
             select=f"""
-SELECT sample_pct, {r('uplift')}, replicate, 'replicate' || replicate AS salt,
+SELECT CAST(sample_pct AS BIGINT) AS sample_pct, {r('uplift')}, replicate, 'replicate' || replicate AS salt,
   coalesce(control_adders, 0) AS control_adders,
   coalesce(treatment_adders, 0) AS treatment_adders FROM paired""",
         ),
@@ -190,9 +190,11 @@ SELECT count(*) AS grid_points, count(DISTINCT users_per_day) AS sample_sizes,
         with_tables(
             POWER,
             select=f"""
-SELECT {r('uplift')}, {', '.join(
-    f"min(users_per_day) FILTER (WHERE detection_rate >= {t / 100}) AS n_for_{t}pct"
-    for t in (50, 80, 95))} FROM power GROUP BY power.uplift""",
+SELECT {r('uplift')}, target_pct, count(*) FILTER (WHERE detection_rate >= target_pct / 100) > 0
+    AS reached, coalesce(min(users_per_day) FILTER (WHERE detection_rate >= target_pct / 100),
+    max(users_per_day)) AS users_per_day
+FROM power, (VALUES (50::BIGINT), (80::BIGINT), (95::BIGINT)) targets(target_pct)
+GROUP BY power.uplift, target_pct""",
         ),
     ),
     "aa_false_positive_rate": Query(

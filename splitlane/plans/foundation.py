@@ -143,7 +143,7 @@ STEP_JOIN = """
 steps AS (
   SELECT c.checkout_id, c.step_name, c.step_index, c.variant,
     min(c."timestamp") AS first_seen_at,
-    CAST(floor(quantile_cont(c.latency_ms, 0.5)) AS INTEGER) AS median_latency_ms,
+    CAST(floor(quantile_cont(c.latency_ms, 0.5)) AS BIGINT) AS median_latency_ms,
     count(e.checkout_id) AS error_events
   FROM checkout_step_view c LEFT JOIN form_error e
     ON c.checkout_id = e.checkout_id AND c.step_name = e.step_name
@@ -154,7 +154,7 @@ steps AS (
   SELECT c.*, coalesce(e.errors, 0) AS error_events
   FROM (SELECT checkout_id, step_name, step_index, variant,
           min("timestamp") AS first_seen_at,
-          CAST(floor(quantile_cont(latency_ms, 0.5)) AS INTEGER) AS median_latency_ms
+          CAST(floor(quantile_cont(latency_ms, 0.5)) AS BIGINT) AS median_latency_ms
         FROM checkout_step_view GROUP BY 1, 2, 3, 4) c
   LEFT JOIN (SELECT checkout_id, step_name, count(*) AS errors
              FROM form_error GROUP BY 1, 2) e

@@ -261,7 +261,7 @@ SELECT count(latency_ms) AS n, {r('avg(latency_ms)', 'mean_ms')},
             select=f"""
 SELECT bin, {r('low + bin * width', 'bin_start')}, {r('low + (bin + 1) * width', 'bin_end')},
   count(*) AS views
-FROM (SELECT low, width, CAST(least(floor((latency_ms - low) / width), 29) AS INTEGER) AS bin
+FROM (SELECT low, width, CAST(least(floor((latency_ms - low) / width), 29) AS BIGINT) AS bin
       FROM latency, (SELECT min(latency_ms) AS low,
         (max(latency_ms) - min(latency_ms)) / 30.0::DOUBLE AS width FROM latency))
 GROUP BY bin, low, width""",

@@ -220,7 +220,7 @@ def test_quarantine_splits_and_names_the_field(spark):
 def test_one_variant_only(spark):
     events = tables(spark, add_to_cart=[cart("a", "2025-01-01T01:00:00Z")])
     row = one(readout.two_proportion_daily(events))
-    assert row["invalid_reason"] == "missing counts"
+    assert row["invalid_reason"] == "no observations"
     decision = one(readout.ship_decision(events))
     assert decision["decision_by_test"] == "DO NOT SHIP"
     assert decision["decision_by_sign"] == "INCONCLUSIVE"

@@ -72,8 +72,13 @@ def test_curve_sizes_and_shape(spark):
         "uplifts": 4,
         "total_runs": 240,
     }
-    needed = {r["uplift"]: r for r in records(power_tables.sample_size_table(grid))}
-    assert needed[0.02]["n_for_80pct"] == 50_000 and needed[0.01]["n_for_80pct"] is None
+    needed = {
+        (r["uplift"], r["target_pct"]): (r["reached"], r["users_per_day"])
+        for r in records(power_tables.sample_size_table(grid))
+    }
+    assert needed[(0.02, 80)] == (True, 50_000)
+    assert needed[(0.01, 50)] == (True, 100_000)
+    assert needed[(0.01, 80)] == (False, 100_000)
     aa = {r["users_per_day"]: r["detection_rate"] for r in records(power_tables.false_positive_rate(grid))}
     assert aa == {20_000: 0.0, 50_000: 0.05, 100_000: 0.2}
 
