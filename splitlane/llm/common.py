@@ -59,17 +59,17 @@ def small_side(ids: DataFrame, n: int) -> DataFrame:
 def rows_with(
     df: DataFrame,
     text: str,
-    result: T.StructType,
+    result: str,
     compute: Callable[[], Callable[[pa.Array], pa.StructArray]],
 ) -> DataFrame:
     """``row`` (all columns of ``df`` as a struct) and ``out`` (one struct per text).
 
-    ``compute`` builds the function once per task; it gets each Arrow batch's texts.
+    ``result`` is the struct's DDL. ``compute`` builds the function once per task; it gets each Arrow batch's texts.
     Keeping the input inside ``row`` means that no column name can clash.
     """
     source = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     schema = T.StructType(
-        [T.StructField("row", source.schema["row"].dataType), T.StructField("out", result)]
+        [T.StructField("row", source.schema["row"].dataType), T.StructField("out", T.StructType.fromDDL(result))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

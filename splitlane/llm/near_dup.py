@@ -25,7 +25,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from splitlane.llm import words as W
 from splitlane.llm.common import rows_with, small_side, stored
@@ -77,7 +76,7 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """``id``, ``n`` (set size), digest ``d1, d2`` and ``signature``; null if the set is empty."""
-    schema = T.StructType.fromDDL("n long, d1 long, d2 long, signature array<int>")
+    schema = "n long, d1 long, d2 long, signature array<int>"
 
     def compute() -> Callable[[pa.Array], pa.StructArray]:
         def work(texts: pa.Array) -> pa.StructArray:
@@ -160,7 +159,7 @@ def hub_pairs(postings: DataFrame) -> DataFrame:
 
 def node_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, width: int) -> DataFrame:
     """``node`` and its ``shingles`` (sorted 64-bit hashes as bytes) for the wanted ids."""
-    schema = T.StructType.fromDDL("shingles binary")
+    schema = "shingles binary"
 
     def compute() -> Callable[[pa.Array], pa.StructArray]:
         def work(texts: pa.Array) -> pa.StructArray:
@@ -212,7 +211,7 @@ def tile_links(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         every, owner = every[order], np.repeat(np.arange(len(sets)), sizes)[order]
         ids = members.node.to_numpy()
         hub = int(tile.hub.iloc[0])
-        parent: dict[int, int] = {}
+        parent = {hub: hub}
 
         def root(x: int) -> int:
             while parent.setdefault(x, x) != x:
