@@ -20,3 +20,25 @@ WITH RECURSIVE w AS (
 SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
 FROM s JOIN c ON s.doc_id = c.doc_id
 """
+
+_WORDS = rf"regexp_extract_all({_TEXT}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+DECONTAMINATION = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents
+), b AS (SELECT item_id, ws, len(ws) AS n, least(len(ws), 10) AS k
+  FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0
+), win AS (SELECT item_id, k, array_to_string(ws[i + 1 : i + k], ' ') AS g
+  FROM (SELECT *, unnest(range(0, n - k + 1)) AS i FROM b)
+), occ AS (SELECT doc_id, i, k, array_to_string(ws[i + 1 : i + k], ' ') AS g
+  FROM (SELECT doc_id, ws, k, unnest(range(0, len(ws) - k + 1)) AS i
+    FROM d, (SELECT DISTINCT k FROM win) WHERE len(ws) >= k)
+), hit AS (SELECT doc_id, i, k, item_id FROM occ JOIN win USING (k, g)
+), pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY doc_id
+), it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+  coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
+"""

@@ -6,9 +6,11 @@ from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from splitlane.llm import oracle
 from splitlane.llm.common import table
+from splitlane.llm.decontaminate import contamination, hit_words
 from splitlane.llm.near_dup import near_duplicates
 
 
@@ -17,10 +19,25 @@ class Query(NamedTuple):
     sql: str | None = None
 
 
+def op4_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        "row.doc_id",
+        "out.n_words",
+        hit_words().alias("n_hit"),
+        F.size("out.items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "out.items"), 256).alias("items_sha256"),
+        (hit_words() > 0).alias("contaminated"),
+    )
+
+
 def op8_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
 QUERIES = {
+    "op4_suffix_decontamination": Query(op4_suffix_decontamination, oracle.DECONTAMINATION),
     "op8_minhash_near_dup": Query(op8_minhash_near_dup, oracle.NEAR_DUP),
 }
