@@ -86,3 +86,29 @@ def rows_with(
 def original(df: DataFrame, columns: list[str]) -> DataFrame:
     """Back from ``row`` to the columns that the input had."""
     return df.select(*[F.col("row").getField(c).alias(c) for c in columns])
+
+
+def numbered(df: DataFrame, name: str, label: str) -> tuple[DataFrame, int]:
+    """``df`` stored, with a gapless ``name`` from 0 in its present order, and its rows.
+
+    Only one count per partition goes through the driver.
+    """
+    spot = F.monotonically_increasing_id()
+    marked = stored(
+        df.withColumns({"__part": F.spark_partition_id(), "__spot": spot.bitwiseAND(F.lit((1 << 33) - 1))}),
+        label,
+    )
+    counts = sorted((r["__part"], r["count"]) for r in marked.groupBy("__part").count().collect())
+    total, offsets = 0, []
+    for part, n in counts:
+        offsets.append((part, total))
+        total += n
+    if not offsets:
+        offsets = [(0, 0)]
+    places = df.sparkSession.createDataFrame(offsets, "__part int, __before long")
+    return (
+        marked.join(F.broadcast(places), "__part")
+        .withColumn(name, F.col("__before") + F.col("__spot"))
+        .drop("__part", "__spot", "__before"),
+        total,
+    )

@@ -12,6 +12,8 @@ from splitlane.llm import oracle
 from splitlane.llm.common import table
 from splitlane.llm.decontaminate import contamination, hit_words
 from splitlane.llm.near_dup import near_duplicates
+from splitlane.llm.packing import packed
+from splitlane.llm.repetition import judged, repetition
 
 
 class Query(NamedTuple):
@@ -37,7 +39,28 @@ def op8_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op9_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judged(repetition(docs)).select(
+        "row.doc_id",
+        "out.n_words",
+        "out.word_chars",
+        "out.n_symbols",
+        "out.n_dup_lines",
+        "out.n_repeat_words",
+        "base_failed",
+        "kept",
+        "out.longest_repeat",
+    )
+
+
+def op10_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_suffix_decontamination": Query(op4_suffix_decontamination, oracle.DECONTAMINATION),
     "op8_minhash_near_dup": Query(op8_minhash_near_dup, oracle.NEAR_DUP),
+    "op9_suffix_repetition": Query(op9_suffix_repetition),
+    "op10_cost_balanced_packing": Query(op10_cost_balanced_packing),
 }
