@@ -13,6 +13,8 @@ from splitlane.llm.common import table
 from splitlane.llm.decontaminate import contamination, hit_words
 from splitlane.llm.near_dup import near_duplicates
 from splitlane.llm.packing import packed
+from splitlane.llm.pii import labelled_table, personal_data, train_from
+from splitlane.llm.pii_base import KINDS
 from splitlane.llm.repetition import judged, repetition
 
 
@@ -35,6 +37,23 @@ def op4_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = personal_data(docs, crf=train_from(labelled_table(docs)))
+    spans = F.col("out.spans")
+    base = F.filter(spans, lambda s: s["base"])
+
+    def count(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def listed(which):
+        return F.array_join(F.transform(which, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    return found.select(
+        "row.doc_id", *map(count, KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans")
+    )
+
+
 def op8_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -60,6 +79,7 @@ def op10_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_suffix_decontamination": Query(op4_suffix_decontamination, oracle.DECONTAMINATION),
+    "op5_crf_pii": Query(op5_crf_pii),
     "op8_minhash_near_dup": Query(op8_minhash_near_dup, oracle.NEAR_DUP),
     "op9_suffix_repetition": Query(op9_suffix_repetition),
     "op10_cost_balanced_packing": Query(op10_cost_balanced_packing),
