@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from splitlane.llm import words as W
 from splitlane.llm.common import rows_with
 from splitlane.llm.pii_base import KINDS, base_spans
+from splitlane.llm.sampling import picked_rows
 
 #: Texts with a base span that the default labelled table takes at most.
 LABELLED_TEXTS = 200
@@ -268,9 +269,7 @@ def labelled_table(docs: DataFrame, text_col: str = "text", bound: int = LABELLE
 
     They come from about ``50 * bound`` rows picked by hash, whatever the size of ``docs``.
     """
-    share = min(1.0, 50 * bound / max(1, docs.count()))
-    picked = docs.where(F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 30)) < int(share * (1 << 30)))
-    found = personal_data(picked, text_col, crf=None).where(F.size("out.spans") > 0)
+    found = personal_data(picked_rows(docs, 50 * bound), text_col, crf=None).where(F.size("out.spans") > 0)
     text = F.col("row").getField(text_col)
     return (
         found.select(text.alias("text"), F.col("out.spans").alias("spans"))

@@ -16,6 +16,7 @@ from splitlane.llm.packing import packed
 from splitlane.llm.pii import labelled_table, personal_data, train_from
 from splitlane.llm.pii_base import KINDS
 from splitlane.llm.repetition import judged, repetition
+from splitlane.llm.weak_labels import quality
 
 
 class Query(NamedTuple):
@@ -54,6 +55,11 @@ def op5_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality(docs).select("row.doc_id", "out.n_words", "out.weak", "out.score", "out.kept")
+
+
 def op8_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -80,6 +86,7 @@ def op10_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_suffix_decontamination": Query(op4_suffix_decontamination, oracle.DECONTAMINATION),
     "op5_crf_pii": Query(op5_crf_pii),
+    "op7_weak_label_quality": Query(op7_weak_label_quality),
     "op8_minhash_near_dup": Query(op8_minhash_near_dup, oracle.NEAR_DUP),
     "op9_suffix_repetition": Query(op9_suffix_repetition),
     "op10_cost_balanced_packing": Query(op10_cost_balanced_packing),
