@@ -327,3 +327,26 @@ def near_duplicates(
         F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
         F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"),
     )
+
+
+def deduplicated(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80
+) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group; same columns.
+
+    The row with the group's smallest id stays. Of rows that share an id one stays, rows
+    without an id all do.
+    """
+    verdict = near_duplicates(docs, id_col, text_col, width, percent)
+    gone = stored(verdict.where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct(), "gone")
+    kept = docs.join(small_side(gone, gone.count()), id_col, "left_anti").select(docs.columns)
+    repeated = stored(
+        docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col), "repeated"
+    )
+    n = repeated.count()
+    if not n:
+        return kept
+    single = kept.join(small_side(repeated, n), id_col, "left_anti").select(docs.columns)
+    return single.unionByName(
+        kept.join(small_side(repeated, n), id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns)
+    )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from splitlane.llm import oracle
 from splitlane.llm.common import table
 from splitlane.llm.decontaminate import contamination, hit_words
+from splitlane.llm.hilbert import hilbert_shards
 from splitlane.llm.near_dup import near_duplicates
 from splitlane.llm.packing import packed
 from splitlane.llm.pii import labelled_table, personal_data, train_from
@@ -24,6 +25,33 @@ class Query(NamedTuple):
     sql: str | None = None
 
 
+def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        "lang",
+        "source",
+        "n_chars",
+        (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+    )
+    ties = [F.col("text_crc32"), F.col("doc_id")]
+    placed = hilbert_shards(docs, ["lang", "source", "n_chars"], ties)
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "curve",
+        "lang",
+        "source",
+        "n_chars",
+    )
+
+
 def op4_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(
         table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
@@ -84,6 +112,7 @@ def op10_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_hilbert_sharding": Query(op3_hilbert_sharding),
     "op4_suffix_decontamination": Query(op4_suffix_decontamination, oracle.DECONTAMINATION),
     "op5_crf_pii": Query(op5_crf_pii),
     "op7_weak_label_quality": Query(op7_weak_label_quality),
