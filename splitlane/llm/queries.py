@@ -17,6 +17,7 @@ from splitlane.llm.packing import packed
 from splitlane.llm.pii import labelled_table, personal_data, train_from
 from splitlane.llm.pii_base import KINDS
 from splitlane.llm.repetition import judged, repetition
+from splitlane.llm.warc import archived
 from splitlane.llm.weak_labels import quality
 
 
@@ -25,6 +26,13 @@ class Query(NamedTuple):
     sql: str | None = None
 
 
+def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = archived(table(spark, sf_dir, "pages"))
+    return read.select(
+        "page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to"
+    )
+
+
 def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select(
@@ -112,6 +120,7 @@ def op10_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_warc_archive": Query(op2_warc_archive),
     "op3_hilbert_sharding": Query(op3_hilbert_sharding),
     "op4_suffix_decontamination": Query(op4_suffix_decontamination, oracle.DECONTAMINATION),
     "op5_crf_pii": Query(op5_crf_pii),
