@@ -17,6 +17,7 @@ from splitlane.llm.packing import packed
 from splitlane.llm.pii import labelled_table, personal_data, train_from
 from splitlane.llm.pii_base import KINDS
 from splitlane.llm.repetition import judged, repetition
+from splitlane.llm.site_templates import extracted
 from splitlane.llm.warc import archived
 from splitlane.llm.weak_labels import quality
 
@@ -26,6 +27,13 @@ class Query(NamedTuple):
     sql: str | None = None
 
 
+def op1_site_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extracted(table(spark, sf_dir, "pages"))
+    return found.select(
+        "row.page_id", "row.url", "out.text", F.char_length("out.text").cast("long").alias("n_chars")
+    )
+
+
 def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = archived(table(spark, sf_dir, "pages"))
     return read.select(
@@ -120,6 +128,7 @@ def op10_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_site_template_text": Query(op1_site_template_text),
     "op2_warc_archive": Query(op2_warc_archive),
     "op3_hilbert_sharding": Query(op3_hilbert_sharding),
     "op4_suffix_decontamination": Query(op4_suffix_decontamination, oracle.DECONTAMINATION),
