@@ -12,6 +12,7 @@ from splitlane.llm import oracle
 from splitlane.llm.common import table
 from splitlane.llm.decontaminate import contamination, hit_words
 from splitlane.llm.hilbert import hilbert_shards
+from splitlane.llm.licenses import license_scan
 from splitlane.llm.near_dup import near_duplicates
 from splitlane.llm.packing import packed
 from splitlane.llm.pii import labelled_table, personal_data, train_from
@@ -99,6 +100,24 @@ def op5_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_conditional_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sure = F.filter("out.found", lambda f: f["confirmed"])
+    return found.select(
+        "row.doc_id",
+        "out.n_blocks",
+        F.size(sure).cast("long").alias("n_confirmed"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda f: f["license"]))), ",").alias("licenses"),
+        F.array_join(
+            F.transform(
+                "out.found",
+                lambda f: F.concat_ws(":", f["license"], f["start"], f["end"], f["differences"], f["confirmed"]),
+            ),
+            ",",
+        ).alias("blocks"),
+    )
+
+
 def op7_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality(docs).select("row.doc_id", "out.n_words", "out.weak", "out.score", "out.kept")
@@ -133,6 +152,7 @@ QUERIES = {
     "op3_hilbert_sharding": Query(op3_hilbert_sharding),
     "op4_suffix_decontamination": Query(op4_suffix_decontamination, oracle.DECONTAMINATION),
     "op5_crf_pii": Query(op5_crf_pii),
+    "op6_conditional_license_scan": Query(op6_conditional_license_scan),
     "op7_weak_label_quality": Query(op7_weak_label_quality),
     "op8_minhash_near_dup": Query(op8_minhash_near_dup, oracle.NEAR_DUP),
     "op9_suffix_repetition": Query(op9_suffix_repetition),
