@@ -6,15 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-# Sums of doubles may differ in their last bits between runs and engines. This nudge
-# is far above those bits and far below any place shown, so that a value halfway
-# between two roundings always goes away from zero.
-NUDGE = 1.000000000001
-
-
 def settled(value: Column, places: int) -> Column:
-    """Rounded half away from zero, however the last bits of ``value`` fell."""
-    return F.round(value * F.lit(NUDGE), places)
+    """Rounded half away from zero, however the last bits of ``value`` fell.
+
+    Sums of doubles may differ in their last bits between runs and engines, which would
+    decide ties. A thousandth of the last place shown, whatever the value's size, settles
+    them and cannot move any other result.
+    """
+    return F.round(value + F.signum(value) * F.lit(10.0 ** -(places + 3)), places)
 
 
 def pretty_round(value: Column, places: int | None = None) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+from math import exp, factorial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,17 +17,9 @@ from splitlane.operators.quality import side_by_side
 from splitlane.operators.readout import two_proportion_daily
 from splitlane.sources.contract import EventTables
 
-# Cumulative Poisson(1) probabilities of 0, 1, 2, ... resample copies.
-POISSON_ONE = (
-    0.36787944117144233,
-    0.7357588823428847,
-    0.9196986029286058,
-    0.9810118431238462,
-    0.9963401531726563,
-    0.9994058151824183,
-    0.9999167588507119,
-    0.9999897508033253,
-)
+#: Cumulative Poisson(1) probabilities of 0, 1, 2, ... resample copies. What lies beyond
+#: the last is less than one step of a 32-bit draw, so no draw is cut off.
+POISSON_ONE = tuple(accumulate(exp(-1) / factorial(k) for k in range(13)))
 
 
 def poisson_weight(digest: Column) -> Column:

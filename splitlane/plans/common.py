@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from splitlane.functions import normal
-from splitlane.functions.formatting import NUDGE, settled
+from splitlane.functions.formatting import settled
 from splitlane.sources.activity_log import read_activity_log
 from splitlane.sources.contract import EventTables
 
@@ -137,7 +137,8 @@ def with_tables(*ctes: str, select: str) -> str:
 
 def r(expression: str, name: str | None = None) -> str:
     """A double rounded as the Spark result is."""
-    return f"round(({expression}) * {NUDGE!r}::DOUBLE, {PLACES}) AS {name or expression}"
+    value = f"CAST(({expression}) AS DOUBLE)"
+    return f"round({value} + sign({value}) * 1e-9, 6) AS {name or expression}"
 
 
 def day(expression: str = "date", name: str = "date") -> str:

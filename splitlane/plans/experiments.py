@@ -82,9 +82,24 @@ segment_cells AS (
     + tested_conversion("segment_cells", "segment")
 )
 
+# A 32-bit draw from here on means at least 1, 2, 3, ... copies.
 POISSON = " + ".join(
-    f"CAST(first_draw >= floor({p!r}::DOUBLE * 4294967296) AS INTEGER)"
-    for p in resampling.POISSON_ONE
+    f"CAST(first_draw >= {least} AS INTEGER)"
+    for least in (
+        1580030168,
+        3160060337,
+        3950075421,
+        4213413783,
+        4279248373,
+        4292415291,
+        4294609777,
+        4294923276,
+        4294962463,
+        4294966817,
+        4294967252,
+        4294967292,
+        4294967295,
+    )
 )
 
 AUTH_TESTS = wide("guardrails", "auth_pair", "date", ["authorized", "total_attempts"])
