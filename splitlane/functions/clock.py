@@ -15,6 +15,11 @@ def epoch_seconds(ts: Column) -> Column:
     return epoch_minutes(ts) * 60 + F.second(ts)
 
 
+def epoch_millis(ts: Column) -> Column:
+    second = F.extract(F.lit("SECOND"), ts)
+    return epoch_minutes(ts) * 60_000 + F.floor(second * 1000).cast("bigint")
+
+
 def seconds_between(start: Column, end: Column) -> Column:
-    """Whole clock seconds; whole, so that their distinct values stay few."""
-    return epoch_seconds(end) - epoch_seconds(start)
+    """Clock seconds to the millisecond, so that distinct values stay bounded."""
+    return (epoch_millis(end) - epoch_millis(start)) / F.lit(1000.0)

@@ -45,12 +45,15 @@ def on_day(
     events: EventTables,
     basis: str,
     day: dt.date | str | None = None,
+    spill_days: int | None = None,
 ) -> DataFrame:
-    """Rows of one day; the newest cart day when ``day`` is None."""
+    """Rows of one day; the newest cart day when ``day`` is None.
+
+    Event days read every partition. A caller who vouches that no event is further from
+    its partition's day than ``spill_days`` lets the scan skip the other partitions.
+    """
     wanted = newest(events) if day is None else F.lit(day).cast("date")
-    if basis == EVENT:
-        # A funnel spills over midnight by less than a day, so an event day only
-        # needs two partitions; the extra test lets the scan skip the others.
-        near = F.col("date").isin(wanted, F.date_sub(wanted, 1))
-        df = df.where(near)
+    if basis == EVENT and spill_days is not None:
+        near = [F.date_add(wanted, k) for k in range(-spill_days, spill_days + 1)]
+        df = df.where(F.col("date").isin(*near))
     return df.where(day_of(basis) == wanted)

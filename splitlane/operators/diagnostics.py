@@ -244,7 +244,7 @@ def step_backtracks(events: EventTables, min_rows: int = HEAVY_ROWS) -> DataFram
 
 
 def time_in_step(events: EventTables, min_rows: int = HEAVY_ROWS) -> DataFrame:
-    """Median whole seconds until the checkout's next step view, by step and variant."""
+    """Median seconds until the checkout's next step view, by step and variant."""
     linked = with_neighbour(
         events.checkout_step_view,
         "checkout_id",
@@ -268,10 +268,11 @@ def time_in_step(events: EventTables, min_rows: int = HEAVY_ROWS) -> DataFrame:
 
 
 def completion_time(events: EventTables) -> DataFrame:
-    """Median whole seconds from begin to first order, per variant.
+    """Median seconds from begin to first order, per variant.
 
-    Both tables combine per checkout in one aggregation; checkouts whose order
-    precedes their begin event are left out.
+    Both tables combine per checkout in one aggregation. Orders before their begin event
+    have no duration and are counted as ``negative_spans``; checkouts with only one of the
+    two events as ``unfinished`` and ``unbegun``.
     """
     begin = F.when(F.col("kind") == "begin", F.col("timestamp"))
     order = F.when(F.col("kind") == "order", F.col("timestamp"))
@@ -286,15 +287,33 @@ def completion_time(events: EventTables) -> DataFrame:
         )
         .groupBy("checkout_id", "variant")
         .agg(F.min(begin).alias("_begin"), F.min(order).alias("_order"))
-        .where(F.col("_order") >= F.col("_begin"))
-        .withColumn("seconds", seconds_between(F.col("_begin"), F.col("_order")))
+        .withColumn(
+            "seconds",
+            F.when(
+                F.col("_order") >= F.col("_begin"),
+                seconds_between(F.col("_begin"), F.col("_order")),
+            ),
+        )
+        .withColumn(
+            "_kind",
+            F.when(F.col("_order").isNull(), "unfinished")
+            .when(F.col("_begin").isNull(), "unbegun")
+            .when(F.col("seconds").isNull(), "negative_spans")
+            .otherwise("completed"),
+        )
     )
-    return exact_percentiles(
-        spans,
-        ["variant"],
-        "seconds",
-        {"median_seconds": 0.5},
-        extra={"completed": F.sum("_n")},
+    kinds = ("completed", "negative_spans", "unfinished", "unbegun")
+    return (
+        spans.groupBy("variant", "seconds", "_kind")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .groupBy("variant")
+        .agg(
+            F.percentile(F.col("seconds"), F.lit(0.5), F.col("_n")).alias("median_seconds"),
+            *[
+                F.coalesce(F.sum(F.when(F.col("_kind") == k, F.col("_n"))), F.lit(0)).alias(k)
+                for k in kinds
+            ],
+        )
     )
 
 

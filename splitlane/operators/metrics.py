@@ -178,13 +178,18 @@ def _guardrail_columns(joined: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def guardrails(events: EventTables, day: Day = None) -> DataFrame:
-    """Payment authorization and order value per variant on one event day."""
+def guardrails(
+    events: EventTables, day: Day = None, spill_days: int | None = None
+) -> DataFrame:
+    """Payment authorization and order value per variant on one event day.
+
+    ``spill_days`` lets scans prune partitions, see ``on_day``.
+    """
     payments = payment_totals(
-        on_day(events.payment_attempt, events, EVENT, day), ["variant"]
+        on_day(events.payment_attempt, events, EVENT, day, spill_days), ["variant"]
     )
     orders = order_totals(
-        on_day(events.order_completed, events, EVENT, day), ["variant"]
+        on_day(events.order_completed, events, EVENT, day, spill_days), ["variant"]
     )
     return _guardrail_columns(payments.join(orders, "variant", "left"), ["variant"])
 

@@ -33,7 +33,7 @@ hourly AS (
 
 
 def _seconds(start: str, end: str) -> str:
-    return f"date_diff('second', {start}, {end})"
+    return f"date_diff('millisecond', {start}, {end}) / 1000.0::DOUBLE"
 
 
 CLOSED_DAYS = """
@@ -192,12 +192,15 @@ SELECT step_name, variant,
         on_events(diagnostics.completion_time),
         with_tables(
             select=f"""
-SELECT b.variant, {r(f"quantile_cont({_seconds('b.at', 'o.at')}, 0.5)", 'median_seconds')},
-  count(*) AS completed
+SELECT coalesce(b.variant, o.variant) AS variant,
+  {r(f"quantile_cont({_seconds('b.at', 'o.at')}, 0.5) FILTER (WHERE o.at >= b.at)", 'median_seconds')},
+  count(*) FILTER (WHERE o.at >= b.at) AS completed,
+  count(*) FILTER (WHERE o.at < b.at) AS negative_spans,
+  count(*) FILTER (WHERE o.at IS NULL) AS unfinished, count(*) FILTER (WHERE b.at IS NULL) AS unbegun
 FROM (SELECT checkout_id, variant, min("timestamp") AS at FROM begin_checkout GROUP BY 1, 2) b
-JOIN (SELECT checkout_id, variant, min("timestamp") AS at FROM order_completed GROUP BY 1, 2) o
+FULL JOIN (SELECT checkout_id, variant, min("timestamp") AS at FROM order_completed GROUP BY 1, 2) o
   ON b.checkout_id = o.checkout_id AND b.variant = o.variant
-WHERE o.at >= b.at GROUP BY 1"""
+GROUP BY 1"""
         ),
     ),
     "latency_percentiles": Query(

@@ -333,7 +333,7 @@ def test_days_prune_partitions_even_through_the_newest_day(spark, tmp_path):
         (tmp_path / "lake" / name / "date=2025-01-03" / "part-bad.parquet").write_text("no")
     read = {name: read_event(spark, base, name) for name in names}
     lake = type(events)(**{**dict(events.items()), **read})
-    assert one(metrics.guardrails(lake))["total_attempts"] == 1
+    assert one(metrics.guardrails(lake, spill_days=1))["total_attempts"] == 1
     assert one(metrics.guardrails_latest(lake))["auth_rate_pct"] == 100
     with pytest.raises(Exception, match="part-bad"):
         metrics.guardrails_daily(lake).collect()
@@ -431,3 +431,32 @@ def test_sessions_convert_with_their_users_day(spark):
     for min_rows in (0, 10**9):
         row = one(diagnostics.gross_conversion(events, min_rows=min_rows))
         assert (row["sessions"], row["converted_sessions"]) == (3, 2)
+
+
+def test_event_days_keep_rows_whatever_their_partition(spark):
+    events = tables(
+        spark,
+        add_to_cart=[cart("a", "2025-01-01T10:00:00Z")],
+        payment_attempt=[
+            payment("c1", True, "2025-01-01T11:00:00Z", date=NEXT),
+            payment("c2", True, "2025-01-01T12:00:00Z", date=dt.date(2024, 12, 28)),
+        ],
+        order_completed=[order("1", "c1", "a", "2025-01-01T11:01:00Z", date=NEXT)],
+    )
+    assert one(metrics.guardrails(events, DAY))["total_attempts"] == 2
+
+
+def test_rounding_is_right_at_any_size(spark):
+    from splitlane.functions.formatting import settled
+
+    values = [5_000_000.123456, 3.2e12, 0.0000005, -0.0000005, 1.0000004, None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = [r[0] for r in df.select(settled(F.col("x"), 6)).collect()]
+    assert got == [5_000_000.123456, 3.2e12, 0.000001, -0.000001, 1.0, None]
+
+
+def test_poisson_weights_are_not_cut_off(spark):
+    from splitlane.operators.resampling import POISSON_ONE
+
+    assert (1 - POISSON_ONE[-1]) * 2**32 < 1
+    assert abs(POISSON_ONE[7] - 0.9999897508033253) < 1e-15
