@@ -59,7 +59,12 @@ def write_events(events: EventTables, base: str) -> None:
 def save_mart(
     df: DataFrame, table: str, bucket_by: str | None = None, buckets: int = 1024
 ) -> None:
-    """Replace a mart table; bucketing lets later joins on the key skip their shuffle."""
+    """Replace a mart table; bucketing lets later joins on the key skip their shuffle.
+
+    Rows are dealt by the bucket key first, so every bucket is one file.
+    """
+    if bucket_by:
+        df = df.repartition(buckets, bucket_by)
     writer = df.write.mode("overwrite").format("parquet")
     if bucket_by:
         writer = writer.bucketBy(buckets, bucket_by).sortBy(bucket_by)

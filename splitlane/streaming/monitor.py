@@ -21,13 +21,10 @@ DAY_SECONDS = 86_400
 def outcome_stream(events: EventTables) -> DataFrame:
     """Payments and orders as one stream of ``event_key, timestamp, variant, ...``."""
     payments = events.payment_attempt.select(
-        F.concat_ws(
-            "|",
-            F.lit("payment"),
-            "checkout_id",
-            "payment_method",
-            F.col("timestamp").cast("string"),
-        ).alias("event_key"),
+        # no attempt id: only a row that is equal in every column is a repeat
+        F.to_json(F.struct(*sorted(events.payment_attempt.columns)), {"ignoreNullFields": "false"}).alias(
+            "event_key"
+        ),
         "timestamp",
         "variant",
         F.lit(1).alias("attempt"),
