@@ -1,14 +1,16 @@
 """Power and false-positive rates from re-randomized real traffic.
 
-Each replicate deals the real user-days to two arms by a salted hash, keeps a hash-chosen
+Each replicate deals the real users to two arms by a salted hash, keeps a hash-chosen
 part of them for a smaller sample size, and turns some treatment non-buyers into buyers
-for a given uplift. One digest per (user-day, replicate) decides all three, and one
+for a given uplift. A user is dealt, kept and lifted with all their days at once, as in
+the experiment itself. One digest per (user, replicate) decides all three, and one
 aggregation reduces a replicate to counts for every sample size and uplift at once: the
 shuffle carries a few rows per replicate, whatever the traffic.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -30,73 +32,112 @@ SAMPLE_SLOT, FLIP_SLOT = 0, 1
 
 @dataclass(frozen=True)
 class PowerGrid:
-    """Sample sizes (percent of real traffic), multiplicative uplifts and repeats."""
+    """Sample sizes, multiplicative uplifts and repeats.
+
+    Without ``users_per_day`` the sizes are ``sample_pcts`` of all users, tested over
+    the whole window. With it, sizes are numbers of users tested on one day, ``day`` or
+    else the first; users are re-used under new digests where the day has too few.
+    """
 
     sample_pcts: tuple[int, ...] = (25, 50, 100)
     uplifts: tuple[float, ...] = (0.0, 0.01, 0.02, 0.03)
     repeats: int = 20
     salt: str = "replicate"
     alpha: float = 0.05
+    users_per_day: tuple[int, ...] = ()
+    day: dt.date | None = None
+
+    @property
+    def sizes(self) -> tuple[int, ...]:
+        return self.users_per_day or self.sample_pcts
 
 
 GRID = PowerGrid()
 
 
-def unit_key() -> Column:
-    return F.concat_ws(":", F.col("user_id"), F.col("date").cast("string"))
+def known_user_days(events: EventTables) -> DataFrame:
+    """The user-days that can be dealt: rows without a user belong to nobody."""
+    return user_days(events).where(F.col("user_id").isNotNull())
+
+
+def grid_user_days(events: EventTables, grid: PowerGrid) -> DataFrame:
+    units = known_user_days(events)
+    if not grid.users_per_day:
+        return units
+    first = events.add_to_cart.agg(F.min("date")).scalar()
+    return units.where(F.col("date") == (F.lit(grid.day) if grid.day else first))
 
 
 def with_digests(
-    units: DataFrame, keep: list[str], repeats: int, salt: str
+    units: DataFrame,
+    keep: list[str],
+    repeats: int,
+    salt: str,
+    copies: Column | None = None,
 ) -> DataFrame:
-    """Every unit once per replicate, with the digest that decides its fate there.
+    """Every user's totals once per replicate, with the digest that decides their fate.
 
-    The work per unit grows by the number of replicates, so units are first spread
-    over all shuffle partitions: adaptive execution sizes partitions by their bytes
-    before this step and would leave the hashing to too few tasks.
+    ``days`` counts a user's user-days and ``orders`` the converted ones, per value of
+    ``keep``. The work per user grows by the number of replicates, so users are first
+    spread over all shuffle partitions: adaptive execution sizes partitions by their
+    bytes before this step and would leave the hashing to too few tasks. Totals need
+    no further shuffle. ``copies`` repeats users as independent ones.
     """
     slots = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        units.select(unit_key().alias("unit"), *keep)
-        .repartition(slots, "unit")
-        .withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-        .withColumn(
-            "digest", salted_digest("unit", F.concat(F.lit(salt), F.col("replicate")))
+    users = (
+        units.repartition(slots, "user_id")
+        .groupBy("user_id", *keep)
+        .agg(
+            F.count(F.lit(1)).alias("days"),
+            F.count_if(F.col("converted")).alias("orders"),
         )
     )
+    unit = F.col("user_id")
+    if copies is not None:
+        users = users.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
+        unit = F.when(F.col("_copy") == 1, unit).otherwise(
+            F.concat(unit, F.lit("#"), F.col("_copy"))
+        )
+    return users.withColumn(
+        "replicate", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
+    ).withColumn("digest", salted_digest(unit, F.concat(F.lit(salt), F.col("replicate"))))
 
 
-def replicated(units: DataFrame, repeats: int, salt: str) -> DataFrame:
-    """Every unit once per replicate with its re-dealt variant."""
-    dealt = with_digests(units, ["converted"], repeats, salt)
-    return dealt.withColumn("variant", variant_of_digest(F.col("digest")))
-
-
-def traffic_facts(units: DataFrame, uplifts: tuple[float, ...]) -> Column:
-    """One scalar struct: a draw threshold per uplift, and the average daily units.
+def traffic_facts(units: DataFrame, grid: PowerGrid) -> Column:
+    """One scalar struct: a draw threshold per size and uplift, and the traffic.
 
     Lifting a base rate p to p(1 + u) converts p * u / (1 - p) of the non-buyers.
     As one subquery it runs once, and no row computes a threshold itself.
     """
-    p = F.col("_rate")
+    p, users = F.col("_rate"), F.col("users")
     facts = units.agg(
         F.avg(F.col("converted").cast("double")).alias("_rate"),
+        F.count_distinct("user_id").alias("users"),
         F.try_divide(F.count(F.lit(1)).cast("double"), F.count_distinct("date")).alias(
             "per_day"
         ),
     )
+    if grid.users_per_day:
+        shares = [F.try_divide(F.lit(float(n)), users) for n in grid.users_per_day]
+    else:
+        shares = [F.lit(pct / 100.0) for pct in grid.sample_pcts]
+    copies = F.greatest(F.lit(1.0), *shares, F.lit(1.0))
+    facts = facts.withColumn("copies", F.ceil(copies).cast("int"))
     cuts = [
+        draw_threshold(F.coalesce(share / F.col("copies"), F.lit(0.0))).alias(f"s{i}")
+        for i, share in enumerate(shares)
+    ] + [
         draw_threshold(F.coalesce(F.try_divide(p * u, 1.0 - p), F.lit(0.0))).alias(f"u{j}")
-        for j, u in enumerate(uplifts)
+        for j, u in enumerate(grid.uplifts)
     ]
-    return facts.select(F.struct(*cuts, "per_day")).scalar()
+    return facts.select(F.struct(*cuts, "copies", "users", "per_day")).scalar()
 
 
 def replicate_counts(units: DataFrame, facts: Column, grid: PowerGrid) -> DataFrame:
     """Adders and orders per replicate, arm, sample size and uplift."""
     sampled = {
-        f"in_{i}": draw(F.col("digest"), SAMPLE_SLOT) < draw_threshold(pct / 100)
-        for i, pct in enumerate(grid.sample_pcts)
+        f"in_{i}": draw(F.col("digest"), SAMPLE_SLOT) < facts.getField(f"s{i}")
+        for i in range(len(grid.sizes))
     }
     flipped = {
         f"flip_{j}": (F.col("variant") == "treatment")
@@ -104,23 +145,25 @@ def replicate_counts(units: DataFrame, facts: Column, grid: PowerGrid) -> DataFr
         for j in range(len(grid.uplifts))
     }
     points = [
-        (i, pct, j, uplift)
-        for i, pct in enumerate(grid.sample_pcts)
+        (i, size, j, uplift)
+        for i, size in enumerate(grid.sizes)
         for j, uplift in enumerate(grid.uplifts)
     ]
-    adders = [f"count_if(in_{i}) AS n_{i}" for i in range(len(grid.sample_pcts))]
+    adders = [f"sum(if(in_{i}, days, 0)) AS n_{i}" for i in range(len(grid.sizes))]
     orders = [
-        f"count_if(in_{i} AND (converted OR flip_{j})) AS hit_{i}_{j}"
+        f"sum(if(in_{i}, if(flip_{j}, days, orders), 0)) AS hit_{i}_{j}"
         for i, _, j, _ in points
     ]
     cells = ", ".join(
-        f"struct({pct} AS sample_pct, {uplift!r}D AS uplift, n_{i} AS adders,"
+        f"struct({size} AS size, {uplift!r}D AS uplift, n_{i} AS adders,"
         f" hit_{i}_{j} AS orders)"
-        for i, pct, j, uplift in points
+        for i, size, j, uplift in points
     )
+    dealt = with_digests(
+        units, [], grid.repeats, grid.salt, facts.getField("copies")
+    ).withColumn("variant", variant_of_digest(F.col("digest")))
     return (
-        replicated(units, grid.repeats, grid.salt)
-        .withColumns({**sampled, **flipped})
+        dealt.withColumns({**sampled, **flipped})
         .groupBy("replicate", "variant")
         .agg(*map(F.expr, adders + orders))
         .selectExpr("replicate", "variant", f"inline(array({cells}))")
@@ -140,14 +183,13 @@ def _arms(cells: DataFrame, keys: list[str]) -> DataFrame:
 def detection_grid(events: EventTables, grid: PowerGrid = GRID) -> DataFrame:
     """Share of replicates detecting each uplift at each sample size.
 
-    A replicate that cannot be tested counts as not detecting: the denominator is
-    always the number of repeats.
+    ``users_tested`` is the number of users in a replicate, both arms together;
+    ``users_per_day`` the traffic that goes with it. A replicate that cannot be tested
+    counts as not detecting: the denominator is always the number of repeats.
     """
-    units = user_days(events)
-    facts = traffic_facts(units, grid.uplifts)
-    arms = _arms(
-        replicate_counts(units, facts, grid), ["replicate", "sample_pct", "uplift"]
-    )
+    units = grid_user_days(events, grid)
+    facts = traffic_facts(units, grid)
+    arms = _arms(replicate_counts(units, facts, grid), ["replicate", "size", "uplift"])
     tested = two_proportion_test(
         arms,
         "control_orders",
@@ -157,12 +199,18 @@ def detection_grid(events: EventTables, grid: PowerGrid = GRID) -> DataFrame:
         grid.alpha,
     )
     detected = F.coalesce(F.col("p_value") < grid.alpha, F.lit(False))
-    sample_per_day = facts.getField("per_day") * F.col("sample_pct") / 100.0
+
+    def sized(traffic: str) -> Column:
+        if grid.users_per_day:
+            return F.col("size").cast("bigint")
+        return F.floor(facts.getField(traffic) * F.col("size") / 100.0).cast("bigint")
+
     return (
-        tested.groupBy("sample_pct", "uplift")
+        tested.groupBy("size", "uplift")
         .agg(F.count_if(detected).alias("detections"))
         .select(
-            F.floor(sample_per_day).cast("bigint").alias("users_per_day"),
+            sized("per_day").alias("users_per_day"),
+            sized("users").alias("users_tested"),
             "uplift",
             F.lit(grid.repeats).cast("bigint").alias("repeats"),
             "detections",
@@ -173,14 +221,12 @@ def detection_grid(events: EventTables, grid: PowerGrid = GRID) -> DataFrame:
 
 
 def grid_points(events: EventTables, grid: PowerGrid = GRID) -> DataFrame:
-    """Every run of the grid with the arm sizes its re-randomization gives."""
-    units = user_days(events)
-    facts = traffic_facts(units, grid.uplifts)
-    arms = _arms(
-        replicate_counts(units, facts, grid), ["replicate", "sample_pct", "uplift"]
-    )
+    """Every run of the grid with the user-days its re-randomization gives each arm."""
+    units = grid_user_days(events, grid)
+    facts = traffic_facts(units, grid)
+    arms = _arms(replicate_counts(units, facts, grid), ["replicate", "size", "uplift"])
     return arms.select(
-        "sample_pct",
+        F.col("size").alias("users_per_day" if grid.users_per_day else "sample_pct"),
         "uplift",
         "replicate",
         F.concat(F.lit(grid.salt), F.col("replicate")).alias("salt"),

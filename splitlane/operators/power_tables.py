@@ -17,6 +17,7 @@ def power_table(grid: DataFrame) -> DataFrame:
     }
     return grid.withColumns(hundredfold).select(
         "users_per_day",
+        "users_tested",
         "uplift_pct",
         "detection_rate_pct",
         "detections",
@@ -88,19 +89,19 @@ def power_grid_shape(grid: DataFrame) -> DataFrame:
 
 
 def sample_size_table(grid: DataFrame) -> DataFrame:
-    """The smallest sample reaching each power target, per uplift (0 is the A/A row).
+    """The smallest tested sample reaching each power target, per uplift (0 is the A/A row).
 
     Where no tested sample reaches a target, the row shows the largest one tried.
     """
     targets = F.array(*[F.lit(t) for t in POWER_TARGETS])
     enough = F.col("detection_rate") >= F.col("target_pct") / 100.0
-    smallest = F.min(F.when(enough, F.col("users_per_day")))
+    smallest = F.min(F.when(enough, F.col("users_tested")))
     return (
         grid.withColumn("target_pct", F.explode(targets))
         .groupBy("uplift", "target_pct")
         .agg(
             smallest.isNotNull().alias("reached"),
-            F.coalesce(smallest, F.max("users_per_day")).alias("users_per_day"),
+            F.coalesce(smallest, F.max("users_tested")).alias("users_tested"),
         )
     )
 
@@ -108,5 +109,10 @@ def sample_size_table(grid: DataFrame) -> DataFrame:
 def false_positive_rate(grid: DataFrame) -> DataFrame:
     """Detections where nothing was changed, against the nominal alpha."""
     return grid.where(F.col("uplift") == 0).select(
-        "users_per_day", "repeats", "detections", "detection_rate", "alpha"
+        "users_per_day",
+        "users_tested",
+        "repeats",
+        "detections",
+        "detection_rate",
+        "alpha",
     )

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from splitlane.functions.assignment import draw, draw_threshold, variant_of_digest
 from splitlane.functions.inference import two_proportion_test
 from splitlane.functions.normal import two_sided_p
-from splitlane.operators.metrics import guardrails_daily, user_days
-from splitlane.operators.power import with_digests
+from splitlane.operators.metrics import guardrails_daily
+from splitlane.operators.power import known_user_days, with_digests
 from splitlane.operators.quality import side_by_side
 from splitlane.operators.readout import two_proportion_daily
 from splitlane.sources.contract import EventTables
@@ -44,16 +44,16 @@ def bootstrap_ci(
 ) -> DataFrame:
     """Percentile interval of the conversion effect from a Poisson bootstrap.
 
-    Each user-day draws its own weight in each resample, so resamples need no
-    central sampling and reduce to two sums per arm before any shuffle.
+    Each user draws a weight in each resample and brings all their days with it, so
+    resamples need no central sampling and reduce to two sums per arm before any shuffle.
     """
-    dealt = with_digests(user_days(events), ["variant", "converted"], repeats, salt)
+    dealt = with_digests(known_user_days(events), ["variant"], repeats, salt)
     resampled = (
         dealt.withColumn("weight", poisson_weight(F.col("digest")))
         .groupBy("replicate", "variant")
         .agg(
-            F.sum("weight").alias("adders"),
-            F.sum(F.when(F.col("converted"), F.col("weight")).otherwise(0)).alias("orders"),
+            F.sum(F.col("weight") * F.col("days")).alias("adders"),
+            F.sum(F.col("weight") * F.col("orders")).alias("orders"),
         )
     )
     return _rate_gap(resampled, ["replicate"]).agg(
@@ -70,18 +70,18 @@ def permutation_test(
 ) -> DataFrame:
     """Two-sided p-value of the observed effect among re-dealt labels.
 
-    Each replicate counts its units by dealt and by real label in one pass, so the
-    observed effect needs no second look at the traffic.
+    Users are re-dealt with all their days. Each replicate counts by dealt and by real
+    label in one pass, so the observed effect needs no second look at the traffic.
     """
 
     def effect(label: str) -> str:
         rates = [
-            f"try_divide(count_if({label} = '{v}' AND converted), count_if({label} = '{v}'))"
+            f"try_divide(sum(if({label} = '{v}', orders, 0)), sum(if({label} = '{v}', days, 0)))"
             for v in ("treatment", "control")
         ]
         return " - ".join(rates)
 
-    dealt = with_digests(user_days(events), ["variant", "converted"], repeats, salt)
+    dealt = with_digests(known_user_days(events), ["variant"], repeats, salt)
     effects = (
         dealt.withColumn("dealt", variant_of_digest(F.col("digest")))
         .groupBy("replicate")

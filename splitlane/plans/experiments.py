@@ -23,9 +23,12 @@ from splitlane.plans.common import (
 
 def _dealt(salt: str, repeats: int) -> str:
     return f"""
-dealt AS (SELECT u.date, u.variant AS real_variant, u.converted, replicate,
-    md5(u.user_id || ':' || CAST(u.date AS VARCHAR) || ':{salt}' || replicate) AS digest
-  FROM units u, range(0, {repeats}) reps(replicate)),
+users AS (SELECT user_id, variant, count(*) AS days,
+    count(*) FILTER (WHERE converted) AS orders
+  FROM units WHERE user_id IS NOT NULL GROUP BY user_id, variant),
+dealt AS (SELECT u.user_id, u.variant AS real_variant, u.days, u.orders, replicate,
+    md5(u.user_id || ':{salt}' || replicate) AS digest
+  FROM users u, range(0, {repeats}) reps(replicate)),
 drawn AS (SELECT *, CASE WHEN right(digest, 1) IN {EVEN} THEN 'treatment' ELSE 'control'
     END AS variant, CAST('0x' || substr(digest, 1, 8) AS BIGINT) AS first_draw,
     CAST('0x' || substr(digest, 9, 8) AS BIGINT) AS second_draw FROM dealt)"""
@@ -39,10 +42,12 @@ CELLS = (
 rate AS (SELECT avg(CASE WHEN converted THEN 1::DOUBLE ELSE 0 END) AS p FROM units),
 cells AS (
   SELECT replicate, variant, sample_pct, uplift,
-    count(*) FILTER (WHERE first_draw < floor(sample_pct / 100 * 4294967296)) AS adders,
-    count(*) FILTER (WHERE first_draw < floor(sample_pct / 100 * 4294967296)
-      AND (converted OR (variant = 'treatment' AND second_draw
-        < floor(least(p * uplift / (1 - p), 1) * 4294967296)))) AS orders
+    CAST(sum(CASE WHEN first_draw < floor(sample_pct / 100 * 4294967296) THEN days ELSE 0
+      END) AS BIGINT) AS adders,
+    CAST(sum(CASE WHEN first_draw >= floor(sample_pct / 100 * 4294967296) THEN 0
+      WHEN variant = 'treatment' AND second_draw
+        < floor(least(p * uplift / (1 - p), 1) * 4294967296) THEN days
+      ELSE orders END) AS BIGINT) AS orders
   FROM drawn, rate, (VALUES (25), (50), (100)) sizes(sample_pct),
     (VALUES (0::DOUBLE), (0.01::DOUBLE), (0.02::DOUBLE), (0.03::DOUBLE)) lifts(uplift)
   GROUP BY ALL)"""
@@ -56,13 +61,15 @@ POWER = (
 power AS (
   SELECT CAST(floor((SELECT count(*) / count(DISTINCT date) FROM units) * sample_pct
       / 100::DOUBLE) AS BIGINT) AS users_per_day,
+    CAST(floor((SELECT count(DISTINCT user_id) FROM units) * sample_pct / 100::DOUBLE)
+      AS BIGINT) AS users_tested,
     uplift, CAST(20 AS BIGINT) AS repeats, count(*) FILTER (WHERE p_value < 0.05) AS detections,
     count(*) FILTER (WHERE p_value < 0.05) / 20::DOUBLE AS detection_rate, 0.05::DOUBLE AS alpha
   FROM tested GROUP BY sample_pct, uplift)"""
 )
 
 GRID_COLUMNS = (
-    f"users_per_day, {r('uplift')}, repeats, detections, {r('detection_rate')}, {r('alpha')}"
+    f"users_per_day, users_tested, {r('uplift')}, repeats, detections, {r('detection_rate')}, {r('alpha')}"
 )
 
 
@@ -152,7 +159,7 @@ SELECT CAST(sample_pct AS BIGINT) AS sample_pct, {r('uplift')}, replicate, 'repl
         with_tables(
             POWER,
             select=f"""
-SELECT users_per_day, {r('uplift * 100', 'uplift_pct')},
+SELECT users_per_day, users_tested, {r('uplift * 100', 'uplift_pct')},
   {r('detection_rate * 100', 'detection_rate_pct')}, detections, repeats,
   {r('alpha * 100', 'alpha_pct')} FROM power""",
         ),
@@ -206,8 +213,8 @@ SELECT count(*) AS grid_points, count(DISTINCT users_per_day) AS sample_sizes,
             POWER,
             select=f"""
 SELECT {r('uplift')}, target_pct, count(*) FILTER (WHERE detection_rate >= target_pct / 100) > 0
-    AS reached, coalesce(min(users_per_day) FILTER (WHERE detection_rate >= target_pct / 100),
-    max(users_per_day)) AS users_per_day
+    AS reached, coalesce(min(users_tested) FILTER (WHERE detection_rate >= target_pct / 100),
+    max(users_tested)) AS users_tested
 FROM power, (VALUES (50::BIGINT), (80::BIGINT), (95::BIGINT)) targets(target_pct)
 GROUP BY power.uplift, target_pct""",
         ),
@@ -217,7 +224,7 @@ GROUP BY power.uplift, target_pct""",
         with_tables(
             POWER,
             select=f"""
-SELECT users_per_day, repeats, detections, {r('detection_rate')}, {r('alpha')}
+SELECT users_per_day, users_tested, repeats, detections, {r('detection_rate')}, {r('alpha')}
 FROM power WHERE uplift = 0""",
         ),
     ),
@@ -227,13 +234,13 @@ FROM power WHERE uplift = 0""",
             UNITS,
             _dealt("bootstrap", 100),
             f"""
-weighted AS (SELECT replicate, real_variant, converted, {POISSON} AS weight FROM drawn),
+weighted AS (SELECT replicate, real_variant, days, orders, {POISSON} AS weight FROM drawn),
 effects AS (
   SELECT replicate,
-    sum(weight) FILTER (WHERE real_variant = 'treatment' AND converted)
-      / sum(weight) FILTER (WHERE real_variant = 'treatment')
-    - sum(weight) FILTER (WHERE real_variant = 'control' AND converted)
-      / sum(weight) FILTER (WHERE real_variant = 'control') AS effect
+    sum(weight * orders) FILTER (WHERE real_variant = 'treatment')
+      / sum(weight * days) FILTER (WHERE real_variant = 'treatment')
+    - sum(weight * orders) FILTER (WHERE real_variant = 'control')
+      / sum(weight * days) FILTER (WHERE real_variant = 'control') AS effect
   FROM weighted GROUP BY replicate)""",
             select=f"""
 SELECT count(effect) AS replicates, {r('avg(effect)', 'effect_mean')},
@@ -248,8 +255,10 @@ SELECT count(effect) AS replicates, {r('avg(effect)', 'effect_mean')},
             _dealt("permute", 100),
             """
 effects AS (
-  SELECT replicate, avg(CAST(converted AS INTEGER)) FILTER (WHERE variant = 'treatment')
-    - avg(CAST(converted AS INTEGER)) FILTER (WHERE variant = 'control') AS effect
+  SELECT replicate, sum(orders) FILTER (WHERE variant = 'treatment')
+      / sum(days) FILTER (WHERE variant = 'treatment')
+    - sum(orders) FILTER (WHERE variant = 'control')
+      / sum(days) FILTER (WHERE variant = 'control') AS effect
   FROM drawn GROUP BY replicate),
 real_effect AS (
   SELECT avg(CAST(converted AS INTEGER)) FILTER (WHERE variant = 'treatment')

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import math
 import random
@@ -13,7 +14,7 @@ from splitlane.operators.metrics import user_days
 from splitlane.operators.power import PowerGrid
 
 GRID_SCHEMA = (
-    "users_per_day bigint, uplift double, repeats bigint, detections bigint,"
+    "users_per_day bigint, users_tested bigint, uplift double, repeats bigint, detections bigint,"
     " detection_rate double, alpha double"
 )
 
@@ -26,7 +27,7 @@ def published_grid(spark):
         100_000: (4, 13, 20, 20),
     }
     rows = [
-        (n, u, 20, d, d / 20, 0.05)
+        (n, n, u, 20, d, d / 20, 0.05)
         for n, counts in found.items()
         for u, d in zip((0.0, 0.01, 0.02, 0.03), counts)
     ]
@@ -73,7 +74,7 @@ def test_curve_sizes_and_shape(spark):
         "total_runs": 240,
     }
     needed = {
-        (r["uplift"], r["target_pct"]): (r["reached"], r["users_per_day"])
+        (r["uplift"], r["target_pct"]): (r["reached"], r["users_tested"])
         for r in records(power_tables.sample_size_table(grid))
     }
     assert needed[(0.02, 80)] == (True, 50_000)
@@ -93,38 +94,110 @@ def p_value(s_a, n_a, s_b, n_b):
     return math.erfc(abs(s_b / n_b - s_a / n_a) / se / math.sqrt(2)) if se else 1.0
 
 
+def returning_traffic(spark, users=300, seed=5):
+    """Users with one to four cart days, and a user-less cart row."""
+    rng = random.Random(seed)
+    carts, orders = [cart(None, "2025-01-01T01:00:00Z", "control")], []
+    for i in range(users):
+        variant = rng.choice(["control", "treatment"])
+        for n in range(1, rng.randint(1, 4) + 1):
+            day, at = dt.date(2025, 1, n), f"2025-01-0{n}T01:00:00Z"
+            carts.append(cart(f"u{i}", at, variant, date=day))
+            if rng.random() < 0.3:
+                orders.append(order(f"o{i}-{n}", f"c{i}-{n}", f"u{i}", at, variant=variant, date=day))
+    return tables(spark, add_to_cart=carts, order_completed=orders)
+
+
+def user_totals(events):
+    totals = {}
+    for r in records(user_days(events)):
+        if r["user_id"] is not None:
+            days, bought = totals.get(r["user_id"], (0, 0))
+            totals[r["user_id"]] = (days + 1, bought + r["converted"])
+    return totals
+
+
+def expected_cells(totals, plan, rate, copies, thresholds):
+    """Counts per (replicate, size, uplift): {variant: [orders, user-days]}."""
+    cells = {}
+    for rep in range(plan.repeats):
+        for user, (days, bought) in totals.items():
+            for copy in range(1, copies + 1):
+                d = digest(user if copy == 1 else f"{user}#{copy}", f"replicate{rep}")
+                variant = "treatment" if int(d, 16) % 2 == 0 else "control"
+                for size, cut in thresholds.items():
+                    for uplift in plan.uplifts:
+                        found = cells.setdefault((rep, size, uplift), {"control": [0, 0], "treatment": [0, 0]})
+                        if int(d[:8], 16) >= math.floor(cut * 2**32):
+                            continue
+                        flip = variant == "treatment" and int(d[8:16], 16) < math.floor(
+                            rate * uplift / (1 - rate) * 2**32
+                        )
+                        found[variant][1] += days
+                        found[variant][0] += days if flip else bought
+    return cells
+
+
+def detections(cells):
+    found = {}
+    for (_, size, uplift), arms in cells.items():
+        (s_a, n_a), (s_b, n_b) = arms["control"], arms["treatment"]
+        found.setdefault((size, uplift), 0)
+        found[(size, uplift)] += p_value(s_a, n_a, s_b, n_b) < 0.05
+    return found
+
+
 def test_grid_against_brute_force(spark):
-    events = traffic(spark)
-    plan = PowerGrid(sample_pcts=(40, 100), uplifts=(0.0, 0.5), repeats=8)
-    units = [(f"{r['user_id']}:{r['date']}", r["converted"]) for r in records(user_days(events))]
-    rate = statistics.mean(c for _, c in units)
-    expected = {}
-    for pct in plan.sample_pcts:
-        for uplift in plan.uplifts:
-            found = 0
-            for rep in range(plan.repeats):
-                cells = {"control": [0, 0], "treatment": [0, 0]}
-                for unit, converted in units:
-                    d = digest(unit, f"replicate{rep}")
-                    if int(d[:8], 16) >= math.floor(pct / 100 * 2**32):
-                        continue
-                    variant = "treatment" if int(d, 16) % 2 == 0 else "control"
-                    flip = variant == "treatment" and int(d[8:16], 16) < math.floor(
-                        rate * uplift / (1 - rate) * 2**32
-                    )
-                    cells[variant][1] += 1
-                    cells[variant][0] += converted or flip
-                (s_a, n_a), (s_b, n_b) = cells["control"], cells["treatment"]
-                found += p_value(s_a, n_a, s_b, n_b) < 0.05
-            expected[(math.floor(len(units) * pct / 100), uplift)] = found
-    grid = {(r["users_per_day"], r["uplift"]): r["detections"] for r in records(power.detection_grid(events, plan))}
-    assert grid == expected
-    assert grid[(600, 0.5)] > grid[(600, 0.0)]
+    events = returning_traffic(spark)
+    plan = PowerGrid(sample_pcts=(40, 100, 150), uplifts=(0.0, 0.5), repeats=8)
+    totals = user_totals(events)
+    assert max(days for days, _ in totals.values()) == 4
+    rate = sum(b for _, b in totals.values()) / sum(d for d, _ in totals.values())
+    shares = {pct: pct / 100 / 2 for pct in plan.sample_pcts}
+    expected = detections(expected_cells(totals, plan, rate, 2, shares))
+    grid = {
+        (r["users_tested"], r["uplift"]): r["detections"]
+        for r in records(power.detection_grid(events, plan))
+    }
+    assert grid == {(math.floor(300 * pct / 100), u): n for (pct, u), n in expected.items()}
+    assert grid[(300, 0.5)] > grid[(300, 0.0)]
+
+
+def test_stated_users_per_day_are_tested_on_the_first_day(spark):
+    events = returning_traffic(spark)
+    plan = PowerGrid(users_per_day=(100, 450), uplifts=(0.5,), repeats=6)
+    totals = {}
+    for r in records(user_days(events)):
+        if r["user_id"] is not None and str(r["date"]) == "2025-01-01":
+            totals[r["user_id"]] = (1, int(r["converted"]))
+    assert len(totals) == 300
+    rate = statistics.mean(b for _, b in totals.values())
+    shares = {n: n / 300 / 2 for n in plan.users_per_day}
+    cells = expected_cells(totals, plan, rate, 2, shares)
+    points = {
+        (r["replicate"], r["users_per_day"]): (r["control_adders"], r["treatment_adders"])
+        for r in records(power.grid_points(events, plan))
+    }
+    assert points == {(rep, n): (a["control"][1], a["treatment"][1]) for (rep, n, _), a in cells.items()}
+    grid = {
+        (r["users_per_day"], r["users_tested"]): r["detections"]
+        for r in records(power.detection_grid(events, plan))
+    }
+    assert grid == {(n, n): found for (n, _), found in detections(cells).items()}
+
+
+def test_no_user_is_in_two_arms_of_a_replicate(spark):
+    events = returning_traffic(spark)
+    dealt = power.with_digests(power.known_user_days(events), [], 10, "replicate")
+    rows = records(dealt)
+    assert len(rows) == 300 * 10
+    assert len({(r["user_id"], r["replicate"]) for r in rows}) == len(rows)
 
 
 def test_untestable_replicates_stay_in_the_denominator(spark):
     events = tables(spark, add_to_cart=[cart("only", "2025-01-01T01:00:00Z")])
     rows = records(power.detection_grid(events, PowerGrid(repeats=4)))
+    assert {r["users_tested"] for r in rows} == {0, 1}
     assert len(rows) == 12
     assert all(r["detections"] == 0 and r["repeats"] == 4 for r in rows)
 
