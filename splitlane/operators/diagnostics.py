@@ -13,6 +13,7 @@ from splitlane.operators.guardrails import evaluate
 from splitlane.operators.metrics import (
     conversions,
     guardrails_daily,
+    outer_joined,
     user_days,
     zero_if_absent,
 )
@@ -81,27 +82,38 @@ def gross_conversion(events: EventTables, min_rows: int = HEAVY_ROWS) -> DataFra
 
 
 def step_through(events: EventTables) -> DataFrame:
-    """Stage-to-stage rates per day and variant, and the stage losing most."""
-    by = ["date", "variant"]
+    """Stage-to-stage rates per day and variant, and the stage losing most.
 
-    def stage(df: DataFrame, key: str, name: str) -> DataFrame:
-        return df.groupBy(*by).agg(F.count_distinct(key).alias(name))
-
-    joined = stage(events.add_to_cart, "user_id", "adders")
-    for df, name in (
-        (events.begin_checkout, "begun"),
-        (events.payment_attempt, "paid"),
-        (events.order_completed, "ordered"),
-    ):
-        joined = joined.join(stage(df, "checkout_id", name), by, "left")
-    counted = joined.select(
-        *by, "adders", *[zero_if_absent(name) for name in ("begun", "paid", "ordered")]
-    ).withColumns(
-        {
-            "cart_to_begin": _rate("begun", "adders"),
-            "begin_to_payment": _rate("paid", "begun"),
-            "payment_to_order": _rate("ordered", "paid"),
-        }
+    A day and variant seen at any stage has a row. All stages are counted in one
+    aggregation of one union.
+    """
+    by = ["date", "variant"]
+    stages = {
+        "adders": (events.add_to_cart, "user_id"),
+        "begun": (events.begin_checkout, "checkout_id"),
+        "paid": (events.payment_attempt, "checkout_id"),
+        "ordered": (events.order_completed, "checkout_id"),
+    }
+    touches = None
+    for name, (df, key) in stages.items():
+        part = df.select(*by, F.lit(name).alias("_stage"), F.col(key).alias("_key"))
+        touches = part if touches is None else touches.unionAll(part)
+    distinct = touches.groupBy(*by, "_stage").agg(F.count_distinct("_key").alias("_n"))
+    counted = (
+        distinct.groupBy(*by)
+        .agg(
+            *[
+                F.coalesce(F.max(F.when(F.col("_stage") == s, F.col("_n"))), F.lit(0)).alias(s)
+                for s in stages
+            ]
+        )
+        .withColumns(
+            {
+                "cart_to_begin": _rate("begun", "adders"),
+                "begin_to_payment": _rate("paid", "begun"),
+                "payment_to_order": _rate("ordered", "paid"),
+            }
+        )
     )
     rates = ("cart_to_begin", "begin_to_payment", "payment_to_order")
     worst = F.least(*rates)
@@ -422,7 +434,10 @@ def ccr_by_hour(events: EventTables) -> DataFrame:
 
 
 def traffic_by_hour(events: EventTables) -> DataFrame:
-    """Checkout attempts and payments by hour of day; marks the busiest hour."""
+    """Checkout attempts and payments by hour of day; marks the busiest hour.
+
+    An hour with begun checkouts, step views or payments has a row.
+    """
     def by_hour(df: DataFrame, *aggs: Column) -> DataFrame:
         return df.groupBy(F.hour("timestamp").alias("hour")).agg(*aggs)
 
@@ -440,8 +455,8 @@ def traffic_by_hour(events: EventTables) -> DataFrame:
     )
     busiest = Window.orderBy(F.desc("checkouts"), "hour")
     return (
-        begun.join(latency, "hour", "left")
-        .join(paid, "hour", "left")
+        outer_joined([begun, latency, paid], ["hour"])
+        .fillna(0, ["checkouts", "attempts", "authorized_attempts"])
         .withColumn("auth_rate", _rate("authorized_attempts", "attempts"))
         .withColumn("peak", F.row_number().over(busiest) == 1)
     )

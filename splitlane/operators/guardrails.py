@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splitlane.functions.formatting import settled
+from splitlane.operators.dates import EVENT, day_of
 from splitlane.operators.metrics import guardrails_daily
 from splitlane.operators.quality import side_by_side
 from splitlane.sources.contract import EventTables
@@ -136,3 +137,70 @@ def guardrail_eval(
     events: EventTables, rules: Mapping[str, Mapping[str, float]] = PRESET_RULES
 ) -> DataFrame:
     return evaluate(daily_metric_rows(events), rules)
+
+
+TOTAL = "total"
+
+
+def scoped(df: DataFrame, day: Column, *aggs: Column) -> DataFrame:
+    """Aggregates per ``scope, variant``: every day as text, and the whole window."""
+    scope, variant = F.col("scope"), F.col("variant")
+    return (
+        df.withColumn("scope", day.cast("string"))
+        .groupingSets([[scope, variant], [variant]], scope, variant)
+        .agg(F.grouping("scope").alias("_total"), *aggs)
+        .withColumn("scope", F.when(F.col("_total") == 1, TOTAL).otherwise(scope))
+        .drop("_total")
+    )
+
+
+def scoped_metric_rows(events: EventTables) -> DataFrame:
+    """``scope, metric, baseline, treatment``: all preset metrics of days and window.
+
+    Every scope has a row per metric; what has no data in an arm is NULL there.
+    Latencies are counted per value first, so a percentile's state stays short.
+    """
+    payments = scoped(
+        events.payment_attempt,
+        day_of(EVENT),
+        F.try_divide(F.count_if("authorized") * 100.0, F.count(F.lit(1))).alias("value"),
+    )
+    orders = scoped(
+        events.order_completed, day_of(EVENT), F.avg("order_value").alias("value")
+    )
+    views = events.checkout_step_view.where(F.col("step_name") == "payment")
+    frequencies = views.groupBy("date", "variant", "latency_ms").agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    latencies = scoped(
+        frequencies,
+        F.col("date"),
+        F.percentile(F.col("latency_ms"), F.lit(0.95), F.col("_n")).alias("value"),
+    )
+    cells = None
+    sources = {
+        "payment_auth_rate": payments,
+        "aov": orders,
+        "payment_latency_p95": latencies,
+    }
+    for metric, source in sources.items():
+        part = source.select("scope", "variant", F.lit(metric).alias("metric"), "value")
+        cells = part if cells is None else cells.unionByName(part)
+
+    def arm(metric: str, variant: str, name: str) -> Column:
+        mine = (F.col("metric") == metric) & (F.col("variant") == variant)
+        return F.max(F.when(mine, F.col("value"))).alias(name)
+
+    structs = [
+        F.struct(
+            F.lit(metric).alias("metric"),
+            arm(metric, "control", "baseline"),
+            arm(metric, "treatment", "treatment"),
+        )
+        for metric in sources
+    ]
+    return (
+        cells.groupBy("scope")
+        .agg(F.array(*structs).alias("_rows"))
+        .select("scope", F.inline("_rows"))
+    )

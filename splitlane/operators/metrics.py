@@ -230,10 +230,51 @@ def guardrails_latest(events: EventTables) -> DataFrame:
     )
 
 
+def outer_joined(frames: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Grouped frames side by side; a key of any of them is kept."""
+    joined, *others = frames
+    for frame in others:
+        joined = joined.join(frame, keys, "full")
+    return joined
+
+
 def summary_stats(events: EventTables) -> DataFrame:
-    """Conversion counts next to guardrails, per event day and variant."""
-    return ccr_first_exposure(events).join(
-        guardrails_daily(events), ["date", "variant"]
+    """Conversion counts next to guardrails, per event day and variant.
+
+    A day and variant found in any table has a row; ``missing`` says what it lacks.
+    """
+    by = [day_of(EVENT).alias("date"), "variant"]
+    exposed = (
+        marts.experiments(events)
+        .groupBy(F.to_date("first_exposed_at").alias("date"), "variant")
+        .agg(F.count("user_id").alias("adders"))
+    )
+    joined = outer_joined(
+        [
+            exposed,
+            distinct_per(events.order_completed, by, "user_id", "orders"),
+            payment_totals(events.payment_attempt, by),
+            order_totals(events.order_completed, by),
+        ],
+        ["date", "variant"],
+    )
+    counts = ("adders", "orders", "total_attempts", "authorized", "order_count")
+    filled = joined.select("date", "variant", *map(zero_if_absent, counts), "aov")
+    lacks = {
+        "adders": "first exposures",
+        "total_attempts": "payments",
+        "order_count": "orders",
+    }
+    missing = F.concat_ws(
+        ", ", *[F.when(F.col(name) == 0, text) for name, text in lacks.items()]
+    )
+    return filled.select(
+        "date",
+        "variant",
+        *counts,
+        F.try_divide(F.col("authorized"), F.col("total_attempts")).alias("auth_rate"),
+        "aov",
+        F.nullif(missing, F.lit("")).alias("missing"),
     )
 
 

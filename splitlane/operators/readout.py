@@ -17,9 +17,10 @@ from splitlane.functions.inference import (
 )
 from splitlane.functions.normal import critical_value_of
 from splitlane.operators.dates import EVENT, day_of, newest
-from splitlane.operators.guardrails import guardrail_eval
+from splitlane.operators.guardrails import evaluate, scoped_metric_rows
 from splitlane.operators.metrics import (
     ccr_first_exposure,
+    ccr_rollup,
     ccr_same_day,
     guardrails_daily,
 )
@@ -154,19 +155,24 @@ def _decision_columns(plan: ExperimentPlan) -> dict[str, Column]:
 
 
 def ship_decision(events: EventTables, plan: ExperimentPlan = PLAN) -> DataFrame:
-    """One row per day: effect, guardrails and the verdict of three decision rules."""
+    """Effect, guardrails and the verdict of three rules, per day and for the window.
+
+    The ``total`` row decides the experiment: each user counts once there. The daily
+    rows look at the same data again and again at full alpha, so they only inform. A
+    guardrail without data in an arm has failed.
+    """
     guard = (
-        guardrail_eval(events)
-        .groupBy("date")
+        evaluate(scoped_metric_rows(events))
+        .groupBy("scope")
         .agg(
             F.min("passed").alias("guardrails_passed"),
             F.count_if(~F.col("passed")).alias("guardrails_failed"),
         )
     )
     return (
-        two_proportion_daily(events, plan.alpha)
-        .select("date", "effect_abs", "ci_low", "ci_high", "p_value", "invalid_reason")
-        .join(guard, "date", "left")
+        tested_cells(ccr_rollup(events), ["scope"], plan.alpha)
+        .select("scope", "effect_abs", "ci_low", "ci_high", "p_value", "invalid_reason")
+        .join(guard, "scope", "left")
         .withColumns(_decision_columns(plan))
     )
 
@@ -223,13 +229,15 @@ def aa_parity(
 
 
 def impact_projection(events: EventTables, days_per_year: int = 365) -> DataFrame:
-    """Orders and revenue gained per day if the measured lift held for everyone."""
+    """Orders and revenue gained per day if the measured lift held for everyone.
+
+    Days that cannot be projected stay, without figures and with their reason.
+    """
     tested = two_proportion_daily(events)
     wide = side_by_side(guardrails_daily(events), ["date"], ["aov"])
     adders = F.col("control_adders") + F.col("treatment_adders")
     return (
-        tested.join(wide, "date")
-        .where(F.col("invalid_reason").isNull())
+        tested.join(wide, "date", "left")
         .withColumn("incremental_orders", F.col("effect_abs") * adders)
         .withColumn(
             "incremental_revenue", F.col("incremental_orders") * F.col("treatment_aov")
@@ -240,6 +248,10 @@ def impact_projection(events: EventTables, days_per_year: int = 365) -> DataFram
             "incremental_orders",
             "incremental_revenue",
             (F.col("incremental_revenue") * days_per_year).alias("annual_revenue"),
+            F.coalesce(
+                "invalid_reason",
+                F.when(F.col("treatment_aov").isNull(), "no order value"),
+            ).alias("invalid_reason"),
         )
     )
 

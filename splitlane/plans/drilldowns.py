@@ -81,16 +81,17 @@ FROM (SELECT s.session_id, s.variant, bool_or(u.converted) AS converted
         on_events(diagnostics.step_through),
         with_tables(
             """
+touches AS (
+  SELECT date, variant, 'a' AS stage, user_id AS key FROM add_to_cart
+  UNION ALL SELECT date, variant, 'b', checkout_id FROM begin_checkout
+  UNION ALL SELECT date, variant, 'p', checkout_id FROM payment_attempt
+  UNION ALL SELECT date, variant, 'o', checkout_id FROM order_completed),
 stages AS (
-  SELECT a.date, a.variant, a.n AS adders, coalesce(b.n, 0) AS begun,
-    coalesce(p.n, 0) AS paid, coalesce(o.n, 0) AS ordered
-  FROM (SELECT date, variant, count(DISTINCT user_id) AS n FROM add_to_cart GROUP BY 1, 2) a
-  LEFT JOIN (SELECT date, variant, count(DISTINCT checkout_id) AS n FROM begin_checkout
-    GROUP BY 1, 2) b ON a.date = b.date AND a.variant = b.variant
-  LEFT JOIN (SELECT date, variant, count(DISTINCT checkout_id) AS n FROM payment_attempt
-    GROUP BY 1, 2) p ON a.date = p.date AND a.variant = p.variant
-  LEFT JOIN (SELECT date, variant, count(DISTINCT checkout_id) AS n FROM order_completed
-    GROUP BY 1, 2) o ON a.date = o.date AND a.variant = o.variant),
+  SELECT date, variant, count(DISTINCT key) FILTER (WHERE stage = 'a') AS adders,
+    count(DISTINCT key) FILTER (WHERE stage = 'b') AS begun,
+    count(DISTINCT key) FILTER (WHERE stage = 'p') AS paid,
+    count(DISTINCT key) FILTER (WHERE stage = 'o') AS ordered
+  FROM touches GROUP BY 1, 2),
 rates AS (SELECT *, begun / nullif(adders, 0) AS c, paid / nullif(begun, 0) AS b,
   ordered / nullif(paid, 0) AS o FROM stages)""",
             select=f"""
@@ -282,16 +283,22 @@ SELECT hour, variant, count(*) AS adders, count(*) FILTER (WHERE converted) AS o
         on_events(diagnostics.traffic_by_hour),
         with_tables(
             select=f"""
-SELECT b.hour, b.checkouts, {r('v.p50', 'p50_ms')}, {r('v.p95', 'p95_ms')}, p.attempts,
-  p.authorized AS authorized_attempts, {r('p.authorized / p.attempts', 'auth_rate')},
-  row_number() OVER (ORDER BY b.checkouts DESC, b.hour) = 1 AS peak
-FROM (SELECT hour("timestamp") AS hour, count(*) AS checkouts FROM begin_checkout GROUP BY 1) b
+SELECT h.hour, coalesce(b.checkouts, 0) AS checkouts, {r('v.p50', 'p50_ms')},
+  {r('v.p95', 'p95_ms')}, coalesce(p.attempts, 0) AS attempts,
+  coalesce(p.authorized, 0) AS authorized_attempts,
+  {r('p.authorized / p.attempts', 'auth_rate')},
+  row_number() OVER (ORDER BY coalesce(b.checkouts, 0) DESC, h.hour) = 1 AS peak
+FROM (SELECT hour("timestamp") AS hour FROM begin_checkout
+  UNION SELECT hour("timestamp") FROM checkout_step_view
+  UNION SELECT hour("timestamp") FROM payment_attempt) h
+LEFT JOIN (SELECT hour("timestamp") AS hour, count(*) AS checkouts FROM begin_checkout
+  GROUP BY 1) b ON h.hour = b.hour
 LEFT JOIN (SELECT hour("timestamp") AS hour, quantile_cont(latency_ms, 0.5) AS p50,
   quantile_cont(latency_ms, 0.95) AS p95 FROM checkout_step_view GROUP BY 1) v
-  ON b.hour = v.hour
+  ON h.hour = v.hour
 LEFT JOIN (SELECT hour("timestamp") AS hour, count(*) AS attempts,
   count(*) FILTER (WHERE authorized) AS authorized FROM payment_attempt GROUP BY 1) p
-  ON b.hour = p.hour"""
+  ON h.hour = p.hour"""
         ),
     ),
     "ccr_by_weekday": Query(

@@ -203,12 +203,32 @@ JOIN (SELECT variant, round((avg(order_value)) * 1.000000000001::DOUBLE, 2) AS a
     "summary_stats": Query(
         on_events(metrics.summary_stats),
         with_tables(
-            FIRST_EXPOSURE,
-            GUARDRAILS,
+            EXPERIMENTS,
+            """
+stat_rows AS (
+  SELECT CAST(first_exposed_at AS DATE) AS date, variant, count(*) AS adders, 0 AS orders,
+    0 AS total_attempts, 0 AS authorized, 0 AS order_count, NULL::DOUBLE AS aov
+  FROM experiments GROUP BY 1, 2
+  UNION ALL
+  SELECT CAST("timestamp" AS DATE), variant, 0, 0, count(*),
+    count(*) FILTER (WHERE authorized), 0, NULL FROM payment_attempt GROUP BY 1, 2
+  UNION ALL
+  SELECT CAST("timestamp" AS DATE), variant, 0, count(DISTINCT user_id), 0, 0, count(*),
+    avg(order_value) FROM order_completed GROUP BY 1, 2),
+stats AS (
+  SELECT date, variant, CAST(sum(adders) AS BIGINT) AS adders,
+    CAST(sum(orders) AS BIGINT) AS orders,
+    CAST(sum(total_attempts) AS BIGINT) AS total_attempts,
+    CAST(sum(authorized) AS BIGINT) AS authorized,
+    CAST(sum(order_count) AS BIGINT) AS order_count, max(aov) AS aov
+  FROM stat_rows GROUP BY 1, 2)""",
             select=f"""
-SELECT {day('g.date')}, g.variant, f.adders, f.orders, g.total_attempts, g.authorized,
-  {r('g.auth_rate', 'auth_rate')}, g.order_count, {r('g.aov', 'aov')}
-FROM first_exposure f JOIN guardrails g ON f.date = g.date AND f.variant = g.variant""",
+SELECT {day()}, variant, adders, orders, total_attempts, authorized, order_count,
+  {r('authorized / nullif(total_attempts, 0)', 'auth_rate')}, {r('aov')},
+  nullif(concat_ws(', ', CASE WHEN adders = 0 THEN 'first exposures' END,
+    CASE WHEN total_attempts = 0 THEN 'payments' END,
+    CASE WHEN order_count = 0 THEN 'orders' END), '') AS missing
+FROM stats""",
         ),
     ),
     "variant_funnel": Query(on_events(metrics.variant_funnel), EVENT_FUNNEL_SQL),
@@ -367,18 +387,44 @@ SELECT {day()}, metric, {r('baseline')}, {r('treatment')}, rule_type, {r('thresh
     "ship_decision": Query(
         on_events(readout.ship_decision),
         with_tables(
-            SAME_DAY,
-            DAILY,
-            EVALUATED,
+            UNITS,
+            """
+scoped_units AS (
+  SELECT CAST(date AS VARCHAR) AS scope, user_id, variant, converted FROM units
+  UNION ALL SELECT 'total', user_id, variant, bool_or(converted) FROM units GROUP BY 2, 3),
+scoped_cells AS (SELECT scope, variant, count(*) AS adders,
+    count(*) FILTER (WHERE converted) AS orders FROM scoped_units GROUP BY 1, 2)""",
+            tested_conversion("scoped_cells", "scope"),
             """
-guarded AS (SELECT date, bool_and(passed) AS guardrails_passed,
-  count(*) FILTER (WHERE NOT passed) AS guardrails_failed FROM judged GROUP BY date),
+scopes AS (SELECT unnest([CAST(day AS VARCHAR), 'total']) AS scope, day
+  FROM (SELECT DISTINCT date AS day FROM log)),
+metric_cells AS (
+  SELECT scope, variant, 'max_drop_pp' AS rule, 0.3::DOUBLE AS threshold,
+    avg(CASE WHEN authorized THEN 100::DOUBLE ELSE 0 END) AS value
+  FROM payment_attempt JOIN scopes ON CAST("timestamp" AS DATE) = day GROUP BY 1, 2
+  UNION ALL
+  SELECT scope, variant, 'max_drop_pct', 1::DOUBLE, avg(order_value)
+  FROM order_completed JOIN scopes ON CAST("timestamp" AS DATE) = day GROUP BY 1, 2
+  UNION ALL
+  SELECT scope, variant, 'max_increase_ms', 150::DOUBLE, quantile_cont(latency_ms, 0.95)
+  FROM checkout_step_view JOIN scopes ON date = day WHERE step_name = 'payment'
+  GROUP BY 1, 2),
+metric_pairs AS (
+  SELECT scope, rule, threshold, max(value) FILTER (WHERE variant = 'control') AS base,
+    max(value) FILTER (WHERE variant = 'treatment') AS treated
+  FROM metric_cells GROUP BY 1, 2, 3),
+verdicts AS (
+  SELECT scope, coalesce(CASE rule WHEN 'max_drop_pp' THEN base - treated
+      WHEN 'max_drop_pct' THEN (base - treated) / nullif(base, 0) * 100
+      ELSE treated - base END <= threshold, false) AS passed FROM metric_pairs),
+guarded AS (SELECT scope, count(*) FILTER (WHERE passed) = 3 AS guardrails_passed,
+    3 - count(*) FILTER (WHERE passed) AS guardrails_failed FROM verdicts GROUP BY scope),
 facts AS (SELECT t.*, coalesce(t.p_value < 0.05, false) AS significant,
     coalesce(g.guardrails_passed, false) AS guarded, g.guardrails_failed,
     coalesce(t.effect_abs, 0) AS lift
-  FROM tested t LEFT JOIN guarded g ON t.date = g.date)""",
+  FROM tested t LEFT JOIN guarded g ON t.scope = g.scope)""",
             select=f"""
-SELECT {day()}, {r('effect_abs')}, {r('ci_low')}, {r('ci_high')}, {r('p_value')},
+SELECT scope, {r('effect_abs')}, {r('ci_low')}, {r('ci_high')}, {r('p_value')},
   invalid_reason, guarded AS guardrails_passed, guardrails_failed, significant,
   CASE WHEN significant AND guarded THEN 'SHIP' ELSE 'DO NOT SHIP' END AS decision_by_test,
   CASE WHEN significant AND lift > 0 THEN 'SHIP' WHEN significant AND lift < 0
@@ -440,11 +486,14 @@ SELECT {day()}, {r('auth_gap_pp')}, {r('aov_gap')},
             """
 gained AS (SELECT t.date, effect_abs,
     effect_abs * (control_adders + treatment_adders) AS orders,
-    effect_abs * (control_adders + treatment_adders) * treatment_aov AS revenue
-  FROM tested t JOIN guard_pair g ON t.date = g.date WHERE invalid_reason IS NULL)""",
+    effect_abs * (control_adders + treatment_adders) * treatment_aov AS revenue,
+    coalesce(invalid_reason, CASE WHEN treatment_aov IS NULL THEN 'no order value' END)
+      AS reason
+  FROM tested t LEFT JOIN guard_pair g ON t.date = g.date)""",
             select=f"""
 SELECT {day()}, {r('effect_abs')}, {r('orders', 'incremental_orders')},
-  {r('revenue', 'incremental_revenue')}, {r('revenue * 365', 'annual_revenue')}
+  {r('revenue', 'incremental_revenue')}, {r('revenue * 365', 'annual_revenue')},
+  reason AS invalid_reason
 FROM gained""",
         ),
     ),

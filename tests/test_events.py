@@ -221,13 +221,13 @@ def test_one_variant_only(spark):
     events = tables(spark, add_to_cart=[cart("a", "2025-01-01T01:00:00Z")])
     row = one(readout.two_proportion_daily(events))
     assert row["invalid_reason"] == "no observations"
-    decision = one(readout.ship_decision(events))
-    assert decision["decision_by_test"] == "DO NOT SHIP"
-    assert decision["decision_by_sign"] == "INCONCLUSIVE"
+    for decision in records(readout.ship_decision(events)):
+        assert decision["decision_by_test"] == "DO NOT SHIP"
+        assert decision["decision_by_sign"] == "INCONCLUSIVE"
 
 
-def decision_events(spark, treated_auth):
-    carts, orders, payments = [], [], []
+def decision_events(spark, treated_auth, treated_ms=500, viewed=("control", "treatment")):
+    carts, orders, payments, views = [], [], [], []
     for variant, bought in (("control", 100), ("treatment", 180)):
         for i in range(400):
             user = f"{variant}{i}"
@@ -236,18 +236,87 @@ def decision_events(spark, treated_auth):
                 orders.append(order(user, user, user, "2025-01-01T02:00:00Z", variant=variant))
             authorized = variant == "control" or i < treated_auth
             payments.append(payment(user, authorized, "2025-01-01T02:00:00Z", variant))
-    return tables(spark, add_to_cart=carts, order_completed=orders, payment_attempt=payments)
+            if variant in viewed:
+                ms = 500 if variant == "control" else treated_ms
+                views.append(view(user, "payment", 2, "2025-01-01T01:30:00Z", ms, variant))
+    return tables(
+        spark,
+        add_to_cart=carts,
+        order_completed=orders,
+        payment_attempt=payments,
+        checkout_step_view=views,
+    )
+
+
+def decisions(events):
+    return {row["scope"]: row for row in records(readout.ship_decision(events))}
 
 
 def test_three_decision_rules(spark):
-    healthy = one(readout.ship_decision(decision_events(spark, 400)))
-    assert {healthy[f"decision_by_{r}"] for r in ("test", "sign", "plan")} == {"SHIP"}
-    breached = one(readout.ship_decision(decision_events(spark, 300)))
+    healthy = decisions(decision_events(spark, 400))
+    assert set(healthy) == {"2025-01-01", "total"}
+    for row in healthy.values():
+        assert {row[f"decision_by_{r}"] for r in ("test", "sign", "plan")} == {"SHIP"}
+    breached = decisions(decision_events(spark, 300))["2025-01-01"]
     assert breached["guardrails_failed"] == 1
     assert breached["decision_by_sign"] == "SHIP"
     assert breached["decision_by_test"] == breached["decision_by_plan"] == "DO NOT SHIP"
 
 
+def test_slow_payments_alone_stop_a_launch(spark):
+    for row in decisions(decision_events(spark, 400, treated_ms=651)).values():
+        assert row["guardrails_failed"] == 1
+        assert row["decision_by_sign"] == "SHIP" and row["decision_by_plan"] == "DO NOT SHIP"
+    for row in decisions(decision_events(spark, 400, treated_ms=650)).values():
+        assert row["decision_by_plan"] == "SHIP"
+
+
+def test_a_guardrail_without_data_has_failed(spark):
+    for viewed in ((), ("control",)):
+        for row in decisions(decision_events(spark, 400, viewed=viewed)).values():
+            assert row["guardrails_failed"] == 1 and row["decision_by_plan"] == "DO NOT SHIP"
+
+
+def test_the_window_counts_a_user_once(spark):
+    carts = [
+        cart(f"{v}{i}", f"2025-01-0{d.day}T01:00:00Z", v, date=d)
+        for v in ("control", "treatment")
+        for i in range(30)
+        for d in (DAY, NEXT)
+    ]
+    orders = [
+        order(f"o{i}", f"c{i}", f"treatment{i}", "2025-01-02T02:00:00Z", variant="treatment", date=NEXT)
+        for i in range(15)
+    ]
+    rows = decisions(tables(spark, add_to_cart=carts, order_completed=orders))
+    assert rows["2025-01-01"]["effect_abs"] == 0.0
+    assert rows["2025-01-02"]["effect_abs"] == rows["total"]["effect_abs"] == 0.5
+
+
+def test_cells_without_every_stage_stay(spark):
+    events = tables(
+        spark,
+        payment_attempt=[payment("c1", True, "2025-01-01T05:00:00Z")],
+        order_completed=[order("o1", "c2", "u", "2025-01-02T06:00:00Z", 20.0, "treatment", NEXT)],
+    )
+    stats = {(r["date"], r["variant"]): r for r in records(metrics.summary_stats(events))}
+    assert stats[(DAY, "control")]["missing"] == "first exposures, orders"
+    assert stats[(DAY, "control")]["auth_rate"] == 1.0
+    assert stats[(NEXT, "treatment")]["missing"] == "first exposures, payments"
+    assert stats[(NEXT, "treatment")]["aov"] == 20.0
+    steps = {(r["date"], r["variant"]): r for r in records(diagnostics.step_through(events))}
+    assert steps[(DAY, "control")]["paid"] == 1 and steps[(DAY, "control")]["adders"] == 0
+    assert steps[(NEXT, "treatment")]["ordered"] == 1
+    hours = {r["hour"]: r for r in records(diagnostics.traffic_by_hour(events))}
+    assert set(hours) == {5} and hours[5]["checkouts"] == 0 and hours[5]["attempts"] == 1
+
+
+def test_days_that_cannot_be_projected_say_why(spark):
+    one_arm = tables(spark, add_to_cart=[cart("u", "2025-01-01T01:00:00Z")])
+    row = one(readout.impact_projection(one_arm))
+    assert row["annual_revenue"] is None and row["invalid_reason"] == "no observations"
+
+
 def test_small_lift_ships_only_without_the_size_rule(spark):
     df = spark.createDataFrame(
         [(0.001, 0.01, True), (-0.02, 0.01, True)],
