@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +18,7 @@ from splitlane.operators.metrics import (
     user_days,
 )
 from splitlane.operators.skew import HEAVY_ROWS, salted_lookup
-from splitlane.sources.contract import GATE_ENUMS, VARIANTS, EventTables
+from splitlane.sources.contract import CONTRACT_ENUMS, GATE_ENUMS, VARIANTS, EventTables
 
 BALANCE_BAND = (48.0, 52.0)
 SAMPLE_ROWS = 10
@@ -217,9 +217,64 @@ def enum_violations(
     return enum_profile(events, contract).where(~F.col("valid")).drop("valid")
 
 
-def with_contract_flag(df: DataFrame, contract: Mapping[str, tuple[str, ...]]) -> DataFrame:
-    """Row-level contract: the first broken enum field, and ``valid`` when none is."""
+def enum_summary(
+    events: EventTables,
+    contract: Mapping[tuple[str, str], tuple[str, ...]] = CONTRACT_ENUMS,
+) -> DataFrame:
+    """Per contracted column: distinct values, and the values and rows that break it.
+
+    A column of an empty table has no row.
+    """
+    bad = ~F.col("valid")
+    return (
+        enum_profile(events, contract)
+        .groupBy("table_name", "field")
+        .agg(
+            F.count(F.lit(1)).alias("distinct_values"),
+            F.count_if(bad).alias("bad_values"),
+            F.sum(F.when(bad, F.col("rows")).otherwise(0)).alias("bad_rows"),
+        )
+        .withColumn("passed", F.col("bad_values") == 0)
+    )
+
+
+def required_fields(events: EventTables) -> DataFrame:
+    """Per table and field: rows, and rows without a value.
+
+    Every field of the contract is required. An unreadable timestamp is a missing one.
+    """
+    out = None
+    for table, df in events.items():
+        counts = df.agg(
+            F.count(F.lit(1)).alias("rows"),
+            *[F.count(field).alias(f"_{field}") for field in df.columns],
+        )
+        fields = F.array(
+            *[
+                F.struct(
+                    F.lit(field).alias("field"),
+                    (F.col("rows") - F.col(f"_{field}")).alias("missing"),
+                )
+                for field in df.columns
+            ]
+        )
+        part = counts.select(F.lit(table).alias("table_name"), "rows", F.inline(fields))
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("passed", F.col("missing") == 0)
+
+
+def with_contract_flag(
+    df: DataFrame,
+    contract: Mapping[str, tuple[str, ...]],
+    required: Iterable[str] = (),
+) -> DataFrame:
+    """Row-level contract: the first broken field, and ``valid`` when none is.
+
+    Enum fields come first, then ``required`` ones without a value.
+    """
     broken = F.lit(None).cast("string")
+    for field in reversed([f for f in required if f not in contract]):
+        broken = F.when(F.col(field).isNull(), F.lit(field)).otherwise(broken)
     for field, allowed in reversed(list(contract.items())):
         bad = ~allowed_value(F.col(field), allowed)
         broken = F.when(bad, F.lit(field)).otherwise(broken)
@@ -229,16 +284,33 @@ def with_contract_flag(df: DataFrame, contract: Mapping[str, tuple[str, ...]]) -
 
 
 def quarantine(
-    df: DataFrame, contract: Mapping[str, tuple[str, ...]]
+    df: DataFrame,
+    contract: Mapping[str, tuple[str, ...]],
+    required: Iterable[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """Split a table into rows that keep the contract and rows that break it."""
-    flagged = with_contract_flag(df, contract)
+    flagged = with_contract_flag(df, contract, required)
     return (
         flagged.where("valid").drop("valid", "broken_field"),
         flagged.where("NOT valid").drop("valid"),
     )
 
 
+def contract_outcomes(events: EventTables) -> DataFrame:
+    """Rows of every table by the contract field they break first, ``none`` if none."""
+    out = None
+    for table, df in events.items():
+        enums = {f: allowed for (t, f), allowed in CONTRACT_ENUMS.items() if t == table}
+        part = (
+            with_contract_flag(df, enums, df.columns)
+            .groupBy("date", F.coalesce("broken_field", F.lit("none")).alias("broken_field"))
+            .agg(F.count(F.lit(1)).alias("rows"))
+            .select(F.lit(table).alias("table_name"), "date", "broken_field", "rows")
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # --- randomization ---------------------------------------------------------------
 
 

@@ -27,8 +27,8 @@ from splitlane.plans.common import (
 from splitlane.sources import sinks
 from splitlane.sources.activity_log import read_activity_log
 from splitlane.sources.contract import (
+    CONTRACT_ENUMS,
     EVENT_NAMES,
-    PAYMENT_METHODS,
     STEP_NAMES,
     VARIANTS,
     EventTables,
@@ -79,18 +79,31 @@ def views_through_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mart_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Materialize the order mart in the shared folder, and read it back."""
-    path = sinks.shared_folder(spark, "mart")
-    orders = marts.orders(read_activity_log(spark, sf_dir))
-    orders.write.mode("overwrite").parquet(path)
-    stored = spark.read.schema(orders.schema).parquet(path)
-    return presentable(
-        stored.groupBy("currency", "variant").agg(
-            F.count(F.lit(1)).alias("orders"),
-            F.min("ordered_at").alias("first_at"),
-            F.max("order_value").alias("largest_order"),
+    """Materialize the three marts in the shared folder, and summarize them as stored."""
+    path = sinks.shared_folder(spark, "marts")
+    database = f"splitlane_{path.rsplit('-', 1)[1]}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{path}'")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    results.build_marts(read_activity_log(spark, sf_dir), database, buckets)
+    out = None
+    for name, key, moment_of in (
+        ("fct_experiments", "user_id", "first_exposed_at"),
+        ("fct_checkout_steps", "checkout_id", "first_seen_at"),
+        ("fct_orders", "checkout_id", "ordered_at"),
+    ):
+        part = (
+            spark.table(f"{database}.{name}")
+            .groupBy("variant")
+            .agg(
+                F.count(F.lit(1)).alias("rows"),
+                F.count_distinct(key).alias("keys"),
+                F.min(moment_of).alias("first_at"),
+                F.max(moment_of).alias("last_at"),
+            )
+            .select(F.lit(name).alias("mart"), "*")
         )
-    )
+        out = part if out is None else out.unionByName(part)
+    return presentable(out)
 
 
 def funnel_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,13 +220,54 @@ ENUM_VALUES = {
     ("order_completed", "variant"): VARIANTS,
 }
 
-# Payment and error enums narrowed, so that the check has something to find.
-NARROW_CONTRACT = {
-    ("form_error", "error_code"): ("invalid", "declined"),
-    ("payment_attempt", "payment_method"): PAYMENT_METHODS[:1],
-    ("checkout_step_view", "step_name"): STEP_NAMES[1:],
+# The contract of every enum column, stated apart from the operators'.
+VARIANT_ENUM = ("control", "treatment")
+STEP_ENUM = ("address", "shipping", "payment", "review")
+CONTRACT = {
+    ("add_to_cart", "variant"): VARIANT_ENUM,
+    ("begin_checkout", "variant"): VARIANT_ENUM,
+    ("checkout_step_view", "variant"): VARIANT_ENUM,
+    ("form_error", "variant"): VARIANT_ENUM,
+    ("payment_attempt", "variant"): VARIANT_ENUM,
+    ("order_completed", "variant"): VARIANT_ENUM,
+    ("checkout_step_view", "step_name"): STEP_ENUM,
+    ("form_error", "step_name"): STEP_ENUM,
+    ("form_error", "error_code"): ("invalid", "declined", "timeout"),
+    ("payment_attempt", "payment_method"): ("card", "paypal"),
+}
+FIELDS = {
+    "add_to_cart": "user_id session_id timestamp cart_value items_count variant date",
+    "begin_checkout": "user_id checkout_id timestamp variant date",
+    "checkout_step_view": "checkout_id step_name step_index timestamp variant latency_ms date",
+    "form_error": "checkout_id step_name field_name error_code timestamp variant date",
+    "payment_attempt": "checkout_id payment_method authorized timestamp variant date",
+    "order_completed": "order_id checkout_id user_id timestamp order_value currency variant date",
 }
 
+REQUIRED_SQL = " UNION ALL ".join(
+    f"SELECT '{table}' AS table_name, '{field}' AS field, count(*) AS rows,"
+    f' count(*) - count("{field}") AS missing, count(*) = count("{field}") AS passed'
+    f" FROM {table}"
+    for table, fields in FIELDS.items()
+    for field in fields.split()
+)
+
+
+def _outcomes_sql() -> str:
+    """Rows per table, day and first broken field: enums first, then missing values."""
+    parts = []
+    for table, fields in FIELDS.items():
+        enums = {f: allowed for (t, f), allowed in CONTRACT.items() if t == table}
+        cases = [
+            f"WHEN coalesce({f} NOT IN {allowed}, true) THEN '{f}'"
+            for f, allowed in enums.items()
+        ] + [f"WHEN \"{f}\" IS NULL THEN '{f}'" for f in fields.split() if f not in enums]
+        parts.append(
+            f"SELECT '{table}' AS table_name, {day()}, CASE {' '.join(cases)} ELSE 'none'"
+            f" END AS broken_field, count(*) AS rows FROM {table} GROUP BY ALL"
+        )
+    return " UNION ALL ".join(parts)
+
 
 def _profile_sql(contract: dict) -> str:
     return " UNION ALL ".join(
@@ -224,25 +278,6 @@ def _profile_sql(contract: dict) -> str:
     )
 
 
-def quarantined_errors(events: EventTables) -> DataFrame:
-    """Form errors split by a row contract, then counted on both sides."""
-    kept, rejected = quality.quarantine(
-        events.form_error,
-        {"step_name": STEP_NAMES[1:], "error_code": ("invalid", "declined")},
-    )
-    by = ["date", "variant"]
-    return (
-        kept.withColumn("broken_field", F.lit("none"))
-        .unionByName(rejected)
-        .groupBy(*by, "broken_field")
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
-
-
-def _enum_gate(events: EventTables) -> DataFrame:
-    return quality.enum_violations(events, NARROW_CONTRACT)
-
-
 AA_PAIR = wide("aa", "aa_pair", "date", ["adders", "orderers"])
 AA = (
     SAME_DAY
@@ -343,9 +378,18 @@ FROM order_completed GROUP BY date, variant"""
     "mart_tables": Query(
         mart_tables,
         with_tables(
-            select=f"""
-SELECT currency, variant, count(*) AS orders, {moment('min(timestamp)', 'first_at')},
-  {r('max(order_value)', 'largest_order')} FROM order_completed GROUP BY 1, 2"""
+            EXPERIMENTS,
+            STEP_JOIN,
+            select=" UNION ALL ".join(
+                f"SELECT '{mart}' AS mart, variant, count(*) AS rows,"
+                f" count(DISTINCT {key}) AS keys, {moment(f'min({at})', 'first_at')},"
+                f" {moment(f'max({at})', 'last_at')} FROM {source} GROUP BY variant"
+                for mart, source, key, at in (
+                    ("fct_experiments", "experiments", "user_id", "first_exposed_at"),
+                    ("fct_checkout_steps", "steps", "checkout_id", "first_seen_at"),
+                    ("fct_orders", "order_completed", "checkout_id", '"timestamp"'),
+                )
+            ),
         ),
     ),
     "funnel_csv_roundtrip": Query(funnel_csv, EVENT_FUNNEL_SQL),
@@ -409,25 +453,25 @@ UNION ALL SELECT 'timestamp_order', left(key, 20), detail FROM early_sample""",
         ),
     ),
     "dq_enum_values": Query(
-        on_events(quality.enum_profile), with_tables(select=_profile_sql(ENUM_VALUES))
+        on_events(lambda events: quality.enum_profile(events, CONTRACT_ENUMS)),
+        with_tables(select=_profile_sql(CONTRACT)),
     ),
     "dq_enum_violations": Query(
-        on_events(_enum_gate),
+        on_events(quality.enum_summary),
         with_tables(
             select=f"""
-SELECT table_name, field, value, rows FROM ({_profile_sql(NARROW_CONTRACT)})
-WHERE NOT valid"""
+SELECT table_name, field, count(*) AS distinct_values,
+  count(*) FILTER (WHERE NOT valid) AS bad_values,
+  CAST(coalesce(sum(rows) FILTER (WHERE NOT valid), 0) AS BIGINT) AS bad_rows,
+  count(*) FILTER (WHERE NOT valid) = 0 AS passed
+FROM ({_profile_sql(CONTRACT)}) GROUP BY 1, 2"""
         ),
     ),
+    "dq_required_fields": Query(
+        on_events(quality.required_fields), with_tables(select=REQUIRED_SQL)
+    ),
     "contract_quarantine": Query(
-        on_events(quarantined_errors),
-        with_tables(
-            select=f"""
-SELECT {day()}, variant, CASE WHEN step_name NOT IN ('shipping', 'payment', 'review')
-    THEN 'step_name' WHEN error_code NOT IN ('invalid', 'declined') THEN 'error_code'
-    ELSE 'none' END AS broken_field, count(*) AS rows
-FROM form_error GROUP BY 1, 2, 3"""
-        ),
+        on_events(quality.contract_outcomes), with_tables(select=_outcomes_sql())
     ),
     "variant_balance": Query(
         on_events(quality.variant_balance),

@@ -8,11 +8,26 @@ from pyspark.sql import functions as F
 from splitlane.sources.contract import EVENT_NAMES, RAW_SCHEMAS, EventTables
 
 
+WITH_OFFSET = r":\d\d(\.\d+)? ?[+-]\d"
+
+
 def parse_timestamps(df: DataFrame) -> DataFrame:
-    """ISO-8601 text to a UTC wall-clock timestamp; unreadable text becomes NULL."""
+    """ISO-8601 text to a UTC wall-clock timestamp; unreadable text becomes NULL.
+
+    Text with an offset is moved to UTC; text without one is in UTC already.
+    """
     if dict(df.dtypes)["timestamp"] != "string":
         return df
-    return df.withColumn("timestamp", F.col("timestamp").try_cast("timestamp_ntz"))
+    text = F.col("timestamp")
+    seconds = F.unix_micros(text.try_cast("timestamp")).cast("decimal(20,0)") / F.lit(
+        1_000_000
+    ).cast("decimal(7,0)")
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    moved = epoch + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+    plain = text.try_cast("timestamp_ntz")
+    return df.withColumn(
+        "timestamp", F.when(text.rlike(WITH_OFFSET), moved).otherwise(plain)
+    )
 
 
 def read_event(

@@ -217,6 +217,54 @@ def test_quarantine_splits_and_names_the_field(spark):
     assert one(rejected)["broken_field"] == "error_code"
 
 
+def test_contract_of_every_table(spark):
+    events = tables(
+        spark,
+        form_error=[
+            error("c1", "payment", "2025-01-01T01:00:00Z"),
+            error("c1", "cart", "2025-01-01T01:00:00Z"),
+            error("c1", "payment", "not a time"),
+            error(None, "payment", "2025-01-01T01:00:00Z"),
+        ],
+        payment_attempt=[payment("c1", True, "2025-01-01T01:00:00Z", method="cash")],
+    )
+    broken = {
+        (r["table_name"], r["broken_field"]): r["rows"]
+        for r in records(quality.contract_outcomes(events))
+    }
+    assert broken == {
+        ("form_error", "none"): 1,
+        ("form_error", "step_name"): 1,
+        ("form_error", "timestamp"): 1,
+        ("form_error", "checkout_id"): 1,
+        ("payment_attempt", "payment_method"): 1,
+    }
+    missing = {
+        (r["table_name"], r["field"]): r["missing"]
+        for r in records(quality.required_fields(events))
+        if not r["passed"]
+    }
+    assert missing == {("form_error", "timestamp"): 1, ("form_error", "checkout_id"): 1}
+    enums = {(r["table_name"], r["field"]): r for r in records(quality.enum_summary(events))}
+    assert len(enums) == 5
+    assert enums[("payment_attempt", "payment_method")]["bad_rows"] == 1
+    assert enums[("form_error", "error_code")]["passed"]
+
+
+def test_offsets_are_moved_to_utc(spark):
+    texts = {
+        "2025-01-02T00:30:00+02:00": dt.datetime(2025, 1, 1, 22, 30),
+        "2025-01-01T20:30:00.123456-05:30": dt.datetime(2025, 1, 2, 2, 0, 0, 123456),
+        "2025-01-01T20:30:00.5Z": dt.datetime(2025, 1, 1, 20, 30, 0, 500000),
+        "2025-01-01T20:30:00": dt.datetime(2025, 1, 1, 20, 30),
+        "2025-01-01": dt.datetime(2025, 1, 1),
+        "2025-01-01T25:30:00+02:00": None,
+    }
+    events = tables(spark, add_to_cart=[cart(text, text) for text in texts])
+    found = {r["user_id"]: r["timestamp"] for r in records(events.add_to_cart)}
+    assert found == texts
+
+
 def test_one_variant_only(spark):
     events = tables(spark, add_to_cart=[cart("a", "2025-01-01T01:00:00Z")])
     row = one(readout.two_proportion_daily(events))
