@@ -47,10 +47,7 @@ closed AS (
   SELECT CAST("timestamp" AS DATE) AS date, variant, CAST(sum(attempt) AS BIGINT)
       AS total_attempts, CAST(sum(authorized) AS BIGINT) AS authorized,
     CAST(sum(ordered) AS BIGINT) AS order_count, sum(order_value) AS order_value
-  FROM outcomes
-  WHERE CAST("timestamp" AS DATE) + INTERVAL 1 DAY
-    <= (SELECT max("timestamp") - INTERVAL 2 HOUR FROM outcomes)
-  GROUP BY 1, 2)"""
+  FROM outcomes GROUP BY 1, 2)"""
 
 
 def monitor_days(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from splitlane.sources.sinks import shared_folder
 
 LATENESS = "2 hours"
 DAY_SECONDS = 86_400
+END_OF_INPUT = 253_370_764_800  # 9999-01-01
 
 
 def outcome_stream(events: EventTables) -> DataFrame:
@@ -96,12 +97,39 @@ def judge_days(
     return evaluate(wide.select("date", F.inline(F.array(*rows))), rules)
 
 
-def run_monitor(outcomes: DataFrame, out: str, checkpoint: str, lateness: str = LATENESS):
+def end_marker(outcomes: DataFrame) -> DataFrame:
+    """One outcome beyond every real day: once seen, all real days can close."""
+    spark = outcomes.sparkSession
+    known = {
+        "event_key": F.lit("end of input"),
+        "timestamp": F.timestamp_seconds(F.lit(END_OF_INPUT)),
+    }
+    return spark.range(1).select(
+        *[
+            known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in outcomes.schema.fields
+        ]
+    )
+
+
+def run_monitor(
+    outcomes: DataFrame,
+    out: str,
+    checkpoint: str,
+    lateness: str = LATENESS,
+    final: bool = False,
+):
     """Process what has arrived so far; write closed days and their verdicts.
 
     Each micro-batch overwrites its own folder, so a batch repeated after a failure
-    replaces its first try.
+    replaces its first try. ``final`` ends a bounded input: after all of it, a marker
+    goes in by a second source and closes the days still open. What arrives later is
+    late. Spark counts late and repeated rows in the query's progress, as
+    ``numRowsDroppedByWatermark`` and ``numDroppedDuplicateRows``.
     """
+    spark, ends = outcomes.sparkSession, f"{out}/end"
+    marker = end_marker(outcomes)
+    marker.limit(0).write.mode("ignore").parquet(ends)
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/days/batch={batch_id}")
@@ -110,20 +138,30 @@ def run_monitor(outcomes: DataFrame, out: str, checkpoint: str, lateness: str =
         )
         judge_days(days).write.mode("overwrite").parquet(f"{out}/verdicts/batch={batch_id}")
 
-    query = (
-        daily_outcomes(outcomes, lateness)
-        .writeStream.outputMode("append")
-        .foreachBatch(save)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    def drain():
+        arrived = outcomes.unionByName(
+            spark.readStream.schema(outcomes.schema).parquet(ends)
+        )
+        query = (
+            daily_outcomes(arrived, lateness)
+            .writeStream.outputMode("append")
+            .foreachBatch(save)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+        return query
+
+    query = drain()
+    if final:
+        marker.write.mode("append").parquet(ends)
+        query = drain()
     return query
 
 
 def monitor_activity_log(spark: SparkSession, folder: str, pattern: str) -> tuple[DataFrame, DataFrame]:
-    """Run the monitor over the log files of a folder; closed days and verdicts."""
+    """Run the monitor over all log files of a folder; every day, and its verdicts."""
     log = (
         spark.readStream.schema(
             "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,"
@@ -133,7 +171,7 @@ def monitor_activity_log(spark: SparkSession, folder: str, pattern: str) -> tupl
         .parquet(folder)
     )
     out = shared_folder(spark, "monitor")
-    run_monitor(outcome_stream(events_from_activity_log(log)), out, f"{out}/checkpoint")
+    run_monitor(outcome_stream(events_from_activity_log(log)), out, f"{out}/checkpoint", final=True)
     return (
         spark.read.parquet(f"{out}/days").drop("batch"),
         spark.read.parquet(f"{out}/verdicts").drop("batch"),

@@ -5,6 +5,7 @@ import datetime as dt
 from frames import order, payment, records, tables
 from pyspark.sql import functions as F
 
+from splitlane.operators.metrics import guardrails_daily
 from splitlane.streaming.monitor import outcome_stream, run_monitor
 
 
@@ -64,3 +65,30 @@ def test_days_close_once_and_late_or_repeated_rows_do_not_count(spark, tmp_path)
     verdicts = spark.read.parquet(str(out / "verdicts")).where(F.col("date") == day)
     found = {r["metric"]: r["passed"] for r in records(verdicts)}
     assert found == {"payment_auth_rate": False, "aov": False}
+
+
+def test_a_final_run_closes_every_day_and_equals_the_batch_guardrails(spark, tmp_path):
+    source, out = tmp_path / "in", tmp_path / "out"
+    events = tables(
+        spark,
+        payment_attempt=[
+            payment("c1", True, "2025-01-01T10:00:00Z"),
+            payment("c1", False, "2025-01-01T10:00:00Z"),
+            payment("c2", True, "2025-01-02T23:59:59Z", "treatment"),
+            payment(None, True, "2025-01-03T00:00:00Z"),
+        ],
+        order_completed=[order("1", "c1", "u", "2025-01-01T10:01:00Z", 30.0)],
+    )
+    feed(spark, source, "1", events)
+    stream = spark.readStream.schema(spark.read.parquet(str(source)).schema).parquet(str(source))
+    run_monitor(stream, str(out), str(out / "checkpoint"), final=True)
+    days = spark.read.parquet(str(out / "days")).drop("batch")
+    found = {
+        (r["date"], r["variant"]): (r["total_attempts"], r["authorized"], r["order_count"])
+        for r in records(days)
+    }
+    expected = {
+        (r["date"], r["variant"]): (r["total_attempts"], r["authorized"], r["order_count"] or 0)
+        for r in records(guardrails_daily(events))
+    }
+    assert found == expected and len(found) == 3
