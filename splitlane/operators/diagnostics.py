@@ -19,12 +19,7 @@ from splitlane.operators.metrics import (
 )
 from splitlane.operators.quality import side_by_side
 from splitlane.operators.readout import tested_cells, two_proportion_daily
-from splitlane.operators.skew import (
-    HEAVY_ROWS,
-    exact_percentiles,
-    salted_lookup,
-    with_neighbour,
-)
+from splitlane.operators.skew import exact_percentiles, with_neighbour
 from splitlane.sources.contract import EventTables
 
 SLOW_MS = 3000
@@ -61,22 +56,23 @@ def checkout_counts(tables: dict[str, DataFrame]) -> DataFrame:
 # --- conversion and funnel -------------------------------------------------------
 
 
-def gross_conversion(events: EventTables, min_rows: int = HEAVY_ROWS) -> DataFrame:
+def gross_conversion(events: EventTables) -> DataFrame:
     """Sessions with a cart whose user ordered on the session's day, per variant.
 
-    A user may own very many sessions of a day, hence the salted lookup.
+    Sessions without a user or variant count, and converted never. Only user-days that
+    ordered are looked up; a user owning very many sessions is a skewed join side,
+    which adaptive execution splits.
     """
     unit = ["date", "user_id", "variant"]
     sessions = events.add_to_cart.select("session_id", *unit).distinct()
-    marked = salted_lookup(
-        sessions, user_days(events), unit, ["session_id"], min_rows=min_rows
-    )
+    bought = events.order_completed.select(*unit).distinct()
+    marked = sessions.join(bought.withColumn("_bought", F.lit(True)), unit, "left")
     per_session = marked.groupBy("session_id", "variant").agg(
-        F.max("converted").alias("converted")
+        F.count("_bought").alias("_bought")
     )
     return (
         per_session.groupBy("variant")
-        .agg(_rows("sessions"), F.count_if("converted").alias("converted_sessions"))
+        .agg(_rows("sessions"), F.count_if(F.col("_bought") > 0).alias("converted_sessions"))
         .withColumn("gross_conversion", _rate("converted_sessions", "sessions"))
     )
 
@@ -206,7 +202,7 @@ def multi_error_sessions(events: EventTables, threshold: int = 3) -> DataFrame:
     )
 
 
-def error_sequences(events: EventTables, min_rows: int = HEAVY_ROWS) -> DataFrame:
+def error_sequences(events: EventTables) -> DataFrame:
     """How often an error follows another in the same checkout."""
     errors = events.form_error.select(
         "checkout_id", "timestamp", "step_name", "field_name", "error_code"
@@ -218,7 +214,6 @@ def error_sequences(events: EventTables, min_rows: int = HEAVY_ROWS) -> DataFram
         ["step_name", "field_name", "error_code"],
         ["error"],
         "_before",
-        min_rows=min_rows,
     )
     pairs = (
         linked.where(F.col("_before").isNotNull())
@@ -232,7 +227,7 @@ def error_sequences(events: EventTables, min_rows: int = HEAVY_ROWS) -> DataFram
 # --- steps and time --------------------------------------------------------------
 
 
-def step_backtracks(events: EventTables, min_rows: int = HEAVY_ROWS) -> DataFrame:
+def step_backtracks(events: EventTables) -> DataFrame:
     """Step views that go back behind, or repeat, the previous step, per variant."""
     linked = with_neighbour(
         events.checkout_step_view,
@@ -241,7 +236,6 @@ def step_backtracks(events: EventTables, min_rows: int = HEAVY_ROWS) -> DataFram
         ["step_index", "latency_ms"],
         ["step_index"],
         "_before",
-        min_rows=min_rows,
     )
     before = F.col("_before.step_index")
     return (
@@ -255,7 +249,7 @@ def step_backtracks(events: EventTables, min_rows: int = HEAVY_ROWS) -> DataFram
     )
 
 
-def time_in_step(events: EventTables, min_rows: int = HEAVY_ROWS) -> DataFrame:
+def time_in_step(events: EventTables) -> DataFrame:
     """Median seconds until the checkout's next step view, by step and variant."""
     linked = with_neighbour(
         events.checkout_step_view,
@@ -265,7 +259,6 @@ def time_in_step(events: EventTables, min_rows: int = HEAVY_ROWS) -> DataFrame:
         ["timestamp"],
         "_next",
         ahead=True,
-        min_rows=min_rows,
     ).where(F.col("_next").isNotNull())
     timed = linked.withColumn(
         "seconds", seconds_between(F.col("timestamp"), F.col("_next.timestamp"))

@@ -17,7 +17,6 @@ from splitlane.operators.metrics import (
     share_of_total,
     user_days,
 )
-from splitlane.operators.skew import HEAVY_ROWS, salted_lookup
 from splitlane.sources.contract import CONTRACT_ENUMS, GATE_ENUMS, VARIANTS, EventTables
 
 BALANCE_BAND = (48.0, 52.0)
@@ -112,7 +111,7 @@ def orphan_step_sample(
 # --- order of events -------------------------------------------------------------
 
 
-def early_steps(events: EventTables, min_rows: int = HEAVY_ROWS) -> DataFrame:
+def early_steps(events: EventTables) -> DataFrame:
     """Begun checkouts whose first step view precedes the begin event."""
     first = events.checkout_step_view.groupBy("checkout_id").agg(
         F.min("timestamp").alias("first_step_ts")
@@ -120,10 +119,7 @@ def early_steps(events: EventTables, min_rows: int = HEAVY_ROWS) -> DataFrame:
     begun = events.begin_checkout.select(
         "checkout_id", "user_id", F.col("timestamp").alias("begin_ts")
     )
-    joined = salted_lookup(
-        begun, first, ["checkout_id"], ["user_id", "begin_ts"], min_rows=min_rows
-    )
-    return joined.where(F.col("first_step_ts") < F.col("begin_ts"))
+    return begun.join(first, "checkout_id").where(F.col("first_step_ts") < F.col("begin_ts"))
 
 
 def timestamp_order(events: EventTables, early: DataFrame | None = None) -> DataFrame:

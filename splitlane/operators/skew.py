@@ -1,9 +1,9 @@
-"""Joins and ordered lookups that hold when one key owns much of the data.
+"""Ordered lookups and percentiles that hold when one key owns much of the data.
 
-Aggregations need no help: Spark combines them before the shuffle. Two shapes do:
-a join that brings one value to every row of a key, and a look at a row's neighbour
-within its key. Both would put a whole key into one task. Here the few heavy keys are
-found first and only they are cut into pieces; every other key keeps the plain plan.
+Aggregations need no help: Spark combines them before the shuffle. Joins that bring one
+value to every row of a key are left to adaptive execution, which splits a skewed side.
+A look at a row's neighbour within its key is the shape that would put a whole key into
+one task, so here every key is cut by time, in one plan whatever the size.
 """
 
 from __future__ import annotations
@@ -13,61 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from splitlane.functions.clock import epoch_minutes
+from splitlane.functions.clock import epoch_seconds
 
-# A key is heavy when it owns more than this share of the rows, so there can be at
-# most 1 / HEAVY_SHARE heavy keys: that bounds every broadcast made in this module.
-HEAVY_SHARE = 1 / 20_000
-# Below this many rows a key fits a task however large its share.
-HEAVY_ROWS = 2_000_000
-SALTS = 256
-NO_MINUTE = -(2**62)
-
-
-def heavy_keys(
-    df: DataFrame,
-    key: list[str],
-    share: float = HEAVY_SHARE,
-    min_rows: int = HEAVY_ROWS,
-) -> DataFrame:
-    """Keys owning more than ``share`` of the rows: at most ``1 / share`` of them."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    floor = F.greatest(total * F.lit(share), F.lit(float(min_rows)))
-    return (
-        df.groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > floor)
-        .select(*key, F.lit(True).alias("_heavy"))
-    )
-
-
-def _flag_heavy(df: DataFrame, heavy: DataFrame, key: list[str]) -> DataFrame:
-    flagged = df.join(F.broadcast(heavy), key, "left")
-    return flagged.withColumn("_heavy", F.coalesce("_heavy", F.lit(False)))
-
-
-def salted_lookup(
-    rows: DataFrame,
-    per_key: DataFrame,
-    key: list[str],
-    spread: list[str],
-    min_rows: int = HEAVY_ROWS,
-) -> DataFrame:
-    """Inner join of many ``rows`` per key with one ``per_key`` row per key.
-
-    Rows of heavy keys are dealt over salts by the ``spread`` columns, and the single
-    row they look up is repeated once per salt.
-    """
-    heavy = heavy_keys(rows, key, min_rows=min_rows)
-    dealt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
-    left = _flag_heavy(rows, heavy, key).withColumn(
-        "_salt", F.when(F.col("_heavy"), dealt).otherwise(0)
-    )
-    copies = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    right = _flag_heavy(per_key, heavy, key).withColumn("_salt", F.explode(copies))
-    return left.drop("_heavy").join(right.drop("_heavy"), [*key, "_salt"]).drop("_salt")
+NO_TIME = -(2**62)
 
 
 def with_neighbour(
@@ -78,29 +26,28 @@ def with_neighbour(
     values: list[str],
     name: str,
     ahead: bool = False,
-    min_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Add struct ``name``: ``values`` of the previous (or next) row of the same key.
 
-    Heavy keys are cut by the minute. Each piece finds neighbours inside itself; its
-    edge row takes them from the nearest non-empty piece, carried through one small
-    row per (heavy key, minute). Rows without a key belong to no group: they stay, and
-    have no neighbours.
+    A key is cut by the second. Each piece finds neighbours inside itself; its edge row
+    takes them from the nearest non-empty piece, carried through one row per (key,
+    second): a task sees the rows of one second, or one edge per second of one key.
+    Rows without a key belong to no group: they stay, and have no neighbours. Rows
+    without a time sort first, as one piece.
     """
     order = [time, *tie_breaks]
-    keyed = df.where(F.col(key).isNotNull())
-    heavy = heavy_keys(keyed, [key], min_rows=min_rows)
-    # A missing time sorts first, so its piece does too.
-    minute = F.coalesce(epoch_minutes(F.col(time)), F.lit(NO_MINUTE))
-    cut = _flag_heavy(keyed, heavy, [key]).withColumn(
-        "_piece", F.when(F.col("_heavy"), minute).otherwise(F.lit(0).cast("bigint"))
+    keyed = F.col(key).isNotNull()
+    # Rows without a key are spread over pieces of their own; nothing looks at them.
+    piece = F.when(keyed, F.coalesce(epoch_seconds(F.col(time)), F.lit(NO_TIME))).otherwise(
+        F.xxhash64(*order)
     )
+    cut = df.withColumn("_piece", piece)
     look: Callable[[Column], Column] = F.lead if ahead else F.lag
     inside = Window.partitionBy(key, "_piece").orderBy(*order)
     payload, position = F.struct(*values), F.struct(*order)
     edge = (F.min_by if ahead else F.max_by)(payload, position)
     carried = (
-        cut.where("_heavy")
+        cut.where(keyed)
         .groupBy(key, "_piece")
         .agg(edge.alias("_edge"))
         .withColumn(
@@ -109,14 +56,13 @@ def with_neighbour(
         )
         .drop("_edge")
     )
-    linked = (
+    near = F.when(keyed, F.coalesce("_near", "_carried"))
+    return (
         cut.withColumn("_near", look(payload).over(inside))
         .join(carried, [key, "_piece"], "left")
-        .withColumn(name, F.coalesce("_near", "_carried"))
-        .drop("_near", "_carried", "_piece", "_heavy")
+        .withColumn(name, near)
+        .drop("_near", "_carried", "_piece")
     )
-    alone = df.where(F.col(key).isNull())
-    return linked.unionByName(alone, allowMissingColumns=True)
 
 
 def exact_percentiles(

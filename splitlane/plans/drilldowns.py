@@ -70,7 +70,7 @@ SELECT variant, count(*) AS sessions, count(*) FILTER (WHERE converted) AS conve
   {r('count(*) FILTER (WHERE converted) / count(*)', 'gross_conversion')}
 FROM (SELECT s.session_id, s.variant, bool_or(u.converted) AS converted
   FROM (SELECT DISTINCT session_id, date, user_id, variant FROM add_to_cart) s
-  JOIN units u ON s.date = u.date AND s.user_id = u.user_id AND s.variant = u.variant
+  LEFT JOIN units u ON s.date = u.date AND s.user_id = u.user_id AND s.variant = u.variant
   GROUP BY 1, 2) GROUP BY variant""",
         ),
     ),
