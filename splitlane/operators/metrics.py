@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from splitlane.functions.formatting import settled
 from splitlane.operators import marts
 from splitlane.operators.dates import EVENT, PARTITION, day_of, on_day
-from splitlane.sources.contract import EventTables
+from splitlane.sources.contract import VARIANTS, EventTables
 
 Day = dt.date | str | None
 
@@ -63,6 +63,19 @@ def user_days(
     )
 
 
+def require_both_variants(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The grouped ``cells`` unchanged, or a failure where a group lacks a variant.
+
+    For metrics that must not be read off one arm alone. An empty frame has no group,
+    so it passes. The window runs over a few rows per group.
+    """
+    group = Window.partitionBy(*(by or []))
+    found = [F.count_if(F.col("variant") == v).over(group) > 0 for v in VARIANTS]
+    fault = F.raise_error(F.lit("a group of the metric lacks a variant"))
+    checked = F.when(found[0] & found[1], F.col("variant")).otherwise(fault)
+    return cells.withColumn("variant", checked)
+
+
 def conversions(units: DataFrame, by: list[str]) -> DataFrame:
     """Adders and orderers of a unit table per group."""
     return units.groupBy(*by).agg(

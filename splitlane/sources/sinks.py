@@ -16,7 +16,7 @@ ISO_PATTERN = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new path in the folder the session names in ``spark.checkpoint.dir``.
 
-    Only a local session may go without one; it then gets a temporary folder.
+    What is written there is removed when the driver ends. Only a local session may go without one; it then gets a temporary folder.
     """
     context = spark.sparkContext
     base = (
@@ -29,7 +29,12 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder every executor sees")
         base = tempfile.mkdtemp(prefix="splitlane-")
         context.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/splitlane/{purpose}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/splitlane/{purpose}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop)  # only what exists can be marked for removal
+    files.deleteOnExit(hadoop)
+    return path
 
 
 def write_event(df: DataFrame, path: str) -> None:

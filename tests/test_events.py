@@ -575,3 +575,16 @@ def test_poisson_weights_are_not_cut_off(spark):
 
     assert (1 - POISSON_ONE[-1]) * 2**32 < 1
     assert abs(POISSON_ONE[7] - 0.9999897508033253) < 1e-15
+
+
+def test_one_armed_metrics_can_be_refused(spark):
+    both = [cart("a", "2025-01-01T01:00:00Z"), cart("b", "2025-01-01T01:00:00Z", "treatment")]
+    later = [cart("a", "2025-01-02T01:00:00Z", date=NEXT)]
+    cells = metrics.ccr_same_day(tables(spark, add_to_cart=both))
+    assert sorted(records(metrics.require_both_variants(cells)), key=str) == sorted(
+        records(cells), key=str
+    )
+    daily = metrics.ccr_same_day(tables(spark, add_to_cart=both + later))
+    assert len(records(metrics.require_both_variants(daily))) == 3
+    with pytest.raises(Exception, match="lacks a variant"):
+        metrics.require_both_variants(daily, ["date"]).collect()
