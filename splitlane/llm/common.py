@@ -36,11 +36,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that is removed when the driver ends."""
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
+    folder = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop)  # only what exists can be marked for removal
+    files.deleteOnExit(hadoop)
+    return f"{folder}/table"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
