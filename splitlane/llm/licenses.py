@@ -1,15 +1,18 @@
-"""License scan by conditional compression.
-
-A block is a run of consecutive lines with a licensing word. It is compressed by zstandard
-alone, and once with each license text as raw dictionary. The relative reduction ranks the
-licenses: shared wording costs next to nothing. The best ones are then held against the
-block word by word: the differences are the least number of template words that are
-missing, extra or changed in the best matching stretch of the block.
+"""License scan by conditional compression and word differences.
+
+A candidate block is the words around licensing words (cues), to both sides as many as the
+longest license text can take, over line ends and comment marks. Every license text that a
+stretch of the block can equal but for a tenth of its words is held against it word by word;
+each such stretch is a confirmed find of its own. Whether one can is known from the number
+of shared words, so nothing is lost to a ranking. What a block has beside them is compressed
+by zstandard alone, and once with each license text as raw dictionary: the bytes saved, as a
+share of what the license text itself takes, say which near miss is compared and shown.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 
 import numpy as np
@@ -33,53 +36,86 @@ TEMPLATES = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("proprietary", "All rights reserved."),
 ]
-CUE = r"licen[sc]e|copyright|all rights reserved|permission is hereby|redistribut|creative commons|public domain|spdx"
+CUE = (
+    r"licen[sc]e|copyright|all[\W_]+rights[\W_]+reserved|permission[\W_]+is[\W_]+hereby|redistribut"
+    r"|creative[\W_]+commons|public[\W_]+domain|spdx"
+)
 
 LEVEL = 3
-#: Licenses of the ranking that are compared word by word.
-BEST = 3
-#: Least relative reduction of a license that is compared.
+#: Least saving, as a share of the license text's own compressed size, of a near miss.
 LEAST_REDUCTION = 0.1
-#: Most differing words, as a share of the template's, for a block to be confirmed.
+#: Most differing words, as a share of the template's, for a find to be confirmed.
 MOST_DIFFERENT = 0.1
 
 RESULT = (
     "n_blocks long, found array<struct<license:string,start:long,end:long,reduction:double,"
     "differences:long,template_words:long,confirmed:boolean>>"
 )
-_WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
+# A comment mark that looks like a word, at the start of a line, is none.
+_WORD = re.compile(r"(?:(?<=\n)|\A)[ \t]*(?:dnl|@?rem|c)(?=[ \t])|([^\W_]+(?:\.[0-9]+)*)", re.I)
+_CLOSING = re.compile(r"[.,:;!?)\]\"'’”]*")
+
 
+def words_of(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Words in lower case, with their starts and ends."""
+    found = [m for m in _WORD.finditer(text) if m[1]]
+    return (
+        [m[1].lower() for m in found],
+        np.array([m.start(1) for m in found], np.int64),
+        np.array([m.end(1) for m in found], np.int64),
+    )
 
-def blocks(text: str, cue: re.Pattern) -> list[tuple[int, int]]:
-    """Start and end of every run of consecutive lines with a cue."""
+
+def blocks(cues: list[tuple[int, int]], n_words: int, reach: int) -> list[tuple[int, int]]:
+    """Word ranges of ``reach`` words to both sides of each cue; what overlaps is one."""
     out: list[tuple[int, int]] = []
-    at = 0
-    open_block = False
-    for line in text.split("\n"):
-        if cue.search(line):
-            if open_block:
-                out[-1] = (out[-1][0], at + len(line))
-            else:
-                out.append((at, at + len(line)))
-            open_block = True
+    for a, b in cues:
+        a, b = max(0, a - reach), min(n_words, b + reach)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
-            open_block = False
-        at += len(line) + 1
+            out.append((a, b))
     return out
 
 
-def differences(template: list[str], block: list[str]) -> int:
-    """Least edits that turn the template into some stretch of consecutive block words."""
+def _edits(template: list[str], block: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For every end in the block, the least edits that turn the template into a stretch of
+    words up to there, and where the shortest such stretch begins."""
     names = {w: i for i, w in enumerate(dict.fromkeys(template))}
     row = np.array([names.get(w, -1) for w in block], np.int64)
-    before = np.zeros(len(row) + 1, np.int64)  # a stretch may begin anywhere
-    step = np.arange(len(row) + 1)
+    n = len(row)
+    unit = n + 1  # of a cost; below it, how far from the end the stretch begins
+    step = np.arange(n + 1) * unit
+    before = n - np.arange(n + 1)  # a stretch may begin anywhere
     for k, word in enumerate(template, 1):
         now = np.empty_like(before)
-        now[0] = k
-        now[1:] = np.minimum(before[:-1] + (row != names[word]), before[1:] + 1)
+        now[0] = k * unit + n
+        now[1:] = np.minimum(before[:-1] + (row != names[word]) * unit, before[1:] + unit)
         before = np.minimum.accumulate(now - step) + step  # extra words in the block
-    return int(before.min())
+    return before // unit, n - before % unit
+
+
+def differences(template: list[str], block: list[str]) -> int:
+    """Least edits that turn the template into some stretch of consecutive block words."""
+    return int(_edits(template, block)[0].min())
+
+
+def stretches(template: list[str], block: list[str], most: int) -> list[tuple[int, int, int]]:
+    """``(edits, first word, end word)`` of stretches within ``most`` edits, none overlapping."""
+    own = set(template)
+    shared = np.r_[0, np.cumsum([w in own for w in block])]
+    width = min(len(template) + most, len(block))
+    if not width or (shared[width:] - shared[: len(shared) - width]).max() < len(template) - most:
+        return []  # no stretch has enough of the template's words
+    cost, start = _edits(template, block)
+    out: list[tuple[int, int, int]] = []
+    used = np.zeros(len(block), bool)
+    for end in sorted(np.flatnonzero(cost <= most).tolist(), key=lambda j: (cost[j], j)):
+        first = int(start[end])
+        if first < end and not used[first:end].any():
+            used[first:end] = True
+            out.append((int(cost[end]), first, end))
+    return out
 
 
 class Scanner:
@@ -89,27 +125,61 @@ class Scanner:
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
         self.known = []
         for name, text in templates:
-            raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            words = words_of(text)[0]
+            if not words:
+                continue
+            flat = " ".join(words).encode()
+            raw = zstandard.ZstdCompressionDict(flat, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_dict_id=False)
-            self.known.append((name, [w.lower() for w in _WORD.findall(text)], squeeze))
+            self.known.append((name, words, squeeze, len(self.plain.compress(flat)), int(MOST_DIFFERENT * len(words))))
+        #: Words of the longest stretch that can be confirmed.
+        self.reach = max((len(words) + most for _, words, _, _, most in self.known), default=0)
 
-    def __call__(self, block: str) -> tuple[str, float, int, int] | None:
-        """License, reduction, differences and template words of the best match."""
-        data = block.encode()
+    def _saved(self, words: list[str], which: list[int]) -> list[float]:
+        data = " ".join(words).encode()
         alone = len(self.plain.compress(data))
-        ranked = sorted(
-            ((1 - len(squeeze.compress(data)) / alone, -k) for k, (_, _, squeeze) in enumerate(self.known)), reverse=True
-        )
-        words = [w.lower() for w in _WORD.findall(block)]
+        return [(alone - len(self.known[k][2].compress(data))) / self.known[k][3] for k in which]
+
+    def __call__(self, block: list[str], cues: list[int]) -> list[tuple[str, int, int, float, int, int, bool]]:
+        """License, first and end word, reduction, differences, template words and whether
+        they confirm it, of every confirmed stretch and of the best near miss between them."""
+        sure = [
+            (len(words) - apart, k, apart, a, b)
+            for k, (_, words, _, _, most) in enumerate(self.known)
+            for apart, a, b in stretches(words, block, most)
+        ]
+        used = {name: np.zeros(len(block), bool) for name, *_ in self.known}
+        out = []
+        for _, k, apart, a, b in sorted(sure, key=lambda s: (-s[0], s[1], s[3])):
+            name, words = self.known[k][:2]
+            if used[name][a:b].any():
+                continue  # a shorter wording of the same license in the same place
+            used[name][a:b] = True
+            out.append((name, a, b, self._saved(block[a:b], [k])[0], apart, len(words), True))
+        edges, at = [], 0
+        for a, b in sorted(f[1:3] for f in out):
+            edges.append((at, a))
+            at = max(at, b)
+        for a, b in [*edges, (at, len(block))]:
+            if bisect_left(cues, a) < bisect_left(cues, b):
+                miss = self._nearest(block[a:b])
+                if miss:
+                    name, x, y, *rest = miss
+                    out.append((name, a + x, a + y, *rest, False))
+        return sorted(out, key=lambda f: f[1:3])
+
+    def _nearest(self, words: list[str]) -> tuple[str, int, int, float, int, int] | None:
         best = None
-        for reduction, k in ranked[:BEST]:
-            if reduction < LEAST_REDUCTION:
-                break
-            name, template, _ = self.known[-k]
-            apart = differences(template, words)
-            key = (apart > MOST_DIFFERENT * len(template), -len(template) + apart)
-            if best is None or key < best[0]:
-                best = (key, (name, reduction, apart, len(template)))
+        every = list(range(len(self.known)))
+        for k, saved in zip(every, self._saved(words, every), strict=True):
+            if saved < LEAST_REDUCTION:
+                continue
+            name, template = self.known[k][:2]
+            cost, start = _edits(template, words)
+            end = int(cost.argmin())
+            apart = int(cost[end])
+            if apart < len(template) and (best is None or (apart / len(template), -saved) < best[0]):
+                best = ((apart / len(template), -saved), (name, int(start[end]), end, saved, apart, len(template)))
         return best[1] if best else None
 
 
@@ -121,28 +191,33 @@ def scanning(templates: list[tuple[str, str]]) -> Callable[[], Callable[[pa.Arra
 
     def compute() -> Callable[[pa.Array], pa.StructArray]:
         scan, cue = Scanner(templates), re.compile(CUE, re.I)
-        seen: dict[str, tuple | None] = {}
+        seen: dict[tuple, list] = {}
 
         def work(texts: pa.Array) -> pa.StructArray:
             likely = pc.match_substring_regex(texts, CUE, ignore_case=True).fill_null(False).to_pylist()
             n, found = [], []
             for text, look in zip(texts, likely, strict=True):
                 whole = text.as_py() if look else ""
-                spans = blocks(whole, cue) if look else []
+                words, first, end = words_of(whole)
+                places = [m.span() for m in cue.finditer(whole)] if words else []
+                begins = np.maximum(np.searchsorted(first, [a for a, _ in places], "right") - 1, 0).tolist()
+                ends = np.searchsorted(first, [b for _, b in places], "left").tolist()
+                spans = blocks(list(zip(begins, ends, strict=True)), len(words), scan.reach)
                 n.append(len(spans))
                 rows = []
                 for a, b in spans:
-                    block = whole[a:b]
-                    if block not in seen:
-                        if len(seen) > 20_000:
+                    block = words[a:b]
+                    own = [c - a for c in begins[bisect_left(begins, a) : bisect_left(begins, b)]]
+                    key = (*block, *own)
+                    if key not in seen:
+                        if len(seen) > 2_000:
                             seen.clear()
-                        seen[block] = scan(block)
-                    best = seen[block]
-                    if best:
-                        name, reduction, apart, words = best
+                        seen[key] = scan(block, own)
+                    for name, x, y, reduction, apart, size, sure in seen[key]:
+                        stop = _CLOSING.match(whole, int(end[a + y - 1])).end()
                         rows.append(dict(zip(
                             ("license", "start", "end", "reduction", "differences", "template_words", "confirmed"),
-                            (name, a, b, reduction, apart, words, apart <= MOST_DIFFERENT * words), strict=True,
+                            (name, int(first[a + x]), stop, reduction, apart, size, sure), strict=True,
                         )))
                 found.append(rows)
             return pa.StructArray.from_arrays(
@@ -159,9 +234,12 @@ def license_scan(
 ) -> DataFrame:
     """``row`` (the input columns) and ``out`` for every row of ``docs``.
 
-    ``out.n_blocks`` counts candidate blocks. ``out.found`` has, for each block that some
-    license text shrinks, the best license, the block's place (code points, end exclusive),
-    the reduction, the differing words and whether they confirm it, in page order. Null and
-    empty texts have no blocks. Equal blocks get equal results.
+    ``out.n_blocks`` counts candidate blocks. ``out.found`` has, in page order, every place
+    where a license text stands but for at most ``MOST_DIFFERENT`` of its words (confirmed;
+    wordings of one license in the same place count once), and between those of a block the
+    nearest license text if it saves enough. Each has its place (code points, end
+    exclusive), the reduction and the differing words. Line ends, punctuation, case and
+    comment marks do not count. Null and empty texts have no blocks. Equal blocks get equal
+    results.
     """
     return rows_with(docs, text_col, RESULT, scanning(templates or TEMPLATES))

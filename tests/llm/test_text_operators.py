@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -267,6 +268,24 @@ def test_licenses_of_odd_texts(odd_docs, no_docs):
     assert differences("a b".split(), []) == 2
 
 
+def confirmed(texts):
+    from splitlane.llm.licenses import TEMPLATES, scanning
+
+    found = scanning(TEMPLATES)()(pa.array(texts)).to_pylist()
+    return [[(f["license"], t[f["start"] : f["end"]]) for f in r["found"] if f["confirmed"]] for t, r in zip(texts, found, strict=True)]
+
+
+@pytest.mark.parametrize("mark", ["", "// ", "# ", " * ", "dnl "])
+def test_wrapped_and_commented_notices_are_confirmed(mark):
+    from splitlane.llm.licenses import TEMPLATES
+
+    long = [(name, text) for name, text in TEMPLATES if len(text) > 120]
+    assert {name for name, _ in long} == {"MIT", "Apache-2.0", "GPL-3.0", "BSD-3-Clause"}
+    for width in (40, 60, 78):
+        texts = ["some words before\n\n" + textwrap.indent(textwrap.fill(t, width), mark) + "\n\nand after" for _, t in long]
+        assert [[name for name, _ in found] for found in confirmed(texts)] == [[name] for name, _ in long]
+
+
 def test_hilbert_curve_is_continuous_and_shards_are_even(odd_docs, no_docs):
     cube = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij")).reshape(3, -1)
     place = hilbert_index(cube, 3)
