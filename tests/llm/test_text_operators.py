@@ -286,6 +286,14 @@ def test_wrapped_and_commented_notices_are_confirmed(mark):
         assert [[name for name, _ in found] for found in confirmed(texts)] == [[name] for name, _ in long]
 
 
+@pytest.mark.parametrize("n", [0, 20, 300, 3000])
+def test_a_license_inside_a_long_line_is_confirmed(n):
+    rng = np.random.default_rng(n)
+    prose = ["".join(rng.choice(list("abdeilnorst"), rng.integers(2, 9))) for _ in range(n)]
+    text = " ".join([*prose[: n // 2], "Licensed under the MIT License.", *prose[n // 2 :]])
+    assert confirmed([text, text.replace("Lic", "lic")]) == [[("MIT", "Licensed under the MIT License.")], [("MIT", "licensed under the MIT License.")]]
+
+
 def test_hilbert_curve_is_continuous_and_shards_are_even(odd_docs, no_docs):
     cube = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij")).reshape(3, -1)
     place = hilbert_index(cube, 3)
