@@ -291,7 +291,14 @@ def test_a_license_inside_a_long_line_is_confirmed(n):
     rng = np.random.default_rng(n)
     prose = ["".join(rng.choice(list("abdeilnorst"), rng.integers(2, 9))) for _ in range(n)]
     text = " ".join([*prose[: n // 2], "Licensed under the MIT License.", *prose[n // 2 :]])
-    assert confirmed([text, text.replace("Lic", "lic")]) == [[("MIT", "Licensed under the MIT License.")], [("MIT", "licensed under the MIT License.")]]
+    assert confirmed([text]) == [[("MIT", "Licensed under the MIT License.")]]
+
+
+def test_every_license_of_a_block_is_returned_with_its_place():
+    parts = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "All rights reserved."]
+    want = list(zip(["MIT", "Apache-2.0", "proprietary"], parts, strict=True))
+    assert confirmed(["\n".join(parts), " ".join(parts), "\n\n".join(["ab cd", *parts])]) == [want] * 3
+    assert confirmed([" ".join(parts[:1] * 3)]) == [want[:1] * 3]
 
 
 def test_hilbert_curve_is_continuous_and_shards_are_even(odd_docs, no_docs):
