@@ -10,6 +10,7 @@ A line needs decoding only if some word could gain from a label: where every wor
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -27,6 +28,11 @@ LABELLED_TEXTS = 200
 #: Words on both sides of a labelled span that training sees.
 CONTEXT = 3
 STEPS = 60
+#: How spelled-out addresses of the training texts are written, without any digit.
+SPELLED = ((" [at] ", False), (" [at] ", True), (" (at) ", False), (" (at) ", True))
+#: By how much the labels of an address of up to three words without @ and digits must lead,
+#: unless it has a spelled-out sign; longer ones in proportion.
+LEAST_MARGIN = 2.0
 
 TAGS = ["none"] + [f"{part}-{kind}" for kind in KINDS for part in ("first", "next")]
 K = len(TAGS)
@@ -200,11 +206,26 @@ def places_of(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def variants(text: str, spans: list[tuple[str, int, int]]) -> tuple[str, list[tuple[str, int, int]]] | None:
+_SIGN = re.compile(r"\w\s*[\[({<]\s*at\s*[\])}>]\s*\w", re.I)
+_LETTERED = str.maketrans("0123456789", "abcdefghij")
+
+
+def _spelled(address: str, sign: str, plain: bool) -> str:
+    """An address with letters for its digits and a spelled-out sign; ``plain``: short too."""
+    name, host = address.translate(_LETTERED).split("@", 1)
+    if plain:
+        name = name.replace(".", "")
+        host = host.split(".", 1)[1] if host.count(".") > 1 else host
+    return name + sign + host
+
+
+def variants(
+    text: str, spans: list[tuple[str, int, int]], spelled: tuple[str, bool] | None = None
+) -> tuple[str, list[tuple[str, int, int]]] | None:
     """The text with its data written in looser forms, and where they are; none if unchanged."""
     forms = {
         "phone": lambda s: s.split(" ", 1)[1] if " " in s else s[1:],
-        "email": lambda s: s.replace("@", " [at] "),
+        "email": lambda s: _spelled(s, *spelled) if spelled else s.replace("@", " [at] "),
         "card": lambda s: ".".join(s[i : i + 4] for i in range(0, len(s), 4)),
         "ip": lambda s: s,
     }
@@ -287,25 +308,61 @@ def train_from(table: DataFrame, steps: int = STEPS) -> Crf:
         looser = variants(row["text"], spans)
         if looser:
             examples.append(looser)
+        mails = [x for x in spans if x[0] == "email"]
+        for form in SPELLED if mails else ():
+            examples.append(variants(row["text"], mails, form))
     return train(examples, steps)
 
 
 def added_spans(raw: np.ndarray, found: W.Words, crf: Crf) -> list[tuple[int, str, int, int]]:
     """``(text, kind, first byte, end byte)`` of every run of labelled words."""
+    return [run[:4] for run in labelled_runs(raw, found, crf)]
+
+
+def labelled_runs(raw: np.ndarray, found: W.Words, crf: Crf) -> list[tuple[int, str, int, int, int, float]]:
+    """``(text, kind, first byte, end byte, words, margin)`` of every run of labelled words.
+
+    The margin is what the best path scores above the same path without the run.
+    """
     values, begins = shapes(raw, found)
-    tags = crf.decode(placed(values, begins), begins)
+    index = placed(values, begins)
+    tags = crf.decode(index, begins)
     hits = np.flatnonzero(tags)
-    out: list[tuple[int, str, int, int]] = []
-    previous = None
-    text = found.text
+    runs: list[tuple[str, int, int]] = []
     for i in hits.tolist():
         kind, first = KINDS[(tags[i] - 1) // 2], tags[i] % 2 == 1
-        if not first and previous == (i - 1, kind) and not begins[i]:
-            t, k, a, _ = out[-1]
-            out[-1] = (t, k, a, int(found.end[i]))
+        if not first and runs and runs[-1][0] == kind and runs[-1][2] == i and not begins[i]:
+            runs[-1] = (kind, runs[-1][1], i + 1)
         else:
-            out.append((int(text[i]), kind, int(found.start[i]), int(found.end[i])))
-        previous = (i, kind)
+            runs.append((kind, i, i + 1))
+    emit = np.zeros((len(tags), K))
+    emit[hits] = crf.scores([i[hits] for i in index])
+    out = []
+    for kind, i, j in runs:
+        before = [] if begins[i] else [tags[i - 1]]
+        after = [] if j == len(tags) or begins[j] else [tags[j]]
+        path, none = [*before, *tags[i:j], *after], [*before, *[0] * (j - i), *after]
+        margin = sum(emit[q, tags[q]] - emit[q, 0] for q in range(i, j))
+        margin += crf.pairs[path[:-1], path[1:]].sum() - crf.pairs[none[:-1], none[1:]].sum()
+        out.append((int(found.text[i]), kind, int(found.start[i]), int(found.end[j - 1]), j - i, float(margin)))
+    return out
+
+
+def _strong(part: str) -> bool:
+    return any(c.isdigit() or c == "@" for c in part)
+
+
+def rests(text: str, a: int, b: int, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Parts of a decoded span outside base spans: those with a digit or @, and those whose
+    letters run on into a base span."""
+    out, at = [], a
+    for x, y in [*sorted(s for s in base if s[0] < b and a < s[1]), (b, b)]:
+        if x > at:
+            p, q = _trimmed(text, at, x)
+            runs_on = (p == at > a) or (q == x < b)
+            if p < q and (_strong(text[p:q]) or runs_on):
+                out.append((p, q))
+        at = max(at, y)
     return out
 
 
@@ -342,10 +399,11 @@ def finder(crf: Crf | None, mask: bool) -> Callable[[], Callable[[pa.Array], pa.
                 sums = np.zeros(len(part) + 1, np.int64)
                 np.cumsum(_AT_OR_DIGIT[part], out=sums[1:])
                 likely = np.diff(sums[own]) > 0
-                more: dict[int, list[tuple[str, int, int]]] = {}
+                more: dict[int, list[tuple[str, int, int, bool]]] = {}
                 if crf is not None:
-                    for t, kind, a, b in added_spans(part, W.split(part, own, W.NOT_SPACE), crf):
-                        more.setdefault(t, []).append((kind, a - int(own[t]), b - int(own[t])))
+                    for t, kind, a, b, n, margin in labelled_runs(part, W.split(part, own, W.NOT_SPACE), crf):
+                        sure = kind == "email" and n > 1 and margin >= LEAST_MARGIN * max(1, n / 3)
+                        more.setdefault(t, []).append((kind, a - int(own[t]), b - int(own[t]), sure))
                 for t in range(j - i):
                     if not likely[t] and t not in more:
                         spans.append([])
@@ -355,11 +413,12 @@ def finder(crf: Crf | None, mask: bool) -> Callable[[], Callable[[pa.Array], pa.
                     found = [(k, a, b, True) for k, a, b in base_spans(text)]
                     if t in more:
                         place = places_of(part[own[t] : own[t + 1]])
-                        for kind, a, b in more[t]:
+                        base = [(x, y) for _, x, y, _ in found]
+                        for kind, a, b, sure in more[t]:
                             a, b = _trimmed(text, int(place[a]), int(place[b]))
-                            if any(c.isdigit() or c == "@" for c in text[a:b]) and not any(
-                                a < y and x < b for _, x, y, _ in found
-                            ):
+                            if any(a < y and x < b for x, y in base):
+                                found += [(kind, x, y, False) for x, y in rests(text, a, b, base)]
+                            elif sure or _strong(text[a:b]) or (kind == "email" and _SIGN.search(text, a, b)):
                                 found.append((kind, a, b, False))
                     found.sort(key=lambda s: (KINDS.index(s[0]), s[1]))
                     spans.append([dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in found])
@@ -378,7 +437,8 @@ def personal_data(docs: DataFrame, text_col: str = "text", crf: Crf | None = Non
 
     ``out.spans``: kind, start and end (code points, end exclusive), and whether it is a
     base span, by kind as listed, then start. Spans of ``crf`` are added where they hold a
-    digit or @ and touch no other span. ``out.clean``: with ``mask`` the text with spans
+    digit or @, and spelled-out addresses of several words by ``LEAST_MARGIN``; of a span that
+    overlaps base spans, the parts outside them that hold a digit or @ or run on into one. ``out.clean``: with ``mask`` the text with spans
     replaced by their kind, else null. Null and empty texts have no spans (a null text
     stays null); repeated rows get equal results.
     """

@@ -247,6 +247,25 @@ def test_personal_data_of_odd_texts(odd_docs, no_docs):
     assert redacted(no_docs, train_from(labelled_table(no_docs))).count() == 0
 
 
+def test_spelled_out_addresses_and_missed_parts_go(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    mails = ["jane.doe [at] corp.example.org", "bob [at] example.com", "JANE.DOE [AT] EXAMPLE.ORG", "j.roe (at) mail.example.net", "ab.cd77 [at] mail.example.org"]
+    texts = [f"Please write to {m} for the details of it" for m in mails]
+    texts += ["contact jürgen.müller34@mail7.example.com today", "mail: ab.cd@mail.example.com or look at it there. Then go."]
+    made = spark.createDataFrame([(-k - 1, t, "en", "x", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.select(*made.columns).unionByName(made).write.parquet(f"{tmp_path}/documents.parquet")
+    spans = {r.doc_id: r.spans for r in QUERIES["op5_crf_pii"].run(spark, str(tmp_path)).where("doc_id < 0").collect()}
+    for k, m in enumerate(mails):
+        assert spans[-k - 1] == f"email:16:{16 + len(m)}"
+    assert spans[-6] == "email:8:17,email:17:41" and spans[-7] == "email:6:28"
+    clean = corpus_pipeline.redact(spark, common.table(spark, str(tmp_path), "documents"), str(tmp_path)).where("doc_id < 0")
+    got = {r.doc_id: r.text for r in clean.collect()}
+    assert {got[-k - 1] for k in range(len(mails))} == {"Please write to <EMAIL> for the details of it"}
+    assert got[-6] == "contact <EMAIL><EMAIL> today" and got[-7] == "mail: <EMAIL> or look at it there. Then go."
+
+
 def test_quality_agrees_with_labels_and_odd_texts(spark, odd_docs, no_docs):
     sf = "/root/testdata/sf0.01"
     docs = common.table(spark, sf, "documents")
