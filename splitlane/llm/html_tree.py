@@ -44,6 +44,8 @@ FURNITURE = {
     "navigation", "breadcrumb", "breadcrumbs", "footer", "comment", "comments", "disqus", "share", "sharing", "social",
     "related", "widget", "login", "signup", "skip",
 }
+#: The page and its main parts, which are never a template.
+WHOLE = {"html", "body", "head", "main", "article"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"}
 
 
@@ -136,19 +138,50 @@ def hashed(root: Node) -> None:
         node.digest = h.digest()
 
 
-def subtrees(root: Node) -> dict[int, int]:
-    """Every distinct subtree of the page with the hash of its neighbours."""
-    out: dict[int, int] = {}
+def _key(digest: bytes) -> int:
+    return int.from_bytes(digest, "little", signed=True)
+
+
+def subtrees(root: Node) -> set[int]:
+    """Every distinct subtree of the page."""
+    out: set[int] = set()
     todo = [root]
     while todo:
-        node = todo.pop()
-        elements = [c for c in node.children if not isinstance(c, str)]
+        elements = [c for c in todo.pop().children if not isinstance(c, str)]
         todo += [e for e in elements if e.tag != "head"]
-        for k, e in enumerate(elements):
-            if e.children and e.tag not in ("html", "body", "head", "main", "article"):
-                sides = (elements[k - 1].digest if k else b"") + b"|" + (elements[k + 1].digest if k + 1 < len(elements) else b"")
-                key = int.from_bytes(e.digest, "little", signed=True)
-                out.setdefault(key, int.from_bytes(hashlib.blake2b(sides, digest_size=8).digest(), "little", signed=True))
+        out.update(_key(e.digest) for e in elements if e.children and e.tag not in WHOLE)
+    return out
+
+
+def neighbours(root: Node, recurring: set[int]) -> dict[int, int]:
+    """Every recurring subtree of the page with the hash of what stands around its run.
+
+    A run is recurring siblings side by side. One that fills its parent has the parent's
+    neighbours, unless the parent is the page or its main part.
+    """
+    out: dict[int, int] = {}
+    todo: list[tuple[Node, bytes]] = [(root, b"|")]
+    while todo:
+        node, around = todo.pop()
+        units = [c for c in node.children if not isinstance(c, str) or c.strip()]
+        known = [not isinstance(c, str) and c.tag not in WHOLE and _key(c.digest) in recurring for c in units]
+        names = [c.encode("utf-8", "surrogatepass") if isinstance(c, str) else c.digest for c in units]
+        before, last = [], b""
+        for name, same in zip(names, known, strict=True):
+            before.append(last)
+            last = last if same else name
+        after, last = [], b""
+        for name, same in zip(reversed(names), reversed(known), strict=True):
+            after.append(last)
+            last = last if same else name
+        after.reverse()
+        for unit, same, left, right in zip(units, known, before, after, strict=True):
+            if isinstance(unit, str) or unit.tag == "head":
+                continue
+            sides = left + b"|" + right if left or right else b"|" if node.tag in WHOLE else around
+            if same:
+                out.setdefault(_key(unit.digest), _key(hashlib.blake2b(sides, digest_size=8).digest()))
+            todo.append((unit, sides))
     return out
 
 

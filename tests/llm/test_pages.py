@@ -42,6 +42,18 @@ def test_what_a_site_repeats_goes_but_copied_articles_stay(spark):
     assert extracted(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_runs_of_template_blocks_and_section_notices_go(spark):
+    page = "<body><div>banner</div><div>notice</div><div>mid</div><div>BODY {}</div><div>links</div><div><b>legal</b></div></body>"
+    rows = [(k, f"http://c.example.com/{k}", page.format(k), "x", "y") for k in range(60)]
+    rows += [(100 + k, f"http://d.example.com/{'news' if k < 20 else 'shop'}/{k}", f"<div>Item {k}</div>{'<div>Of the news desk</div>' * (k < 20)}<div>More {k}</div>", "x", "y") for k in range(60)]
+    rows += [(200 + k, f"http://e.example.com/{k}", f"<article><p>Same</p><p>copy</p></article><div>Side {k}</div>", "x", "y") for k in range(20)]
+    texts = dict(extracted(spark.createDataFrame(rows, SCHEMA)).select("row.page_id", "out.text").collect())
+    for k in range(60):
+        assert texts[k] == f"BODY {k}"
+        assert texts[100 + k] == f"Item {k}\n\nMore {k}"
+    assert "Same\n\ncopy" in texts[203]
+
+
 def test_archives_round_trip(spark):
     rows = [
         (5, "http://x/\r\ny", "<p>é</p>", None, None), (2, None, "<p>é</p>", None, None), (7, "u", None, None, None),
