@@ -40,10 +40,11 @@ DROPPED = {
 #: Words in class or id that mark furniture, anywhere.
 FURNITURE = {
     "ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies",
-    "consent", "notice", "notices", "popup", "modal", "newsletter", "subscribe", "sidebar", "menu", "nav", "navbar",
-    "navigation", "breadcrumb", "breadcrumbs", "footer", "comment", "comments", "disqus", "share", "sharing", "social",
-    "related", "widget", "login", "signup", "skip",
+    "consent", "popup", "modal", "newsletter", "subscribe", "sidebar", "nav", "navbar", "navigation", "breadcrumb",
+    "breadcrumbs", "footer", "comment", "comments", "disqus", "login", "signup",
 }
+#: Words that mark furniture only where at least half of the element's text is the site's template.
+AMBIGUOUS = {"notice", "notices", "menu", "share", "sharing", "social", "related", "widget", "skip"}
 #: The page and its main parts, which are never a template.
 WHOLE = {"html", "body", "head", "main", "article"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"}
@@ -185,10 +186,40 @@ def neighbours(root: Node, recurring: set[int]) -> dict[int, int]:
     return out
 
 
+def _mostly_template(node: Node, templates: set[int]) -> bool:
+    """Whether at least half of the element's text is in template subtrees."""
+    known = every = 0
+    todo: list[tuple[Node | str, bool]] = [(node, False)]
+    while todo:
+        at, inside = todo.pop()
+        if isinstance(at, str):
+            size = len(at.strip())
+            every += size
+            known += size * inside
+        else:
+            inside = inside or _key(at.digest) in templates
+            todo += [(c, inside) for c in at.children]
+    return known > 0 and 2 * known >= every
+
+
 def main_text(root: Node, templates: set[int]) -> str:
-    """Blocks of the article (or main part, or page) without furniture and templates."""
-    articles = _tops(root, lambda n: n.tag == "article")
-    parts = articles or _tops(root, lambda n: n.tag == "main" or n.role == "main") or [root]
+    """Blocks of the part with most of the page's text, without furniture and templates.
+
+    The articles are that part if they hold at least half of it, else the main part if it
+    does, else the page.
+    """
+    page = None
+    for wanted in (lambda n: n.tag == "article", lambda n: n.tag == "main" or n.role == "main"):
+        parts = _tops(root, wanted, templates)
+        if parts:
+            page = _text([root], root, templates) if page is None else page
+            text = _text(parts, root, templates)
+            if text and 2 * len(text) >= len(page):
+                return text
+    return _text([root], root, templates) if page is None else page
+
+
+def _text(parts: list[Node], root: Node, templates: set[int]) -> str:
     blocks: list[str] = []
     line: list[str] = []
 
@@ -209,7 +240,9 @@ def main_text(root: Node, templates: set[int]) -> str:
                 line.append(node)
             elif node is not part and node.furniture(inside):
                 continue
-            elif templates and int.from_bytes(node.digest, "little", signed=True) in templates:
+            elif templates and _key(node.digest) in templates:
+                continue
+            elif templates and node is not part and node.words & AMBIGUOUS and _mostly_template(node, templates):
                 continue
             elif node.tag in ("br", "wbr"):
                 line.append(" " if node.tag == "br" else "")
@@ -223,13 +256,15 @@ def main_text(root: Node, templates: set[int]) -> str:
     return "\n\n".join(blocks)
 
 
-def _tops(root: Node, wanted) -> list[Node]:
+def _tops(root: Node, wanted, templates: set[int]) -> list[Node]:
     """Outermost wanted elements outside page furniture, in page order."""
     out, todo = [], [root]
     while todo:
         node = todo.pop()
         if node is not root and node.furniture(False):
             continue
+        if templates and node.words & AMBIGUOUS and _mostly_template(node, templates):
+            continue
         if node is not root and wanted(node):
             out.append(node)
             continue

@@ -6,7 +6,7 @@ import base64
 import hashlib
 
 from splitlane.llm.common import fresh_path
-from splitlane.llm.html_tree import main_text, parse
+from splitlane.llm.html_tree import hashed, main_text, parse
 from splitlane.llm.site_templates import extracted
 from splitlane.llm.warc import archive_rows, archived, read_archive, write_archive
 
@@ -28,6 +28,20 @@ def test_furniture_goes_and_blocks_stay():
     assert text_of("<body><div>plain</div><aside>no</aside></body>") == "plain"
 
 
+def test_text_outside_teasers_and_in_ambiguous_classes_stays():
+    body = "".join(f"<p>long text of the page {k}</p>" for k in range(20))
+    cards = "".join(f"<article class=card><p>teaser {k}</p></article>" for k in range(3))
+    for part in ("main", "div"):
+        got = text_of(f"<body><nav>menu</nav><{part}>{body}</{part}>{cards}</body>")
+        assert all(f"long text of the page {k}" in got for k in range(20)) and "menu" not in got
+    for words in ("related-work", "social-science", "menu-of-the-day", "notice"):
+        assert text_of(f"<article><p>one</p><section class={words}><p>two</p></section></article>") == "one\n\ntwo"
+    root = parse("<article><p>one</p><div class=share><b>Share this page</b><i>x</i></div><div class=share><p>own words</p></div></article>")
+    hashed(root)
+    share = root.children[0].children[1].children[0]
+    assert main_text(root, {int.from_bytes(share.digest, "little", signed=True)}) == "one\n\nown words"
+
+
 def test_what_a_site_repeats_goes_but_copied_articles_stay(spark):
     note = "<p>Join our club today</p>"
     rows = [(k, f"http://a.example.com/{k}", f"<article><h1>T{k}</h1><p>Body {k}</p>{note}<p>More {k}</p></article>", "x", "y") for k in range(20)]
