@@ -30,6 +30,11 @@ THRESHOLD = 0.5
 #: Share of good texts that a labeller calls bad, as assumed before seeing any.
 FALSE_ALARM = 0.001
 
+#: Words in which a word counts as seen before, so that the share does not grow with the text.
+WINDOW = 1000
+#: Words of a passage that count as seen before wherever in the text it was.
+PASSAGE = 8
+
 GOOD, BAD, ABSTAIN = 0, 1, 2
 #: Labellers: ratio, good up to, bad from, fewest words to vote.
 LABELLERS = (
@@ -37,7 +42,7 @@ LABELLERS = (
     ("capitals", 0.20, 0.60, 3),  # of letters
     ("exclaimed", 0.05, 0.30, 3),  # of words: exclamation marks
     ("stutter", 0.03, 0.20, 5),  # of words: the same as the one before
-    ("stale", 0.60, 0.75, 30),  # of words: seen before in the text
+    ("stale", 0.60, 0.75, 30),  # of words: seen before in the window, or in a passage seen before
     ("wordless", 0.10, 0.40, 3),  # of words: without any letter
 )
 
@@ -48,14 +53,27 @@ _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0xF5)]] = True
 
 
 def repeats(found: W.Words) -> tuple[np.ndarray, np.ndarray]:
-    """For every word whether it equals the one before, and whether its text had it before."""
+    """For every word whether it equals the one before, and whether it is stale: its window
+    of ``WINDOW`` words had it before, or it is in ``PASSAGE`` words that its text had before."""
     text = found.text
     same = np.zeros(len(text), bool)
     same[1:] = (found.hash[1:] == found.hash[:-1]) & (text[1:] == text[:-1])
-    key = W.mix(found.hash + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    _, first = np.unique(key, return_index=True)
+    own = text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    window = ((np.arange(len(text)) - found.first[:-1][text]) // WINDOW).astype(np.uint64)
+    _, first = np.unique(W.mix(found.hash + own + window * np.uint64(0xC2B2AE3D27D4EB4F)), return_index=True)
     seen = np.ones(len(text), bool)
     seen[first] = False
+    if found.count.max(initial=0) > WINDOW:  # else the window is the text
+        inside = text[: len(text) - PASSAGE + 1] == text[PASSAGE - 1 :]
+        inside &= (found.count > WINDOW)[text[: len(inside)]]
+        start = np.flatnonzero(inside)
+        passage = W.joined(found.hash, PASSAGE)[start]
+        _, first = np.unique(W.mix(passage + own[start]), return_index=True)
+        again = np.delete(start, first)
+        step = np.zeros(len(text) + 1, np.int64)
+        np.add.at(step, again, 1)
+        np.add.at(step, again + PASSAGE, -1)
+        seen |= np.cumsum(step)[:-1] > 0
     return same, seen
 
 

@@ -277,6 +277,22 @@ def test_quality_agrees_with_labels_and_odd_texts(spark, odd_docs, no_docs):
     assert quality(no_docs).count() == 0
 
 
+def test_staleness_does_not_grow_with_length_but_sees_far_repeats():
+    from splitlane.llm.weak_labels import BAD, GOOD, LABELLERS, ratios, votes
+
+    rng = np.random.default_rng(4)
+    vocabulary = np.array([f"w{chr(97 + k % 26)}{k}" for k in range(30_000)])
+    chance = 1 / (np.arange(30_000) + 20)
+    clean = lambda n: " ".join(rng.choice(vocabulary, n, p=chance / chance.sum()))
+    texts = [clean(2_000), clean(20_000), clean(200_000), " ".join([clean(3_000)] * 8), "ab cd ef gh ij " * 1000]
+    raw, offsets = W.utf8(pa.array(texts))
+    found = W.split(raw, offsets, W.NOT_SPACE)
+    stale = [name for name, *_ in LABELLERS].index("stale")
+    values = ratios(raw, offsets, found)
+    assert votes(values, found.count)[:, stale].tolist() == [GOOD, GOOD, GOOD, BAD, BAD]
+    assert abs(values[1, stale] - values[2, stale]) < 0.02
+
+
 def test_licenses_of_odd_texts(odd_docs, no_docs):
     found = {r.doc_id: r for r in license_scan(odd_docs).select("row.doc_id", "row.text", "out.*").collect()}
     (hit,) = found[11].found
