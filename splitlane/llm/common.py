@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from splitlane.llm import words as W
+
 #: Ids that may be broadcast at most; above it the join shuffles.
 BROADCAST_IDS = 2_000_000
 
@@ -62,10 +64,13 @@ def rows_with(
     text: str,
     result: str,
     compute: Callable[[], Callable[[pa.Array], pa.StructArray]],
+    slice_bytes: int | None = None,
 ) -> DataFrame:
     """``row`` (all columns of ``df`` as a struct) and ``out`` (one struct per text).
 
-    ``result`` is the struct's DDL. ``compute`` builds the function once per task; it gets each Arrow batch's texts.
+    ``result`` is the struct's DDL. ``compute`` builds the function once per task; it gets each Arrow batch's texts,
+    or with ``slice_bytes`` so many bytes of them at a time (a longer text alone), whose results
+    leave the worker before the next slice.
     Keeping the input inside ``row`` means that no column name can clash.
     """
     source = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
@@ -78,8 +83,14 @@ def rows_with(
         for batch in batches:
             if batch.num_rows:
                 row = batch.column(0)
-                out = work(row.field(text) if row.null_count == 0 else row.flatten()[row.type.get_field_index(text)])
-                yield pa.RecordBatch.from_arrays([row, out], names=["row", "out"])
+                texts = row.field(text) if row.null_count == 0 else row.flatten()[row.type.get_field_index(text)]
+                if slice_bytes is None:
+                    yield pa.RecordBatch.from_arrays([row, work(texts)], names=["row", "out"])
+                    continue
+                for i, j in W.blocks(W.sizes(texts), slice_bytes):
+                    out = work(texts.slice(i, j - i))
+                    yield pa.RecordBatch.from_arrays([row.slice(i, j - i), out], names=["row", "out"])
+        pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, schema)
 

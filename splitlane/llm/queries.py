@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitlane.llm import oracle
+from splitlane.llm import byte_pairs, oracle
 from splitlane.llm.common import table
 from splitlane.llm.decontaminate import contamination, hit_words
 from splitlane.llm.hilbert import hilbert_shards
@@ -146,6 +146,21 @@ def op10_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op11_corpus_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pattern, ranks = public_tokenizers.PATTERN, public_tokenizers.path(byte_pairs.RANKS)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    shared = byte_pairs.lexicon(docs, pattern, ranks)
+    ids = byte_pairs.encoded(docs, pattern, ranks, shared=shared).select("row.doc_id", "out.ids")
+    return byte_pairs.decoded(ids, ranks).select(
+        "row.doc_id",
+        F.floor(F.octet_length("row.ids") / 4).alias("n_tokens"),
+        F.sha2("row.ids", 256).alias("ids_sha256"),
+        F.sha2("out.bytes", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_site_template_text": Query(op1_site_template_text),
     "op2_warc_archive": Query(op2_warc_archive),
@@ -157,4 +172,5 @@ QUERIES = {
     "op8_minhash_near_dup": Query(op8_minhash_near_dup, oracle.NEAR_DUP),
     "op9_suffix_repetition": Query(op9_suffix_repetition),
     "op10_cost_balanced_packing": Query(op10_cost_balanced_packing),
+    "op11_corpus_merge_replay": Query(op11_corpus_merge_replay),
 }

@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 21
@@ -59,6 +60,12 @@ def _sized_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(size)
 
 
+def sizes(texts: pa.Array) -> np.ndarray:
+    """Where each text or binary value starts, in bytes (one entry more than values)."""
+    n = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+
+
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes, and where each text starts (one entry more than texts); null is empty."""
     if texts.null_count:
