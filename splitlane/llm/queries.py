@@ -152,11 +152,11 @@ def op11_corpus_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     pattern, ranks = public_tokenizers.PATTERN, public_tokenizers.path(byte_pairs.RANKS)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     shared = byte_pairs.lexicon(docs, pattern, ranks)
-    ids = byte_pairs.encoded(docs, pattern, ranks, shared=shared).select("row.doc_id", "out.ids")
-    return byte_pairs.decoded(ids, ranks).select(
+    found = byte_pairs.encoded(docs, pattern, ranks, shared=shared, back=True)
+    return found.select(
         "row.doc_id",
-        F.floor(F.octet_length("row.ids") / 4).alias("n_tokens"),
-        F.sha2("row.ids", 256).alias("ids_sha256"),
+        F.floor(F.octet_length("out.ids") / 4).alias("n_tokens"),
+        F.sha2("out.ids", 256).alias("ids_sha256"),
         F.sha2("out.bytes", 256).alias("decoded_sha256"),
     )
 

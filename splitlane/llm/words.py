@@ -43,7 +43,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     def table(base: int) -> np.ndarray:
         out = np.full(n, base, np.uint64)
@@ -53,11 +52,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return table(_RADIX), table(pow(_RADIX, -1, 2**64))
 
 
+@lru_cache(maxsize=1)
+def _block_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(BLOCK_BYTES + 1)
+
+
 def _sized_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = BLOCK_BYTES
-    while size < n:
-        size *= 2
-    return _powers(size)
+    """At least ``n`` powers; only those of a block are kept for the next call."""
+    return _block_powers() if n <= BLOCK_BYTES + 1 else _powers(n)
 
 
 def sizes(texts: pa.Array) -> np.ndarray:
@@ -106,6 +108,15 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.count)
 
 
+def hashed(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of every ``start:end``, the same wherever they stand."""
+    n = len(raw)
+    power, inverse = _sized_powers(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_VALUE[raw] * power[:n], out=sums[1:])
+    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+
+
 def split(raw: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> Words:
     """The maximal runs of bytes in ``member``, within each text."""
     n = len(raw)
@@ -119,10 +130,7 @@ def split(raw: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> Words:
     opens[cut[both]] = True
     closes[cut[both]] = True
     start, end = np.flatnonzero(opens), np.flatnonzero(closes)
-    power, inverse = _sized_powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUE[raw] * power[:n], out=sums[1:])
-    hashes = mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+    hashes = hashed(raw, start, end)
     return Words(start, end, hashes, np.searchsorted(start, offsets))
 
 

@@ -9,10 +9,12 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 import tiktoken
 
 from splitlane.llm import byte_pairs
-from splitlane.llm.byte_pairs import Splitter, decoded, encoded, lexicon, replay, vocabulary
+from splitlane.llm import words as W
+from splitlane.llm.byte_pairs import Splitter, decoded, encoded, lexicon, points_of, replay, split_words, vocabulary
 from splitlane.llm.queries import QUERIES
 
 PATTERN = public_tokenizers.PATTERN
@@ -24,6 +26,12 @@ def library():
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=vocabulary(RANKS).ids, special_tokens={})
 
 
+def split(*texts):
+    raw, offsets = W.utf8(pa.array(texts))
+    found = split_words(raw, offsets, Splitter(PATTERN))
+    return [raw[a:b].tobytes().decode() for a, b in zip(found.start, found.end, strict=True)]
+
+
 def ids(value):
     return np.frombuffer(value, "<u4").tolist()
 
@@ -32,22 +40,21 @@ def test_words_replayed_together_equal_the_library(library):
     rng = random.Random(3)
     tokens = list(vocabulary(RANKS).ids)
     joined = [b"".join(rng.choice(tokens) for _ in range(rng.randint(1, 8))).decode("utf8", "ignore") for _ in range(4000)]
-    words = sorted({w for t in joined for part in Splitter(PATTERN).words(t, True) for w in part})
+    words = sorted(set(split(*joined)))
     words += ["", "a" * 3000, "ab" * 2000, "漢字" * 50, *("".join(rng.choice("aeinrst") for _ in range(30)) for _ in range(500))]
     got = replay([w.encode() for w in words], vocabulary(RANKS))
     assert [ids(v) for v in got] == [library._encode_single_piece(w) if w else [] for w in words]
 
 
-def test_a_merge_that_opens_a_lower_rank_lets_it_go_first():
+@pytest.mark.parametrize("at_once", [False, True])
+def test_a_merge_that_opens_a_lower_rank_lets_it_go_first(monkeypatch, at_once):
     vocab = object.__new__(byte_pairs.Vocabulary)
     table = {bytes([b]): b for b in range(256)} | {b"ab": 300, b"abc": 256, b"cab": 257}
     vocab.ids, vocab.width, vocab.of_byte = table, 301, np.arange(256)
-    vocab.pairs = {
-        table[t[:k]] * 301 + table[t[k:]]: i for t, i in table.items() for k in range(1, len(t)) if t[:k] in table and t[k:] in table
-    }
-    vocab.byte_pairs = np.array([vocab.pairs.get(a * 301 + b, -1) for a in range(256) for b in range(256)])
     known = tiktoken.Encoding("t", pat_str=r"(?s).+", mergeable_ranks=table, special_tokens={})
     rng = random.Random(1)
+    if at_once:
+        monkeypatch.setattr(byte_pairs, "AT_ONCE", 1)
     words = ["abcab", "ababcabcab", *("".join(rng.choice("abc") for _ in range(rng.randint(1, 30))) for _ in range(300))]
     got = replay([w.encode() for w in words], vocab)
     assert [ids(v) for v in got] == [known.encode_ordinary(w) for w in words]
@@ -55,25 +62,31 @@ def test_a_merge_that_opens_a_lower_rank_lets_it_go_first():
 
 def test_texts_are_split_as_the_library_splits_them():
     single = {bytes([b]): b for b in range(256)}
-    split = Splitter(PATTERN)
-    points = [chr(c) for c in [*range(0x3500), *range(0xA000, 0xAC00), *range(0x10000, 0x20000, 3)]]
+    points = [chr(c) for c in [*range(0x3500), *range(0xA000, 0xAC00), *range(0x10000, 0x20000, 3), 0x20001, 0x3D001]]
     for first in "a1!\n":
         ranks = dict(single)
         for c in points:
             ranks.setdefault((first + c).encode(), len(ranks))
         whole = tiktoken.Encoding("t", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        for c in points:
-            newer = c.encode()[0] >= byte_pairs._NEWER
-            assert (len(whole.encode_ordinary(first + c)) == 1) == (next(split.words(first + c, newer)) == [first + c]), hex(ord(c))
+        raw, offsets = W.utf8(pa.array([first + c for c in points]))
+        found, at, _ = points_of(raw, offsets)
+        starts = Splitter(PATTERN).starts(found, at)
+        assert [len(whole.encode_ordinary(first + c)) > 1 for c in points] == starts[at[:-1] + 1].tolist()
 
 
-def test_long_texts_are_cut_where_no_word_crosses(monkeypatch):
-    monkeypatch.setattr(byte_pairs, "CHUNK", 7)
+def test_texts_of_all_kinds_are_split_by_the_pattern(monkeypatch):
     rng = random.Random(2)
-    split = Splitter(PATTERN)
-    for _ in range(2000):
-        text = "".join(rng.choice("ab1!'s  \n\t\x1cé") for _ in range(rng.randint(0, 60)))
-        assert [w for part in split.words(text, False) for w in part] == split.fast(text)
+    pattern = regex.compile(PATTERN)
+    texts = ["".join(rng.choice("ab1!'stremvld  \n\t\u00a0\x1cé½") for _ in range(rng.randint(0, 40))) for _ in range(5000)]
+    assert split(*texts) == [w for t in texts for w in pattern.findall(t)]
+    monkeypatch.setattr(byte_pairs, "CHUNK", 7)
+    monkeypatch.setattr(W, "BLOCK_BYTES", 20)
+    cut = Splitter(PATTERN)
+    got = []
+    for raw, offsets in byte_pairs.parts(pa.array(texts)):
+        found = split_words(raw, offsets, cut)
+        got += [raw[a:b].tobytes().decode() for a, b in zip(found.start, found.end, strict=True)]
+    assert got == [w for t in texts for w in pattern.findall(t)]
 
 
 def test_odd_rows_equal_the_library_with_and_without_a_lexicon(spark, odd_docs, no_docs, library):
@@ -81,10 +94,11 @@ def test_odd_rows_equal_the_library_with_and_without_a_lexicon(spark, odd_docs,
     table = lexicon(docs, PATTERN, RANKS)
     assert table.num_rows > 50
     for shared in (None, table):
-        rows = encoded(docs, PATTERN, RANKS, shared=shared).select("row.*", "out.ids").collect()
+        rows = encoded(docs, PATTERN, RANKS, shared=shared, back=True).select("row.*", "out.*").collect()
         assert len(rows) == odd_docs.count()
         for row in rows:
             assert ids(row.ids) == library.encode_ordinary(row.text or "")
+            assert bytes(row.bytes) == (row.text or "").encode()
     back = decoded(encoded(docs, PATTERN, RANKS).select("out.ids", "row.text"), RANKS)
     assert all(bytes(r.bytes) == (r.text or "").encode() for r in back.select("row.text", "out.bytes").collect())
     assert decoded(spark.createDataFrame([(None,)], "ids binary"), RANKS).select("out.bytes").collect()[0][0] is None
@@ -94,10 +108,10 @@ def test_odd_rows_equal_the_library_with_and_without_a_lexicon(spark, odd_docs,
 def test_the_lexicon_holds_the_most_frequent_shared_words_within_its_bound(spark):
     docs = spark.createDataFrame([(i, "the the the a of " + f"only{i} " + "w" * 80) for i in range(8)], "doc_id long, text string")
     docs = docs.repartition(4, "doc_id")
-    whole = {r["word"] for r in lexicon(docs, PATTERN, RANKS).to_pylist()}
+    whole = {r["word"].decode() for r in lexicon(docs, PATTERN, RANKS).to_pylist()}
     assert {"the", " the", " a", " of"} <= whole and not any("only" in w and len(w) > 5 for w in whole)
-    assert all(len(w) <= 64 for w in whole)
-    assert [r["word"] for r in lexicon(docs, PATTERN, RANKS, most=1).to_pylist()] == [" the"]
+    assert all(len(w) <= 32 for w in whole)
+    assert [r["word"] for r in lexicon(docs, PATTERN, RANKS, most=1).to_pylist()] == [b" the"]
 
 
 @pytest.mark.parametrize("sf", ["sf0.001"])
@@ -115,6 +129,4 @@ def test_query_equals_the_library(spark, library, sf):
 
 def test_memory_of_a_slice_is_that_of_its_texts():
     texts = pa.array(["x" * 10, None, "y" * 100, ""])
-    from splitlane.llm import words as W
-
     assert list(W.blocks(W.sizes(texts), 50)) == [(0, 2), (2, 3), (3, 4)]
