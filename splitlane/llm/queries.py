@@ -15,6 +15,7 @@ from splitlane.llm.hilbert import hilbert_shards
 from splitlane.llm.licenses import license_scan
 from splitlane.llm.near_dup import near_duplicates
 from splitlane.llm.packing import packed
+from splitlane.llm.periodic_runs import periodic_runs, with_periods
 from splitlane.llm.pii import labelled_table, personal_data, train_from
 from splitlane.llm.pii_base import KINDS
 from splitlane.llm.repetition import judged, repetition
@@ -161,6 +162,25 @@ def op11_corpus_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = periodic_runs(docs.select("doc_id", with_periods(F.col("doc_id"), F.col("text")).alias("text")))
+    runs = F.col("out.runs")
+    best = F.array_max(F.transform(runs, lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    lines = F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    start, length, period = -best["col2"], best["length"], -best["col3"]
+    return found.select(
+        "row.doc_id",
+        F.size(runs).cast("long").alias("n_runs"),
+        start.alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(length * 1000 / period).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("out.collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_site_template_text": Query(op1_site_template_text),
     "op2_warc_archive": Query(op2_warc_archive),
@@ -173,4 +193,5 @@ QUERIES = {
     "op9_suffix_repetition": Query(op9_suffix_repetition),
     "op10_cost_balanced_packing": Query(op10_cost_balanced_packing),
     "op11_corpus_merge_replay": Query(op11_corpus_merge_replay),
+    "op12_periodic_runs": Query(op12_periodic_runs),
 }
