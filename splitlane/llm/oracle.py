@@ -42,3 +42,37 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
   coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
 """
+
+#: CRC-32 of a conversation's decimal id, bit by bit.
+_BYTES = "list_transform(range(1, len(CAST(c AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(c AS VARCHAR), i, 1)) AS BIGINT))"
+_STEP = """list_reduce(list_prepend(xor(acc, b), [1, 2, 3, 4, 5, 6, 7, 8]),
+  lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"""
+_CRC = f"xor(list_reduce(list_prepend(4294967295, {_BYTES}), lambda acc, b: {_STEP}), 4294967295)"
+
+TRIE = f"""
+WITH t AS (
+  SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS ts
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), r AS (
+  SELECT o.c, list_concat(coalesce(b.ts, [])[1:o.h], o.ts[o.h + 1:]) AS p
+  FROM (SELECT c, ts, {_CRC} % 6 AS h FROM t) o LEFT JOIN t b ON b.c = o.c - o.c % 100
+), n AS (SELECT c, p, unnest(range(0, len(p) + 1)) AS d FROM r
+), g AS (
+  SELECT d, p[1:d] AS k, min(c) AS conv_id, count(*) AS n_convs,
+    string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE len(p) = d) AS ends
+  FROM n GROUP BY d, p[1:d]
+), ch AS (SELECT d - 1 AS d, k[1:d - 1] AS k, count(*) AS n_children FROM g WHERE d > 0 GROUP BY ALL
+), o AS (
+  SELECT g.*, coalesce(n_children, 0) AS n_children,
+    CASE WHEN g.d > 0 THEN (n_convs - 1) * len(g.k[g.d].t) ELSE 0 END AS own
+  FROM g LEFT JOIN ch ON g.d = ch.d AND g.k = ch.k
+), up AS (SELECT unnest(range(0, d + 1)) AS e, k, n_children, own FROM o
+), s AS (
+  SELECT e AS d, k[1:e] AS k, CAST(count(*) FILTER (WHERE n_children = 0) AS BIGINT) AS n_leaves,
+    CAST(sum(own) AS BIGINT) AS saved_tokens
+  FROM up GROUP BY e, k[1:e]
+)
+SELECT o.conv_id, o.d AS depth, q.conv_id AS parent_conv_id, o.n_convs, o.n_children, s.n_leaves, s.saved_tokens,
+  sha256(coalesce(o.ends, '')) AS ends_sha256
+FROM o JOIN s ON o.d = s.d AND o.k = s.k LEFT JOIN o q ON q.d = o.d - 1 AND q.k = o.k[1:o.d - 1]
+"""

@@ -18,6 +18,7 @@ from splitlane.llm.packing import packed
 from splitlane.llm.periodic_runs import periodic_runs, with_periods
 from splitlane.llm.pii import labelled_table, personal_data, train_from
 from splitlane.llm.pii_base import KINDS
+from splitlane.llm.prefix_trie import paths, prefix_trie, with_shared_heads
 from splitlane.llm.repetition import judged, repetition
 from splitlane.llm.site_templates import extracted
 from splitlane.llm.warc import archived
@@ -181,6 +182,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    convs = with_shared_heads(paths(turns, "conv_id", "turn", "role", "text"))
+    return prefix_trie(convs)
+
+
 QUERIES = {
     "op1_site_template_text": Query(op1_site_template_text),
     "op2_warc_archive": Query(op2_warc_archive),
@@ -194,4 +201,5 @@ QUERIES = {
     "op10_cost_balanced_packing": Query(op10_cost_balanced_packing),
     "op11_corpus_merge_replay": Query(op11_corpus_merge_replay),
     "op12_periodic_runs": Query(op12_periodic_runs),
+    "op13_prefix_trie": Query(op13_prefix_trie, oracle.TRIE),
 }
