@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,6 +16,8 @@ from splitlane.llm import words as W
 
 #: Ids that may be broadcast at most; above it the join shuffles.
 BROADCAST_IDS = 2_000_000
+#: Bytes of texts that a worker handles before their results leave it.
+SLICE_BYTES = 1 << 23
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,18 +62,29 @@ def small_side(ids: DataFrame, n: int) -> DataFrame:
     return F.broadcast(ids) if n <= BROADCAST_IDS else ids
 
 
+def release() -> None:
+    """Gives memory that this worker has freed back to the system.
+
+    Spark keeps Python workers for later tasks and stages, and freed memory stays with them.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def rows_with(
     df: DataFrame,
     text: str,
     result: str,
     compute: Callable[[], Callable[[pa.Array], pa.StructArray]],
-    slice_bytes: int | None = None,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """``row`` (all columns of ``df`` as a struct) and ``out`` (one struct per text).
 
-    ``result`` is the struct's DDL. ``compute`` builds the function once per task; it gets each Arrow batch's texts,
-    or with ``slice_bytes`` so many bytes of them at a time (a longer text alone), whose results
-    leave the worker before the next slice.
+    ``result`` is the struct's DDL. ``compute`` builds the function once per task; it gets about
+    ``slice_bytes`` of texts at a time (a longer text alone), whose results leave the worker
+    before the next slice.
     Keeping the input inside ``row`` means that no column name can clash.
     """
     source = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
@@ -84,13 +98,11 @@ def rows_with(
             if batch.num_rows:
                 row = batch.column(0)
                 texts = row.field(text) if row.null_count == 0 else row.flatten()[row.type.get_field_index(text)]
-                if slice_bytes is None:
-                    yield pa.RecordBatch.from_arrays([row, work(texts)], names=["row", "out"])
-                    continue
                 for i, j in W.blocks(W.sizes(texts), slice_bytes):
                     out = work(texts.slice(i, j - i))
                     yield pa.RecordBatch.from_arrays([row.slice(i, j - i), out], names=["row", "out"])
-        pa.default_memory_pool().release_unused()
+        del work
+        release()
 
     return source.mapInArrow(run, schema)
 

@@ -11,7 +11,7 @@ A line needs decoding only if some word could gain from a label: where every wor
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,10 @@ LABELLED_TEXTS = 200
 #: Words on both sides of a labelled span that training sees.
 CONTEXT = 3
 STEPS = 60
+#: Bytes of text that the field sees at once, cut at line ends, where sequences end too; a longer
+#: line is handled alone. Lines that Viterbi steps through together, at most.
+PIECE_BYTES = 1 << 18
+MOST_LINES = 1 << 13
 #: How spelled-out addresses of the training texts are written, without any digit.
 SPELLED = ((" [at] ", False), (" [at] ", True), (" (at) ", False), (" (at) ", True))
 #: By how much the labels of an address of up to three words without @ and digits must lead,
@@ -175,7 +179,8 @@ class Crf:
         at = 0
         while at < len(todo):  # batches of like lengths, bounded in padded words
             longest, end = 0, at
-            while end < len(todo) and (end - at + 1) * sizes[todo[end]] <= max(200_000, sizes[todo[at]]):
+            most = min(len(todo), at + MOST_LINES)
+            while end < most and (end - at + 1) * sizes[todo[end]] <= max(200_000, sizes[todo[at]]):
                 longest = sizes[todo[end]]
                 end += 1
             self._viterbi(emit, starts[todo[at:end]], sizes[todo[at:end]], int(longest), tags)
@@ -348,6 +353,18 @@ def labelled_runs(raw: np.ndarray, found: W.Words, crf: Crf) -> list[tuple[int,
     return out
 
 
+def runs_by_piece(raw: np.ndarray, offsets: np.ndarray, crf: Crf) -> Iterator[tuple[int, str, int, int, int, float]]:
+    """``labelled_runs`` of a block of texts, in pieces of ``PIECE_BYTES``."""
+    borders = np.union1d(offsets, np.flatnonzero(raw == 0x0A) + 1)
+    for i, j in W.blocks(borders, PIECE_BYTES):
+        a, b = int(borders[i]), int(borders[j])
+        text = int(np.searchsorted(offsets, a, "right")) - 1
+        own = np.r_[a, offsets[(offsets > a) & (offsets < b)], b] - a
+        part = raw[a:b]
+        for t, kind, first, end, n, margin in labelled_runs(part, W.split(part, own, W.NOT_SPACE), crf):
+            yield text + t, kind, a + first, a + end, n, margin
+
+
 def _strong(part: str) -> bool:
     return any(c.isdigit() or c == "@" for c in part)
 
@@ -401,7 +418,7 @@ def finder(crf: Crf | None, mask: bool) -> Callable[[], Callable[[pa.Array], pa.
                 likely = np.diff(sums[own]) > 0
                 more: dict[int, list[tuple[str, int, int, bool]]] = {}
                 if crf is not None:
-                    for t, kind, a, b, n, margin in labelled_runs(part, W.split(part, own, W.NOT_SPACE), crf):
+                    for t, kind, a, b, n, margin in runs_by_piece(part, own, crf):
                         sure = kind == "email" and n > 1 and margin >= LEAST_MARGIN * max(1, n / 3)
                         more.setdefault(t, []).append((kind, a - int(own[t]), b - int(own[t]), sure))
                 for t in range(j - i):
@@ -442,7 +459,7 @@ def personal_data(docs: DataFrame, text_col: str = "text", crf: Crf | None = Non
     replaced by their kind, else null. Null and empty texts have no spans (a null text
     stays null); repeated rows get equal results.
     """
-    return rows_with(docs, text_col, f"spans array<{SPAN}>, clean string", finder(crf, mask))
+    return rows_with(docs, text_col, f"spans array<{SPAN}>, clean string", finder(crf, mask), W.BLOCK_BYTES)
 
 
 def redacted(docs: DataFrame, crf: Crf, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
