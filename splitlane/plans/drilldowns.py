@@ -19,7 +19,7 @@ from splitlane.plans.common import (
     wide,
     with_tables,
 )
-from splitlane.streaming.monitor import monitor_activity_log
+from splitlane.streaming.monitor import accounted, monitor_activity_log, monitored_activity_log
 
 HOURLY = (
     UNITS
@@ -55,6 +55,11 @@ def monitor_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return presentable(days)
 
 
+def monitor_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = monitored_activity_log(spark, sf_dir, "events.parquet")
+    return presentable(accounted(spark, out))
+
+
 def monitor_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, verdicts = monitor_activity_log(spark, sf_dir, "events.parquet")
     return presentable(verdicts.drop("message"))
@@ -378,6 +383,22 @@ SELECT {day()}, variant, total_attempts, authorized, order_count, {r('order_valu
 FROM closed""",
         ),
     ),
+    "monitor_accounts": Query(
+        monitor_accounts,
+        with_tables(
+            """
+sent AS (
+  SELECT CAST("timestamp" AS DATE) AS date, variant,
+    md5(concat_ws('|', checkout_id, payment_method, authorized, "timestamp", variant, date)) AS k
+  FROM payment_attempt
+  UNION ALL SELECT CAST("timestamp" AS DATE), variant, order_id FROM order_completed)""",
+            select=f"""
+SELECT {day()}, variant, count(*) AS rows_sent, count(DISTINCT k) AS counted,
+  count(*) - count(DISTINCT k) AS repeated, CAST(0 AS BIGINT) AS late,
+  CAST(0 AS BIGINT) AS pending, CAST(0 AS BIGINT) AS undated
+FROM sent GROUP BY date, variant""",
+        ),
+    ),
     "monitor_verdicts": Query(
         monitor_verdicts,
         with_tables(

@@ -1,10 +1,16 @@
-"""Daily guardrail monitoring of payments and orders as they arrive."""
+"""Daily guardrail monitoring of payments and orders as they arrive.
+
+Every row that arrives is accounted for: it counts in its day, repeats a row that does, came
+after its day had closed, waits in a day still open, or has no time. Counting needs state, one
+row per key of an open day; the arrivals beside it need none.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splitlane.functions.clock import epoch_seconds
@@ -18,14 +24,26 @@ LATENESS = "2 hours"
 DAY_SECONDS = 86_400
 END_OF_INPUT = 253_370_764_800  # 9999-01-01
 
+STORE_SETTING = "spark.sql.streaming.stateStore.providerClass"
+ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+TOTALS = ("total_attempts", "authorized", "order_count", "order_value")
+
+
+def _whole_row(df: DataFrame) -> Column:
+    """A key that only rows equal in every column share; 64 characters, for the state."""
+    row = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+    return F.sha2(row, 256)
+
 
 def outcome_stream(events: EventTables) -> DataFrame:
-    """Payments and orders as one stream of ``event_key, timestamp, variant, ...``."""
+    """Payments and orders as one stream of ``event_key, timestamp, variant, ...``.
+
+    Payments have no id, so only a row equal in every column is a repeat; so it is for
+    orders that lack theirs.
+    """
     payments = events.payment_attempt.select(
-        # no attempt id: only a row that is equal in every column is a repeat
-        F.to_json(F.struct(*sorted(events.payment_attempt.columns)), {"ignoreNullFields": "false"}).alias(
-            "event_key"
-        ),
+        F.concat(F.lit("payment|"), _whole_row(events.payment_attempt)).alias("event_key"),
         "timestamp",
         "variant",
         F.lit(1).alias("attempt"),
@@ -34,7 +52,10 @@ def outcome_stream(events: EventTables) -> DataFrame:
         F.lit(0.0).alias("order_value"),
     )
     orders = events.order_completed.select(
-        F.concat_ws("|", F.lit("order"), "order_id").alias("event_key"),
+        F.coalesce(
+            F.concat(F.lit("order|"), F.col("order_id")),
+            F.concat(F.lit("order row|"), _whole_row(events.order_completed)),
+        ).alias("event_key"),
         "timestamp",
         "variant",
         F.lit(0).alias("attempt"),
@@ -48,33 +69,55 @@ def outcome_stream(events: EventTables) -> DataFrame:
     )
 
 
+def _date(instant: Column) -> Column:
+    return F.date_from_unix_date(F.floor(F.unix_seconds(instant) / DAY_SECONDS).cast("int"))
+
+
 def daily_outcomes(outcomes: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Attempts, authorizations and orders per day and variant; repeats count once.
+    """Attempts, authorizations and orders per day and variant; a key counts once in each.
 
-    A day is emitted when no event of it can arrive any more; later rows are dropped.
+    Of rows with one key the earliest counts. ``counted`` keys and ``repeated`` rows add up
+    to the rows that came in time. A day is emitted when no event of it can arrive any
+    more; rows are late from then on, and only then.
     """
-    day = F.floor(F.unix_seconds("window.start") / DAY_SECONDS).cast("int")
-    return (
+    parts = ("timestamp", "attempt", "authorized", "ordered", "order_value")
+    keyed = (
         outcomes.withWatermark("timestamp", lateness)
-        .dropDuplicatesWithinWatermark(["event_key"])
-        .groupBy(F.window("timestamp", "1 day"), "variant")
+        .groupBy(F.window("timestamp", "1 day"), "variant", "event_key")
+        .agg(F.min(F.struct(*parts)).alias("first"), F.count(F.lit(1)).alias("copies"))
+    )
+    return (
+        keyed.groupBy(F.window("window", "1 day").alias("day"), "variant")
         .agg(
-            F.sum("attempt").alias("total_attempts"),
-            F.sum("authorized").alias("authorized"),
-            F.sum("ordered").alias("order_count"),
-            F.sum("order_value").alias("order_value"),
-        )
-        .select(
-            F.date_from_unix_date(day).alias("date"),
-            "variant",
-            "total_attempts",
-            "authorized",
-            "order_count",
-            "order_value",
+            F.sum("first.attempt").alias("total_attempts"),
+            F.sum("first.authorized").alias("authorized"),
+            F.sum("first.ordered").alias("order_count"),
+            F.sum("first.order_value").alias("order_value"),
+            F.count(F.lit(1)).alias("counted"),
+            F.sum(F.col("copies") - 1).alias("repeated"),
         )
+        .select(_date(F.col("day.start")).alias("date"), "variant", *TOTALS, "counted", "repeated")
     )
 
 
+def closed_days_and_arrivals(outcomes: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """One stream of two kinds of rows: days that close, and every row that arrives."""
+    closed = daily_outcomes(outcomes, lateness).withColumns(
+        {"closed": F.lit(True), "rows": F.lit(0).cast("long"), "newest": F.lit(None).cast("timestamp")}
+    )
+    known = {
+        "date": _date(F.col("timestamp")),
+        "variant": F.col("variant"),
+        "closed": F.lit(False),
+        "rows": F.lit(1),
+        "newest": F.col("timestamp"),
+    }
+    arrived = outcomes.select(
+        *[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in closed.schema.fields]
+    )
+    return closed.unionByName(arrived)
+
+
 def judge_days(
     days: DataFrame, rules: Mapping[str, Mapping[str, float]] = PRESET_RULES
 ) -> DataFrame:
@@ -112,6 +155,20 @@ def end_marker(outcomes: DataFrame) -> DataFrame:
     )
 
 
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, unless the session names a store."""
+    if spark.conf.get(STORE_SETTING, "").endswith(".HDFSBackedStateStoreProvider"):
+        default = spark.conf.get(STORE_SETTING)
+        spark.conf.set(STORE_SETTING, ON_DISK)
+        try:
+            yield
+        finally:
+            spark.conf.set(STORE_SETTING, default)
+    else:
+        yield
+
+
 def run_monitor(
     outcomes: DataFrame,
     out: str,
@@ -119,38 +176,43 @@ def run_monitor(
     lateness: str = LATENESS,
     final: bool = False,
 ):
-    """Process what has arrived so far; write closed days and their verdicts.
+    """Process what has arrived so far; write closed days, their verdicts and all arrivals.
 
     Each micro-batch overwrites its own folder, so a batch repeated after a failure
     replaces its first try. ``final`` ends a bounded input: after all of it, a marker
     goes in by a second source and closes the days still open. What arrives later is
-    late. Spark counts late and repeated rows in the query's progress, as
-    ``numRowsDroppedByWatermark`` and ``numDroppedDuplicateRows``.
+    late. ``accounted`` says what became of every row.
     """
     spark, ends = outcomes.sparkSession, f"{out}/end"
     marker = end_marker(outcomes)
     marker.limit(0).write.mode("ignore").parquet(ends)
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/days/batch={batch_id}")
-        days = batch.sparkSession.read.schema(batch.schema).parquet(
-            f"{out}/days/batch={batch_id}"
-        )
+        # One pass over the batch: a closed day is one row, arrivals become a count per day.
+        sums = [F.sum(c).alias(c) for c in (*TOTALS, "counted", "repeated", "rows")]
+        log = batch.groupBy("closed", "date", "variant").agg(*sums, F.max("newest").alias("newest"))
+        log.write.mode("overwrite").parquet(f"{out}/log/batch={batch_id}")
+        written = batch.sparkSession.read.schema(log.schema).parquet(f"{out}/log/batch={batch_id}")
+        days = written.where("closed").select("date", "variant", *TOTALS, "counted", "repeated")
+        days.write.mode("overwrite").parquet(f"{out}/days/batch={batch_id}")
+        arrivals = written.where("not closed").select("date", "variant", "rows", "newest")
+        arrivals.write.mode("overwrite").parquet(f"{out}/arrivals/batch={batch_id}")
         judge_days(days).write.mode("overwrite").parquet(f"{out}/verdicts/batch={batch_id}")
 
     def drain():
         arrived = outcomes.unionByName(
             spark.readStream.schema(outcomes.schema).parquet(ends)
         )
-        query = (
-            daily_outcomes(arrived, lateness)
-            .writeStream.outputMode("append")
-            .foreachBatch(save)
-            .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
+        with state_on_disk(spark):
+            query = (
+                closed_days_and_arrivals(arrived, lateness)
+                .writeStream.outputMode("append")
+                .foreachBatch(save)
+                .option("checkpointLocation", checkpoint)
+                .trigger(availableNow=True)
+                .start()
+            )
+            query.awaitTermination()
         return query
 
     query = drain()
@@ -160,8 +222,45 @@ def run_monitor(
     return query
 
 
-def monitor_activity_log(spark: SparkSession, folder: str, pattern: str) -> tuple[DataFrame, DataFrame]:
-    """Run the monitor over all log files of a folder; every day, and its verdicts."""
+def accounted(spark: SparkSession, out: str, lateness: str = LATENESS) -> DataFrame:
+    """What became of all rows that ``run_monitor`` has been sent, per day and variant.
+
+    ``rows_sent`` = ``counted`` + ``repeated`` + ``late`` + ``pending`` + ``undated``. Late rows
+    came after their day had closed; of a day whose rows all were, nothing is counted.
+    Pending rows wait in a day that has not closed, repeats among them.
+    """
+    keys = ["date", "variant"]
+    arrivals = spark.read.parquet(f"{out}/arrivals")
+    days = spark.read.parquet(f"{out}/days")
+    # The watermark that the last batch left behind: days that end by it have closed.
+    reached = F.expr(f"max(newest) - INTERVAL {lateness}")
+    watermark = arrivals.agg(F.unix_seconds(reached)).scalar()
+    sent = arrivals.groupBy(*keys).agg(F.sum("rows").alias("rows_sent"))
+    closed = days.groupBy(*keys).agg(F.sum("counted").alias("counted"), F.sum("repeated").alias("repeated"))
+    both = sent.withColumn("_sent", F.lit(True)).join(
+        closed,
+        (sent["date"] == closed["date"]) & sent["variant"].eqNullSafe(closed["variant"]),
+        "left",
+    )
+    day_end = (F.unix_date(sent["date"]).cast("long") + 1) * DAY_SECONDS
+    counted, repeated = (F.coalesce(c, F.lit(0).cast("long")) for c in ("counted", "repeated"))
+    is_closed = day_end <= watermark
+    rest = F.col("rows_sent") - counted - repeated
+    none = F.lit(0).cast("long")
+    return both.where(sent["date"].isNull() | (F.unix_date(sent["date"]) * F.lit(DAY_SECONDS).cast("long") < END_OF_INPUT)).select(
+        sent["date"],
+        sent["variant"],
+        "rows_sent",
+        counted.alias("counted"),
+        repeated.alias("repeated"),
+        F.when(is_closed, rest).otherwise(none).alias("late"),
+        F.when(~is_closed, rest).otherwise(none).alias("pending"),
+        F.when(sent["date"].isNull(), F.col("rows_sent")).otherwise(none).alias("undated"),
+    )
+
+
+def monitored_activity_log(spark: SparkSession, folder: str, pattern: str) -> str:
+    """Run the monitor over all log files of a folder; where its results are."""
     log = (
         spark.readStream.schema(
             "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,"
@@ -172,7 +271,13 @@ def monitor_activity_log(spark: SparkSession, folder: str, pattern: str) -> tupl
     )
     out = shared_folder(spark, "monitor")
     run_monitor(outcome_stream(events_from_activity_log(log)), out, f"{out}/checkpoint", final=True)
+    return out
+
+
+def monitor_activity_log(spark: SparkSession, folder: str, pattern: str) -> tuple[DataFrame, DataFrame]:
+    """Every day of the log files of a folder, and its verdicts."""
+    out = monitored_activity_log(spark, folder, pattern)
     return (
-        spark.read.parquet(f"{out}/days").drop("batch"),
+        spark.read.parquet(f"{out}/days").drop("batch", "counted", "repeated"),
         spark.read.parquet(f"{out}/verdicts").drop("batch"),
     )
