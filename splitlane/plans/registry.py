@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from splitlane.plans import drilldowns, experiments, foundation, measures
+from splitlane.plans import drilldowns, experiments, foundation, measures, sequential
 from splitlane.plans.common import Query
 
 QUERIES: dict[str, Query] = {
@@ -10,4 +10,5 @@ QUERIES: dict[str, Query] = {
     **measures.QUERIES,
     **experiments.QUERIES,
     **drilldowns.QUERIES,
+    **sequential.QUERIES,
 }
