@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from splitlane.plans import drilldowns, experiments, foundation, measures, sequential
+from splitlane.plans import drilldowns, experiments, foundation, inference, measures, sequential
 from splitlane.plans.common import Query
 
 QUERIES: dict[str, Query] = {
@@ -11,4 +11,5 @@ QUERIES: dict[str, Query] = {
     **experiments.QUERIES,
     **drilldowns.QUERIES,
     **sequential.QUERIES,
+    **inference.QUERIES,
 }
