@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from splitlane.operators import clustered, segments
-from splitlane.plans.common import UNITS, Query, on_events, r, tested_conversion, two_sided_p, wide, with_tables
+from splitlane.functions.kolmogorov import SWITCH
+from splitlane.operators import clustered, distributions, segments
+from splitlane.plans.common import UNITS, Query, moment, on_events, r, tested_conversion, two_sided_p, wide, with_tables
 
 _MOMENTS = ["clusters", "n_rows", "mean", "variance", "design_effect", "icc", "unclustered_rows"]
 
@@ -57,6 +58,15 @@ def chi_square_tail(x: str, d: str) -> str:
     )
 
 
+def kolmogorov_tail(x: str) -> str:
+    below = " + ".join(f"exp(-{(2 * k - 1) ** 2} * pi() * pi() / 8 / ({x} * {x}))" for k in range(1, 5))
+    beyond = " + ".join(f"({(-1) ** (k - 1)}) * exp(-{2 * k * k} * {x} * {x})" for k in range(1, 5))
+    return (
+        f"CASE WHEN {x} <= 0 THEN 1 WHEN {x} < {SWITCH} THEN 1 - sqrt(2 * pi()) / {x} * ({below})"
+        f" ELSE 2 * ({beyond}) END"
+    )
+
+
 SEGMENTED = (
     UNITS
     + """,
@@ -143,4 +153,56 @@ SELECT cut, segments, arms, CAST(users AS BIGINT) AS users, {r('x', 'chi_square'
 FROM both_sides""",
         ),
     ),
+    "latency_tests": Query(
+        on_events(distributions.latency_tests),
+        with_tables(
+            """
+at_value AS (SELECT step_name, latency_ms AS v, count(*) FILTER (WHERE variant = 'control')::DOUBLE AS c,
+    count(*) FILTER (WHERE variant = 'treatment')::DOUBLE AS t
+  FROM checkout_step_view WHERE latency_ms IS NOT NULL GROUP BY ALL),
+running AS (SELECT *, sum(c) OVER upto AS cc, sum(t) OVER upto AS tt,
+    sum(c) OVER (PARTITION BY step_name) AS n_c, sum(t) OVER (PARTITION BY step_name) AS n_t
+  FROM at_value WINDOW upto AS (PARTITION BY step_name ORDER BY v)),
+gaps AS (SELECT *, abs(cc / n_c - tt / n_t) AS gap, round(abs(cc / n_c - tt / n_t), 12) AS shown FROM running),
+sums AS (SELECT step_name, max(n_c) AS n_c, max(n_t) AS n_t, sum(t * (cc - c + c / 2)) AS u,
+    sum((c + t) * (c + t) * (c + t) - (c + t)) AS ties, max(gap) AS distance
+  FROM gaps GROUP BY step_name),
+reached AS (SELECT g.step_name, min(v) AS distance_at
+  FROM gaps g JOIN (SELECT step_name, max(shown) AS most FROM gaps GROUP BY 1) m
+    ON g.step_name = m.step_name AND g.shown = m.most GROUP BY 1),
+scored AS (SELECT s.*, distance_at, u / (n_c * n_t) AS superiority, distance * sqrt(n_c * n_t / (n_c + n_t)) AS reach,
+    (u - n_c * n_t / 2) / sqrt(n_c * n_t / 12 * (n_c + n_t + 1 - ties / ((n_c + n_t) * (n_c + n_t - 1)))) AS z
+  FROM sums s JOIN reached USING (step_name)),
+judged AS (SELECT *, """
+            + f"{two_sided_p('z')} AS rank_p, {kolmogorov_tail('reach')} AS distance_p FROM scored)",
+            select=f"""
+SELECT step_name, CAST(n_c AS BIGINT) AS control_rows, CAST(n_t AS BIGINT) AS treatment_rows, {r('distance')},
+  distance_at, {r('superiority')}, {r('z')}, {r('rank_p', 'rank_p_value')}, {r('distance_p', 'distance_p_value')},
+  least(rank_p, distance_p) < 0.025 AS differs
+FROM judged""",
+        ),
+    ),
+    "hourly_changes": Query(
+        on_events(distributions.hourly_changes),
+        with_tables(
+            """
+hourly AS (
+  SELECT 'latency: ' || step_name AS series, date_trunc('hour', "timestamp") AS h, avg(latency_ms)::DOUBLE AS x
+    FROM checkout_step_view GROUP BY ALL
+  UNION ALL SELECT 'errors: ' || step_name, date_trunc('hour', "timestamp"), count(*)::DOUBLE FROM form_error GROUP BY ALL),
+placed AS (SELECT *, count(*) OVER s AS n, avg(x) OVER s AS mean, x - lag(x) OVER o AS step, lead(h) OVER o AS next_h,
+    sum(x) OVER o AS total, row_number() OVER o AS i
+  FROM hourly WINDOW s AS (PARTITION BY series), o AS (PARTITION BY series ORDER BY h)),
+walk AS (SELECT *, CASE WHEN i < n THEN round(abs(total - i * mean), 6) END AS w FROM placed),
+best AS (SELECT series, arg_max(i, (w, -i)) FILTER (WHERE w IS NOT NULL) AS i FROM walk GROUP BY series),
+noise AS (SELECT series, sqrt(avg(step * step) / 2) AS noise FROM walk GROUP BY series),
+found AS (SELECT w.series, n AS points, next_h, total / w.i AS mean_before, (n * mean - total) / (n - w.i) AS mean_after,
+    noise, abs(total - w.i * mean) / (noise * sqrt(n)) AS statistic
+  FROM walk w JOIN best b ON w.series = b.series AND w.i = b.i JOIN noise s ON w.series = s.series)""",
+            select=f"""
+SELECT series, points, {moment('next_h', 'change_at')}, {r('mean_before')}, {r('mean_after')}, {r('noise')},
+  {r('statistic')}, {r(kolmogorov_tail('statistic'), 'p_value')}, {kolmogorov_tail('statistic')} < 0.05 AS changed
+FROM found WHERE points > 2""",
+        ),
+    ),
 }
