@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from splitlane.plans import drilldowns, experiments, foundation, inference, measures, sequential
+from splitlane.plans import drilldowns, experiments, foundation, inference, measures, sequences, sequential
 from splitlane.plans.common import Query
 
 QUERIES: dict[str, Query] = {
@@ -12,4 +12,5 @@ QUERIES: dict[str, Query] = {
     **drilldowns.QUERIES,
     **sequential.QUERIES,
     **inference.QUERIES,
+    **sequences.QUERIES,
 }
