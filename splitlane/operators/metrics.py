@@ -84,6 +84,20 @@ def conversions(units: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def stacked(frames: list[DataFrame], keys: list[str], counts: list[str]) -> DataFrame:
+    """Grouped frames with some of the ``counts`` each, side by side; absent counts are 0.
+
+    A key of any frame is kept, and one without a value is a key like any other: the few
+    grouped rows meet in one union and one aggregation, not in joins.
+    """
+    whole = None
+    for frame in frames:
+        there = [F.col(c) if c in frame.columns else F.lit(0).cast("bigint").alias(c) for c in counts]
+        part = frame.select(*keys, *there)
+        whole = part if whole is None else whole.unionByName(part)
+    return whole.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counts])
+
+
 def ccr_same_day(events: EventTables) -> DataFrame:
     """Bounded conversion per day and variant: orderers are a subset of adders."""
     return conversions(user_days(events), ["date", "variant"])
@@ -93,22 +107,18 @@ def ccr_first_exposure(events: EventTables, basis: str = EVENT) -> DataFrame:
     """Users first exposed on a day against everyone who ordered that day.
 
     Nothing ties orderers to the exposed cohort: with returning users a day can have
-    more orders than adders.
+    more orders than adders. Every day and variant with carts or orders has a row, also
+    where nobody was first exposed.
     """
+    by = [day_of(basis).alias("date"), "variant"]
     adders = (
         marts.experiments(events)
         .groupBy(F.to_date("first_exposed_at").alias("date"), "variant")
         .agg(F.count("user_id").alias("adders"))
     )
-    orderers = distinct_per(
-        events.order_completed,
-        [day_of(basis).alias("date"), "variant"],
-        "user_id",
-        "orders",
-    )
-    return adders.join(orderers, ["date", "variant"], "left").select(
-        "date", "variant", "adders", zero_if_absent("orders")
-    )
+    orderers = distinct_per(events.order_completed, by, "user_id", "orders")
+    seen = events.add_to_cart.select(*by).distinct()
+    return stacked([adders, orderers, seen], ["date", "variant"], ["adders", "orders"])
 
 
 def ccr_compact(events: EventTables, day: Day = None) -> DataFrame:
@@ -180,14 +190,37 @@ def order_totals(orders: DataFrame, by: list[str | Column]) -> DataFrame:
     )
 
 
-def _guardrail_columns(joined: DataFrame, keys: list[str]) -> DataFrame:
-    return joined.select(
-        *keys,
+def _guardrail_cells(payments: DataFrame, orders: DataFrame, by: list[str | Column]) -> DataFrame:
+    """Payments and orders of every group that has either, in one aggregation.
+
+    ``missing`` says what a group lacks; its counts are 0 and its rate or mean is NULL.
+    """
+    names = [c if isinstance(c, str) else "date" for c in by]
+    touches = payments.select(
+        *by,
+        F.lit(1).alias("_paid"),
+        F.col("authorized").alias("_authorized"),
+        F.lit(0).alias("_ordered"),
+        F.lit(None).cast("double").alias("_value"),
+    ).unionAll(
+        orders.select(*by, F.lit(0), F.lit(False), F.lit(1), F.col("order_value").cast("double"))
+    )
+    cells = touches.groupBy(*names).agg(
+        F.sum("_paid").alias("total_attempts"),
+        F.count_if((F.col("_paid") == 1) & F.col("_authorized")).alias("authorized"),
+        F.sum("_ordered").alias("order_count"),
+        F.avg("_value").alias("aov"),
+    )
+    lacks = {"total_attempts": "payments", "order_count": "orders"}
+    missing = F.concat_ws(", ", *[F.when(F.col(c) == 0, text) for c, text in lacks.items()])
+    return cells.select(
+        *names,
         "total_attempts",
         "authorized",
         F.try_divide(F.col("authorized"), F.col("total_attempts")).alias("auth_rate"),
         "order_count",
         "aov",
+        F.nullif(missing, F.lit("")).alias("missing"),
     )
 
 
@@ -196,24 +229,20 @@ def guardrails(
 ) -> DataFrame:
     """Payment authorization and order value per variant on one event day.
 
-    ``spill_days`` lets scans prune partitions, see ``on_day``.
+    A variant with payments or orders that day has a row. ``spill_days`` lets scans prune
+    partitions, see ``on_day``.
     """
-    payments = payment_totals(
-        on_day(events.payment_attempt, events, EVENT, day, spill_days), ["variant"]
-    )
-    orders = order_totals(
-        on_day(events.order_completed, events, EVENT, day, spill_days), ["variant"]
+    return _guardrail_cells(
+        on_day(events.payment_attempt, events, EVENT, day, spill_days),
+        on_day(events.order_completed, events, EVENT, day, spill_days),
+        ["variant"],
     )
-    return _guardrail_columns(payments.join(orders, "variant", "left"), ["variant"])
 
 
 def guardrails_daily(events: EventTables, basis: str = EVENT) -> DataFrame:
+    """The same for every day and variant with payments or orders."""
     by = [day_of(basis).alias("date"), "variant"]
-    payments = payment_totals(events.payment_attempt, by)
-    orders = order_totals(events.order_completed, by)
-    return _guardrail_columns(
-        payments.join(orders, ["date", "variant"], "left"), ["date", "variant"]
-    )
+    return _guardrail_cells(events.payment_attempt, events.order_completed, by)
 
 
 def _rounded_guardrails(payments: DataFrame, orders: DataFrame, keys: list[str]):
@@ -307,20 +336,12 @@ def _funnel(events: EventTables, basis: str, day: Day) -> DataFrame:
     orders = (
         rows("order_completed").groupBy("variant").agg(F.count(F.lit(1)).alias("orders"))
     )
-    joined = adders
-    for stage in (begun, payments, orders):
-        joined = joined.join(stage, "variant", "left")
-    return joined.select(
-        "variant",
-        "adders",
-        zero_if_absent("begin_checkout"),
-        zero_if_absent("payment_attempts"),
-        zero_if_absent("orders"),
-    ).orderBy("variant")
+    stages = ["adders", "begin_checkout", "payment_attempts", "orders"]
+    return stacked([adders, begun, payments, orders], ["variant"], stages).orderBy("variant")
 
 
 def variant_funnel(events: EventTables, day: Day = None) -> DataFrame:
-    """Four funnel stages per variant on one event day."""
+    """Four funnel stages per variant on one event day; a variant found in any has a row."""
     return _funnel(events, EVENT, day)
 
 

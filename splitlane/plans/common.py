@@ -108,27 +108,38 @@ units AS (
 FIRST_EXPOSURE = (
     EXPERIMENTS
     + """,
+exposure_cells AS (
+  SELECT DISTINCT CAST("timestamp" AS DATE) AS date, variant FROM add_to_cart
+  UNION SELECT DISTINCT CAST("timestamp" AS DATE), variant FROM order_completed),
 first_exposure AS (
-  SELECT a.date, a.variant, a.adders, coalesce(o.orders, 0) AS orders
-  FROM (SELECT CAST(first_exposed_at AS DATE) AS date, variant, count(*) AS adders
-        FROM experiments GROUP BY 1, 2) a
+  SELECT c.date, c.variant, coalesce(a.adders, 0) AS adders, coalesce(o.orders, 0) AS orders
+  FROM exposure_cells c
+  LEFT JOIN (SELECT CAST(first_exposed_at AS DATE) AS date, variant, count(*) AS adders
+        FROM experiments GROUP BY 1, 2) a ON c.date = a.date AND c.variant = a.variant
   LEFT JOIN (SELECT CAST("timestamp" AS DATE) AS date, variant,
                count(DISTINCT user_id) AS orders
              FROM order_completed GROUP BY 1, 2) o
-    ON a.date = o.date AND a.variant = o.variant)"""
+    ON c.date = o.date AND c.variant = o.variant)"""
 )
 
 GUARDRAILS = """
+guard_cells AS (
+  SELECT DISTINCT CAST("timestamp" AS DATE) AS date, variant FROM payment_attempt
+  UNION SELECT DISTINCT CAST("timestamp" AS DATE), variant FROM order_completed),
 guardrails AS (
-  SELECT p.date, p.variant, p.total_attempts, p.authorized,
-    p.authorized / p.total_attempts AS auth_rate, o.order_count, o.aov
-  FROM (SELECT CAST("timestamp" AS DATE) AS date, variant, count(*) AS total_attempts,
+  SELECT c.date, c.variant, coalesce(p.total_attempts, 0) AS total_attempts,
+    coalesce(p.authorized, 0) AS authorized, p.authorized / nullif(p.total_attempts, 0) AS auth_rate,
+    coalesce(o.order_count, 0) AS order_count, o.aov,
+    nullif(concat_ws(', ', CASE WHEN p.total_attempts IS NULL THEN 'payments' END,
+      CASE WHEN o.order_count IS NULL THEN 'orders' END), '') AS missing
+  FROM guard_cells c
+  LEFT JOIN (SELECT CAST("timestamp" AS DATE) AS date, variant, count(*) AS total_attempts,
           count(*) FILTER (WHERE authorized) AS authorized
-        FROM payment_attempt GROUP BY 1, 2) p
+        FROM payment_attempt GROUP BY 1, 2) p ON c.date = p.date AND c.variant = p.variant
   LEFT JOIN (SELECT CAST("timestamp" AS DATE) AS date, variant, count(*) AS order_count,
                avg(order_value) AS aov
              FROM order_completed GROUP BY 1, 2) o
-    ON p.date = o.date AND p.variant = o.variant)"""
+    ON c.date = o.date AND c.variant = o.variant)"""
 
 
 def with_tables(*ctes: str, select: str) -> str:

@@ -233,7 +233,7 @@ SELECT {day()}, 'payment_latency_p95' AS metric, {r('control_p95', 'baseline')},
   {r('treatment_p95', 'treatment')}, 'max_increase_ms' AS rule_type,
   150::DOUBLE AS threshold, {r('delta')}, passed,
   CASE WHEN delta IS NULL THEN 'no baseline to compare with: fail' ELSE 'increase of '
-    || printf('%.3f', round((delta) * 1.000000000001::DOUBLE, 3)) || 'ms against a limit of 150.000ms: '
+    || printf('%.3f', round((delta) + sign(delta) * 1e-6, 3)) || 'ms against a limit of 150.000ms: '
     || CASE WHEN passed THEN 'pass' ELSE 'fail' END END AS message FROM judged""",
         ),
     ),

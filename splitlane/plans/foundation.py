@@ -328,7 +328,8 @@ messages AS (
     FROM ({_profile_sql(ENUM_VALUES)}) WHERE NOT valid
   UNION ALL SELECT 'randomization balance',
     'treatment share ' || printf('%.2f', round((count(*) FILTER (WHERE variant = 'treatment')
-      * 100.0::DOUBLE / count(*)) * 1.000000000001::DOUBLE, 2)) || '% (band 48-52%)' FROM experiments
+      * 100.0::DOUBLE / count(*)) + sign(count(*) FILTER (WHERE variant = 'treatment')
+      * 100.0::DOUBLE / count(*)) * 1e-5, 2)) || '% (band 48-52%)' FROM experiments
   UNION ALL SELECT 'timestamp order', CASE WHEN (SELECT count(*) FROM early_steps) = 0
     THEN 'all ' || count(DISTINCT checkout_id) || ' checkouts are in order'
     ELSE (SELECT count(*) FROM early_steps) || ' checkouts start before they begin; sample: '
@@ -337,11 +338,12 @@ messages AS (
     FROM checkout_step_view
   UNION ALL SELECT 'A/A difference', 'control ' || control_orderers || '/' || control_adders
     || ', treatment ' || treatment_orderers || '/' || treatment_adders
-    || ', p=' || printf('%.4f', round((p_value) * 1.000000000001::DOUBLE, 4)) FROM tested)""",
+    || ', p=' || printf('%.4f', round((p_value) + sign(p_value) * 1e-7, 4)) FROM tested)""",
     select="""
 SELECT name, CASE name WHEN 'enum values' THEN message LIKE 'all %'
     WHEN 'randomization balance' THEN (SELECT round((count(*) FILTER (WHERE
-      variant = 'treatment') * 100.0::DOUBLE / count(*)) * 1.000000000001::DOUBLE, 2) BETWEEN 48 AND 52 FROM experiments)
+      variant = 'treatment') * 100.0::DOUBLE / count(*)) + sign(count(*) FILTER (WHERE
+      variant = 'treatment') * 100.0::DOUBLE / count(*)) * 1e-5, 2) BETWEEN 48 AND 52 FROM experiments)
     WHEN 'A/A difference' THEN (SELECT p_value >= 0.05 FROM tested)
     ELSE message LIKE 'all %' END AS passed, message
 FROM messages""",
@@ -349,16 +351,21 @@ FROM messages""",
 
 
 FUNNEL_SQL = """
-SELECT a.variant, a.adders, coalesce(b.n, 0) AS begin_checkout,
+SELECT v.variant, coalesce(a.n, 0) AS adders, coalesce(b.n, 0) AS begin_checkout,
   coalesce(p.n, 0) AS payment_attempts, coalesce(o.n, 0) AS orders{extra}
-FROM (SELECT variant, count(DISTINCT user_id) AS adders FROM add_to_cart
-      WHERE {day} = (SELECT day FROM newest) GROUP BY 1) a
+FROM (
+  SELECT variant FROM add_to_cart WHERE {day} = (SELECT day FROM newest)
+  UNION SELECT variant FROM begin_checkout WHERE {day} = (SELECT day FROM newest)
+  UNION SELECT variant FROM payment_attempt WHERE {day} = (SELECT day FROM newest)
+  UNION SELECT variant FROM order_completed WHERE {day} = (SELECT day FROM newest)) v
+LEFT JOIN (SELECT variant, count(DISTINCT user_id) AS n FROM add_to_cart
+      WHERE {day} = (SELECT day FROM newest) GROUP BY 1) a ON v.variant = a.variant
 LEFT JOIN (SELECT variant, count(DISTINCT checkout_id) AS n FROM begin_checkout
-      WHERE {day} = (SELECT day FROM newest) GROUP BY 1) b ON a.variant = b.variant
+      WHERE {day} = (SELECT day FROM newest) GROUP BY 1) b ON v.variant = b.variant
 LEFT JOIN (SELECT variant, count(*) AS n FROM payment_attempt
-      WHERE {day} = (SELECT day FROM newest) GROUP BY 1) p ON a.variant = p.variant
+      WHERE {day} = (SELECT day FROM newest) GROUP BY 1) p ON v.variant = p.variant
 LEFT JOIN (SELECT variant, count(*) AS n FROM order_completed
-      WHERE {day} = (SELECT day FROM newest) GROUP BY 1) o ON a.variant = o.variant"""
+      WHERE {day} = (SELECT day FROM newest) GROUP BY 1) o ON v.variant = o.variant"""
 
 EVENT_FUNNEL_SQL = with_tables(
     NEWEST, select=FUNNEL_SQL.format(day='CAST("timestamp" AS DATE)', extra="")
@@ -482,7 +489,7 @@ SELECT variant, users, percentage,
   coalesce(max(percentage) FILTER (WHERE variant = 'treatment') OVER () BETWEEN 48 AND 52,
     false) AS in_band
 FROM (SELECT variant, count(*) AS users,
-  round((count(*) * 100.0::DOUBLE / sum(count(*)) OVER ()) * 1.000000000001::DOUBLE, 2) AS percentage
+  round((count(*) * 100.0::DOUBLE / sum(count(*)) OVER ()) + sign(count(*) * 100.0::DOUBLE / sum(count(*)) OVER ()) * 1e-5, 2) AS percentage
   FROM experiments GROUP BY variant)""",
         ),
     ),
@@ -492,7 +499,7 @@ FROM (SELECT variant, count(*) AS users,
             NEWEST,
             select="""
 SELECT variant, count(DISTINCT user_id) AS users,
-  round((count(DISTINCT user_id) * 100.0::DOUBLE / sum(count(DISTINCT user_id)) OVER ()) * 1.000000000001::DOUBLE, 1) AS pct
+  round((count(DISTINCT user_id) * 100.0::DOUBLE / sum(count(DISTINCT user_id)) OVER ()) + sign(count(DISTINCT user_id) * 100.0::DOUBLE / sum(count(DISTINCT user_id)) OVER ()) * 1e-4, 1) AS pct
 FROM add_to_cart WHERE date = (SELECT day FROM newest) GROUP BY variant""",
         ),
     ),

@@ -84,7 +84,7 @@ judged AS (
 
 MESSAGE = """
 CASE WHEN delta IS NULL THEN 'no baseline to compare with: fail' ELSE
-  'drop of ' || printf('%.3f', round((delta) * 1.000000000001::DOUBLE, 3))
+  'drop of ' || printf('%.3f', round((delta) + sign(delta) * 1e-6, 3))
   || CASE WHEN rule_type LIKE '%pct' THEN '%' ELSE 'pp' END
   || ' against a limit of ' || printf('%.3f', threshold)
   || CASE WHEN rule_type LIKE '%pct' THEN '%' ELSE 'pp' END || ': '
@@ -92,15 +92,15 @@ CASE WHEN delta IS NULL THEN 'no baseline to compare with: fail' ELSE
 
 
 def _label(pattern: str, expression: str, places: int, name: str) -> str:
-    shown = f"round(({expression}) * 1.000000000001::DOUBLE, {places})"
+    shown = f"round(({expression}) + sign({expression}) * 1e-{places + 3}, {places})"
     return f"CASE WHEN {shown} IS NOT NULL THEN printf('{pattern}', {shown}) END AS {name}"
 
 
 def _pretty(x: str, name: str) -> str:
     return r(
-        f"CASE WHEN abs({x}) >= 100 THEN round(({x}) * 1.000000000001::DOUBLE, 1) WHEN abs({x}) >= 1"
-        f" THEN round(({x}) * 1.000000000001::DOUBLE, 2) WHEN abs({x}) >= 0.01 THEN round(({x}) * 1.000000000001::DOUBLE, 3)"
-        f" ELSE round(({x}) * 1.000000000001::DOUBLE, 4) END",
+        f"CASE WHEN abs({x}) >= 100 THEN round(({x}) + sign({x}) * 1e-4, 1) WHEN abs({x}) >= 1"
+        f" THEN round(({x}) + sign({x}) * 1e-5, 2) WHEN abs({x}) >= 0.01 THEN round(({x}) + sign({x}) * 1e-6, 3)"
+        f" ELSE round(({x}) + sign({x}) * 1e-7, 4) END",
         name,
     )
 
@@ -125,7 +125,7 @@ QUERIES: dict[str, Query] = {
             NEWEST,
             select="""
 SELECT a.variant, a.adders, coalesce(o.orders, 0) AS orders,
-  round((coalesce(o.orders, 0) * 100.0::DOUBLE / a.adders) * 1.000000000001::DOUBLE, 1) AS conditional_conversion_pct
+  round((coalesce(o.orders, 0) * 100.0::DOUBLE / a.adders) + sign(coalesce(o.orders, 0) * 100.0::DOUBLE / a.adders) * 1e-4, 1) AS conditional_conversion_pct
 FROM (SELECT variant, count(DISTINCT user_id) AS adders FROM add_to_cart
       WHERE date = (SELECT day FROM newest) GROUP BY 1) a
 LEFT JOIN (SELECT variant, count(DISTINCT user_id) AS orders FROM order_completed
@@ -138,7 +138,7 @@ LEFT JOIN (SELECT variant, count(DISTINCT user_id) AS orders FROM order_complete
             EXPERIMENTS,
             select="""
 SELECT a.variant, a.adders, coalesce(o.orderers, 0) AS orderers,
-  round((coalesce(o.orderers, 0) * 100.0::DOUBLE / a.adders) * 1.000000000001::DOUBLE, 1) AS conv_rate
+  round((coalesce(o.orderers, 0) * 100.0::DOUBLE / a.adders) + sign(coalesce(o.orderers, 0) * 100.0::DOUBLE / a.adders) * 1e-4, 1) AS conv_rate
 FROM (SELECT variant, count(*) AS adders FROM experiments GROUP BY 1) a
 LEFT JOIN (SELECT variant, count(DISTINCT user_id) AS orderers FROM order_completed
       GROUP BY 1) o ON a.variant = o.variant""",
@@ -162,7 +162,7 @@ SELECT scope, variant, adders, orders, {r('orders / adders', 'ccr')} FROM (
             GUARDRAILS,
             NEWEST,
             select=f"""
-SELECT variant, total_attempts, authorized, {r('auth_rate')}, order_count, {r('aov')}
+SELECT variant, total_attempts, authorized, {r('auth_rate')}, order_count, {r('aov')}, missing
 FROM guardrails WHERE date = (SELECT day FROM newest)""",
         ),
     ),
@@ -172,7 +172,7 @@ FROM guardrails WHERE date = (SELECT day FROM newest)""",
             GUARDRAILS,
             select=f"""
 SELECT {day()}, variant, total_attempts, authorized, {r('auth_rate')}, order_count,
-  {r('aov')} FROM guardrails""",
+  {r('aov')}, missing FROM guardrails""",
         ),
     ),
     "guardrails_compact": Query(
@@ -181,8 +181,9 @@ SELECT {day()}, variant, total_attempts, authorized, {r('auth_rate')}, order_cou
             select=f"""
 SELECT {day('p.date')}, p.variant, p.auth_rate_pct, o.avg_order_value
 FROM (SELECT date, variant, round((count(*) FILTER (WHERE authorized) * 100.0::DOUBLE
-        / count(*)) * 1.000000000001::DOUBLE, 1) AS auth_rate_pct FROM payment_attempt GROUP BY 1, 2) p
-JOIN (SELECT date, variant, round((avg(order_value)) * 1.000000000001::DOUBLE, 2) AS avg_order_value
+        / count(*)) + sign(count(*) FILTER (WHERE authorized) * 100.0::DOUBLE
+        / count(*)) * 1e-4, 1) AS auth_rate_pct FROM payment_attempt GROUP BY 1, 2) p
+JOIN (SELECT date, variant, round((avg(order_value)) + sign(avg(order_value)) * 1e-5, 2) AS avg_order_value
       FROM order_completed GROUP BY 1, 2) o ON p.date = o.date AND p.variant = o.variant"""
         ),
     ),
@@ -193,9 +194,10 @@ JOIN (SELECT date, variant, round((avg(order_value)) * 1.000000000001::DOUBLE, 2
             select="""
 SELECT p.variant, p.auth_rate_pct, o.avg_order_value
 FROM (SELECT variant, round((count(*) FILTER (WHERE authorized) * 100.0::DOUBLE
-        / count(*)) * 1.000000000001::DOUBLE, 1) AS auth_rate_pct FROM payment_attempt, newest
+        / count(*)) + sign(count(*) FILTER (WHERE authorized) * 100.0::DOUBLE
+        / count(*)) * 1e-4, 1) AS auth_rate_pct FROM payment_attempt, newest
       WHERE date = newest.day GROUP BY 1) p
-JOIN (SELECT variant, round((avg(order_value)) * 1.000000000001::DOUBLE, 2) AS avg_order_value
+JOIN (SELECT variant, round((avg(order_value)) + sign(avg(order_value)) * 1e-5, 2) AS avg_order_value
       FROM order_completed, newest WHERE date = newest.day GROUP BY 1) o
   ON p.variant = o.variant""",
         ),
@@ -238,7 +240,7 @@ FROM stats""",
             NEWEST,
             select=FUNNEL_SQL.format(
                 day="date",
-                extra=", round((coalesce(o.n, 0) * 100.0::DOUBLE / a.adders) * 1.000000000001::DOUBLE, 1)"
+                extra=", round((coalesce(o.n, 0) * 100.0::DOUBLE / nullif(a.n, 0)) + sign(coalesce(o.n, 0) * 100.0::DOUBLE / nullif(a.n, 0)) * 1e-4, 1)"
                 " AS conditional_conversion_pct",
             ),
         ),
@@ -249,8 +251,8 @@ FROM stats""",
             STEP_JOIN,
             select="""
 SELECT step_name, step_index, count(DISTINCT checkout_id) AS checkouts,
-  round((avg(median_latency_ms)) * 1.000000000001::DOUBLE, 0) AS avg_median_latency_ms,
-  round((sum(error_events) * 100.0::DOUBLE / count(DISTINCT checkout_id)) * 1.000000000001::DOUBLE, 1) AS error_rate_pct
+  round((avg(median_latency_ms)) + sign(avg(median_latency_ms)) * 1e-3, 0) AS avg_median_latency_ms,
+  round((sum(error_events) * 100.0::DOUBLE / count(DISTINCT checkout_id)) + sign(sum(error_events) * 100.0::DOUBLE / count(DISTINCT checkout_id)) * 1e-4, 1) AS error_rate_pct
 FROM steps GROUP BY 1, 2""",
         ),
     ),
@@ -444,8 +446,8 @@ SELECT scope, {r('effect_abs')}, {r('ci_low')}, {r('ci_high')}, {r('p_value')},
 SELECT {day('t.date')}, {_pretty('effect_abs', 'effect_rounded')},
   {_pretty('control_aov', 'aov_rounded')},
   {_label('%+.2fpp', 'effect_abs * 100', 2, 'effect_label')},
-  '[' || printf('%+.2fpp', round((ci_low * 100) * 1.000000000001::DOUBLE, 2)) || ', '
-    || printf('%+.2fpp', round((ci_high * 100) * 1.000000000001::DOUBLE, 2)) || ']' AS interval_label,
+  '[' || printf('%+.2fpp', round((ci_low * 100) + sign(ci_low * 100) * 1e-5, 2)) || ', '
+    || printf('%+.2fpp', round((ci_high * 100) + sign(ci_high * 100) * 1e-5, 2)) || ']' AS interval_label,
   {_label('%.1f%%', 'p_a * 100', 1, 'control_label')},
   {_label('%.1f%%', 'p_b * 100', 1, 'treatment_label')},
   {_label('%.1f%%', 'control_auth_rate * 100', 1, 'control_auth_label')},
