@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from splitlane.plans import drilldowns, experiments, foundation, inference, measures, sequences, sequential
+from splitlane.plans import drilldowns, experiments, foundation, inference, measures, rollups, sequences, sequential
 from splitlane.plans.common import Query
 
 QUERIES: dict[str, Query] = {
@@ -13,4 +13,5 @@ QUERIES: dict[str, Query] = {
     **sequential.QUERIES,
     **inference.QUERIES,
     **sequences.QUERIES,
+    **rollups.QUERIES,
 }
