@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from splitlane.plans import drilldowns, experiments, foundation, inference, measures, rollups, sequences, sequential
+from splitlane.plans import drilldowns, exclusions, experiments, foundation, inference, measures, rollups, sequences, sequential
 from splitlane.plans.common import Query
 
 QUERIES: dict[str, Query] = {
@@ -14,4 +14,5 @@ QUERIES: dict[str, Query] = {
     **inference.QUERIES,
     **sequences.QUERIES,
     **rollups.QUERIES,
+    **exclusions.QUERIES,
 }
