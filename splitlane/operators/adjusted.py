@@ -19,7 +19,7 @@ from splitlane.sources.contract import VARIANTS, EventTables
 
 #: Levels that all segment columns may have together.
 MOST_LEVELS = 60
-RESULT = "term string, estimate double, std_error double, rows bigint, reason string"
+RESULT = {"term": "string", "estimate": "double", "std_error": "double", "rows": "bigint", "reason": "string"}
 
 
 def _levels(rows: DataFrame, segments: Sequence[str]) -> list[tuple[str, str]]:
@@ -79,7 +79,8 @@ def adjusted_lift(rows: DataFrame, outcome: str, segments: Sequence[str], alpha:
     ]
     margin = critical_value(alpha) * F.col("std_error")
     return (
-        spark.createDataFrame(out, RESULT)
+        spark.range(1)
+        .select(F.inline(F.array(*[F.struct(*[F.lit(v).cast(t).alias(c) for v, (c, t) in zip(r, RESULT.items(), strict=True)]) for r in out])))
         .withColumn("z", F.try_divide(F.col("estimate"), F.col("std_error")))
         .withColumns({"p_value": two_sided_p(F.col("z")), "ci_low": F.col("estimate") - margin, "ci_high": F.col("estimate") + margin})
     )

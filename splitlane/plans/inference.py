@@ -62,7 +62,7 @@ def kolmogorov_tail(x: str) -> str:
     below = " + ".join(f"exp(-{(2 * k - 1) ** 2} * pi() * pi() / 8 / ({x} * {x}))" for k in range(1, 5))
     beyond = " + ".join(f"({(-1) ** (k - 1)}) * exp(-{2 * k * k} * {x} * {x})" for k in range(1, 5))
     return (
-        f"CASE WHEN {x} <= 0 THEN 1 WHEN {x} < {SWITCH} THEN 1 - sqrt(2 * pi()) / {x} * ({below})"
+        f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} <= 0 THEN 1 WHEN {x} < {SWITCH} THEN 1 - sqrt(2 * pi()) / {x} * ({below})"
         f" ELSE 2 * ({beyond}) END"
     )
 
@@ -196,13 +196,19 @@ placed AS (SELECT *, count(*) OVER s AS n, avg(x) OVER s AS mean, x - lag(x) OVE
 walk AS (SELECT *, CASE WHEN i < n THEN round(abs(total - i * mean), 6) END AS w FROM placed),
 best AS (SELECT series, arg_max(i, (w, -i)) FILTER (WHERE w IS NOT NULL) AS i FROM walk GROUP BY series),
 noise AS (SELECT series, sqrt(avg(step * step) / 2) AS noise FROM walk GROUP BY series),
-found AS (SELECT w.series, n AS points, next_h, total / w.i AS mean_before, (n * mean - total) / (n - w.i) AS mean_after,
-    noise, abs(total - w.i * mean) / (noise * sqrt(n)) AS statistic
-  FROM walk w JOIN best b ON w.series = b.series AND w.i = b.i JOIN noise s ON w.series = s.series)""",
+sized AS (SELECT series, max(n) AS points FROM walk GROUP BY series),
+found AS (SELECT z.series, points, next_h, total / w.i AS mean_before, (n * mean - total) / (n - w.i) AS mean_after,
+    noise, CASE WHEN points > 2 AND noise > 0 THEN abs(total - w.i * mean) / (noise * sqrt(n)) END AS statistic
+  FROM sized z JOIN noise s ON z.series = s.series LEFT JOIN best b ON z.series = b.series
+  LEFT JOIN walk w ON w.series = b.series AND w.i = b.i),
+shown AS (SELECT * REPLACE (CASE WHEN statistic IS NOT NULL THEN next_h END AS next_h,
+    CASE WHEN statistic IS NOT NULL THEN mean_before END AS mean_before,
+    CASE WHEN statistic IS NOT NULL THEN mean_after END AS mean_after) FROM found)""",
             select=f"""
 SELECT series, points, {moment('next_h', 'change_at')}, {r('mean_before')}, {r('mean_after')}, {r('noise')},
-  {r('statistic')}, {r(kolmogorov_tail('statistic'), 'p_value')}, {kolmogorov_tail('statistic')} < 0.05 AS changed
-FROM found WHERE points > 2""",
+  {r('statistic')}, {r(kolmogorov_tail('statistic'), 'p_value')},
+  coalesce({kolmogorov_tail('statistic')} < 0.05, false) AS changed
+FROM shown""",
         ),
     ),
 }

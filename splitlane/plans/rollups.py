@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from splitlane.operators import adjusted, monotone, power, sketches
-from splitlane.plans.common import UNITS, Query, on_events, presentable, r, with_tables
+from splitlane.plans.common import UNITS, Query, on_events, presentable, r, two_sided_p, with_tables
 from splitlane.plans.experiments import POWER
 from splitlane.sources.activity_log import read_activity_log
 from splitlane.sources.sinks import shared_folder
@@ -45,7 +45,32 @@ UNION ALL SELECT 'latency: ' || step_name, variant, count(latency_ms), true
 FROM checkout_step_view GROUP BY step_name, variant"""
         ),
     ),
-    "adjusted_conversion_lift": Query(on_events(adjusted.adjusted_conversion_lift), None),
+    "adjusted_conversion_lift": Query(
+        on_events(
+            lambda events: adjusted.adjusted_conversion_lift(events).where("term IN ('treatment', 'segment=returning')").drop("reason")
+        ),
+        with_tables(
+            UNITS,
+            """
+firsts AS (SELECT user_id, min(date) AS first FROM units GROUP BY user_id),
+coded AS (SELECT isodow(date) AS weekday, CASE WHEN variant = 'treatment' THEN 1::DOUBLE ELSE 0 END AS t,
+    CASE WHEN date = first THEN 0::DOUBLE ELSE 1 END AS s, CAST(converted AS INTEGER)::DOUBLE AS y
+  FROM units JOIN firsts USING (user_id)),
+centred AS (SELECT weekday, t - avg(t) OVER w AS t, s - avg(s) OVER w AS s, y - avg(y) OVER w AS y
+  FROM coded WINDOW w AS (PARTITION BY weekday)),
+sums AS (SELECT count(*) AS n, count(DISTINCT weekday) AS days, sum(t * t) AS tt, sum(s * s) AS ss, sum(t * s) AS ts,
+    sum(t * y) AS ty, sum(s * y) AS sy, sum(y * y) AS yy FROM centred),
+solved AS (SELECT *, (ss * ty - ts * sy) / (tt * ss - ts * ts) AS bt, (tt * sy - ts * ty) / (tt * ss - ts * ts) AS bs FROM sums),
+noisy AS (SELECT *, (yy - bt * ty - bs * sy) / (n - days - 2) AS v FROM solved),
+terms AS (SELECT 'treatment' AS term, bt AS estimate, sqrt(v * ss / (tt * ss - ts * ts)) AS std_error, n FROM noisy
+  UNION ALL SELECT 'segment=returning', bs, sqrt(v * tt / (tt * ss - ts * ts)), n FROM noisy),
+scored AS (SELECT *, estimate / std_error AS z FROM terms)""",
+            select=f"""
+SELECT term, {r('estimate')}, {r('std_error')}, n AS rows, {r('z')}, {r(two_sided_p('z'), 'p_value')},
+  {r('estimate - 1.96::DOUBLE * std_error', 'ci_low')}, {r('estimate + 1.96::DOUBLE * std_error', 'ci_high')}
+FROM scored""",
+        ),
+    ),
     "adjusted_lift_by_weekday": Query(
         on_events(
             lambda events: adjusted.adjusted_lift(

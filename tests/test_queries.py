@@ -21,7 +21,10 @@ EAGER = {
     "ccr_json_roundtrip",
     "guardrails_json_roundtrip",
     "monitor_stream",
+    "monitor_accounts",
     "monitor_verdicts",
+    "sketch_rollup",
+    "error_patterns",
 }
 
 
