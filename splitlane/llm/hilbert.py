@@ -2,6 +2,8 @@
 
 Each dimension is quantised at its quantiles into ``2**BITS`` steps; numbers as they are,
 strings by the first bytes behind the prefix that all of them share, so order is kept.
+A dimension of few values spreads them over all steps, so that each value is a slab of the
+cube whatever the other dimensions hold.
 Rows are sorted by their place on the curve, which keeps neighbours in every dimension
 together, and the order is cut into runs of equal row counts. A shard so spans a narrow
 range of each dimension, and a reader with a filter on any of them skips most shards.
@@ -70,6 +72,11 @@ def steps(docs: DataFrame, keys: dict[str, Column], bits: int) -> list[list[floa
     return [sorted(set(found or [])) for found in row]
 
 
+def spread(step: np.ndarray, last: int, bits: int) -> np.ndarray:
+    """Steps 0 to ``last`` over the full range below ``2**bits``, in the same order."""
+    return step * ((1 << bits) - 1) // max(last, 1)
+
+
 def hilbert_shards(
     docs: DataFrame, dimensions: Sequence[str], ties: Sequence[Column], shards: int = SHARDS, bits: int = BITS
 ) -> DataFrame:
@@ -77,8 +84,9 @@ def hilbert_shards(
 
     Shard sizes differ by one row at most. Rows of one place on the curve follow ``ties``;
     rows equal in those too are interchangeable. Nulls take the lowest step. Fewer rows
-    than shards leave shards empty; no rows give no rows. Input columns named like the
-    added ones are replaced.
+    than shards leave shards empty; no rows give no rows. Repeated rows and null ids are
+    placed each for itself. Input columns named like the three added ones are replaced, all
+    others stay whatever their names.
     """
     keys = {d: ordered_number(docs, d) for d in dimensions}
     bounds = [np.array(b) for b in steps(docs, keys, bits)]
@@ -86,17 +94,25 @@ def hilbert_shards(
     @F.pandas_udf("long")
     def curve(*columns: pd.Series) -> pd.Series:
         points = [
-            np.where(c.isna(), 0, np.searchsorted(b, c.fillna(-np.inf).to_numpy(float), "right"))
+            spread(np.where(c.isna(), 0, np.searchsorted(b, c.fillna(-np.inf).to_numpy(float), "right")), len(b), bits)
             for b, c in zip(bounds, columns, strict=True)
         ]
         return pd.Series(hilbert_index(np.stack(points), bits))
 
-    placed = docs.drop("curve", "shard", "slot").withColumn("curve", curve(*keys.values()))
-    order = [F.col("curve"), *ties]
-    rows, total = numbered(placed.repartitionByRange(*order).sortWithinPartitions(*order), "rank", "curve-order")
-    exact = F.expr(f"int(rank * {shards} div {max(total, 1)})")
+    kept = [c for c in docs.columns if c not in ("curve", "shard", "slot")]
+    order = ["curve", *[f"tie{i}" for i in range(len(ties))]]
+    placed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"),
+        curve(*keys.values()).alias("curve"),
+        *[tie.alias(f"tie{i}") for i, tie in enumerate(ties)],
+    )
+    rows, total = numbered(
+        placed.repartitionByRange(*order).sortWithinPartitions(*order).select("row", "curve"), "rank", "curve-order"
+    )
+    shard = F.expr(f"int(rank * {shards} div {max(total, 1)})")
     first = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")
-    return rows.withColumn("shard", exact).withColumn("slot", F.col("rank") - first).drop("rank")
+    cut = rows.withColumn("shard", shard).withColumn("slot", F.col("rank") - first)
+    return cut.select(*[F.col("row").getField(c).alias(c) for c in kept], "curve", "shard", "slot")
 
 
 def shard_ranges(placed: DataFrame, dimensions: Sequence[str]) -> DataFrame:
@@ -105,9 +121,6 @@ def shard_ranges(placed: DataFrame, dimensions: Sequence[str]) -> DataFrame:
     return placed.groupBy("shard").agg(F.count("*").alias("n_rows"), *bounds)
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, id_col: str, path: str) -> None:
-    """Writes ``docs`` in curve order into one folder per shard, each a run of files."""
-    where = placed.select(id_col, "shard", "slot")
-    docs.join(where, id_col).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy(
-        "shard"
-    ).parquet(path)
+def write_shards(placed: DataFrame, path: str) -> None:
+    """Writes the rows of ``hilbert_shards`` in curve order, one folder per shard."""
+    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

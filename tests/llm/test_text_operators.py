@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from splitlane.llm import common, oracle
 from splitlane.llm import words as W
 from splitlane.llm.decontaminate import contamination, decontaminated, hit_words
-from splitlane.llm.hilbert import hilbert_index, hilbert_shards, shard_ranges
+from splitlane.llm.hilbert import hilbert_index, hilbert_shards, shard_ranges, spread, write_shards
 from splitlane.llm.licenses import differences, license_scan
 from splitlane.llm.near_dup import deduplicated, near_duplicates
 from splitlane.llm.packing import pack, packed
@@ -350,3 +350,50 @@ def test_hilbert_curve_is_continuous_and_shards_are_even(odd_docs, no_docs):
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
     assert shard_ranges(placed, ["n_chars"]).count() == 5
     assert hilbert_shards(no_docs, ["lang", "n_chars"], ties).count() == 0
+
+
+def test_shards_prune_on_every_dimension(spark):
+    assert spread(np.arange(5), 4, 8).tolist() == [0, 63, 127, 191, 255] and spread(np.zeros(2, int), 0, 8).tolist() == [0, 0]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "source", "n_chars")
+    placed = hilbert_shards(docs, ["lang", "source", "n_chars"], [F.col("doc_id")]).cache()
+    assert placed.count() == docs.count() and placed.exceptAll(placed.distinct()).count() == 0
+    rows = placed.collect()
+    ranges = shard_ranges(placed, ["lang", "source", "n_chars"]).collect()
+
+    def touched(name, low, high):
+        return sum(r[f"min_{name}"] <= high and r[f"max_{name}"] >= low for r in ranges)
+
+    share = {}
+    for name in ("lang", "source"):
+        values = {r[name] for r in rows}
+        share[name] = sum(touched(name, v, v) for v in values) / len(values)
+    cuts = np.quantile([r.n_chars for r in rows], np.linspace(0, 1, 9))
+    share["n_chars"] = np.mean([touched("n_chars", a, b) for a, b in zip(cuts, cuts[1:], strict=False)])
+    assert share["lang"] <= 20 and share["source"] <= 20 and share["n_chars"] <= 30, share
+
+
+def test_written_shards_hold_every_row_and_column(spark):
+    path = common.fresh_path(spark, "shards-test") + "/out"
+    schema = "doc_id long, n_chars long, rank string, `__part` string, `__spot` string, `__before` string, row string, tie0 string, shard string"
+    rows = [(1, 5, "a", "b", "c", "d", "e", "f", "g"), (1, 5, "a", "b", "c", "d", "e", "f", "g"), (None, 7, *"abcdefg"), (3, None, *"abcdefg")]
+    docs = spark.createDataFrame(rows, schema)
+    write_shards(hilbert_shards(docs, ["n_chars"], [F.col("doc_id")], shards=2), path)
+    read = spark.read.parquet(path)
+    assert sorted(map(str, read.select(*docs.columns[:-1]).collect())) == sorted(map(str, docs.drop("shard").collect()))
+    assert sorted((r.shard, r.slot) for r in read.collect()) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+
+
+def test_sharding_query_against_brute_force(spark):
+    got = QUERIES["op3_hilbert_sharding"].run(spark, SF).collect()
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    for r in got:
+        raw = (docs[r.doc_id].text or "").encode()
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(raw) + 16, zlib.crc32(raw), "rows", None)
+    ordered = sorted(got, key=lambda r: (r.shard, r.slot))
+    keys = [(r.curve, r.text_crc32, r.doc_id) for r in ordered]
+    assert keys == sorted(keys)
+    sizes = [sum(r.shard == k for r in got) for k in range(40)]
+    assert sum(sizes) == len(got) and max(sizes) - min(sizes) <= 1
+    for k in range(40):
+        assert [r.slot for r in ordered if r.shard == k] == list(range(sizes[k]))
