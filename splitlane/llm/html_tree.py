@@ -9,7 +9,7 @@ import re
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
 )
-_ATTRIBUTE = re.compile(r"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\bhidden\b", re.I)
+_ATTRIBUTE = re.compile(r"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<![\w-])hidden(?![\w-])", re.I)
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z0-9]+")
 
@@ -37,13 +37,20 @@ DROPPED = {
     "script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "nav", "footer", "aside", "form",
     "button", "select", "textarea", "input", "dialog", "menu", "head", "title", "audio", "video", "xmp",
 }
-#: Words in class or id that mark furniture, anywhere.
+#: Words that mark furniture as a whole class or id, or beside words of PLAIN: "ad", "site-footer".
 FURNITURE = {
     "ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies",
     "consent", "popup", "modal", "newsletter", "subscribe", "sidebar", "nav", "navbar", "navigation", "breadcrumb",
     "breadcrumbs", "footer", "comment", "comments", "disqus", "login", "signup",
 }
-#: Words that mark furniture only where at least half of the element's text is the site's template.
+#: Words that say nothing about what an element holds.
+PLAIN = {
+    "site", "page", "main", "global", "primary", "secondary", "top", "bottom", "left", "right", "inner", "outer",
+    "container", "wrapper", "wrap", "box", "block", "area", "bar", "list", "item", "items", "link", "links", "button",
+    "buttons", "section", "slot", "unit", "panel", "content", "text", "header", "title", "body", "form", "id",
+}
+#: Like these and FURNITURE in other company ("notice", "comment-on-method"): only where at least
+#: half of the element's text is the site's template.
 AMBIGUOUS = {"notice", "notices", "menu", "share", "sharing", "social", "related", "widget", "skip"}
 #: The page and its main parts, which are never a template.
 WHOLE = {"html", "body", "head", "main", "article"}
@@ -51,20 +58,28 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form
 
 
 class Node:
-    __slots__ = ("tag", "words", "role", "hidden", "children", "digest")
+    __slots__ = ("tag", "words", "strong", "weak", "role", "hidden", "children", "digest", "known", "size")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag = tag
         self.words: set[str] = set()
+        self.strong = self.weak = False
         self.role = ""
         self.hidden = False
         self.children: list[Node | str] = []
         self.digest = b""
+        self.known = self.size = 0
         for m in _ATTRIBUTE.finditer(attributes) if attributes.strip() else ():
             name = (m[1] or "hidden").lower()
             value = (m[2] or m[3] or m[4] or "").lower()
             if name in ("class", "id"):
-                self.words.update(_NAME.findall(value))
+                for token in value.split():
+                    parts = set(_NAME.findall(token))
+                    self.words |= parts
+                    if parts & FURNITURE:
+                        plain = all(p in FURNITURE or p in PLAIN or p.isdigit() for p in parts)
+                        self.strong, self.weak = self.strong or plain, True
+                    self.weak = self.weak or bool(parts & AMBIGUOUS)
             elif name == "role":
                 self.role = value.strip()
             elif name == "hidden" or (name == "style" and "display:none" in value.replace(" ", "")):
@@ -74,54 +89,69 @@ class Node:
         """Whether the element is page furniture; ``inside``: within the article."""
         if self.tag in ("html", "body", "main"):
             return False
-        if self.hidden or self.tag in DROPPED or self.role in ROLES or self.words & FURNITURE:
+        if self.hidden or self.tag in DROPPED or self.role in ROLES or self.strong:
             return True
         return not inside and (self.tag == "header" or bool(self.words & {"header", "masthead"}))
 
 
+class _Open:
+    """The open elements, with the places of every name, so that no lookup walks the stack."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tags: set[str]) -> int:
+        """The place of the innermost open element of these names; 0 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, place: int) -> None:
+        """Ends the element at ``place`` and all inside it."""
+        while len(self.stack) > place:
+            self.places[self.stack.pop().tag].pop()
+
+
 def parse(text: str) -> Node:
-    """The tree of a page; missing and stray end tags are forgiven."""
+    """The tree of a page; missing and stray end tags are forgiven. Linear in the page."""
     root = Node("#page")
-    stack = [root]
+    opened = _Open(root)
     at = 0
     for m in iter(lambda: _TAG.search(text, at), None):
         if m.start() > at:
-            stack[-1].children.append(html.unescape(text[at : m.start()]))
+            opened.stack[-1].children.append(html.unescape(text[at : m.start()]))
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            place = opened.last({tag})
+            if place:
+                opened.close(place)
             continue
-        if tag in BLOCK:
-            for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCK:
-                    break
+        if tag in BLOCK:  # a block ends an open paragraph; no other block is open inside it
+            place = opened.last({"p"})
+            if place:
+                opened.close(place)
         if tag in CLOSES:
             ended, bounds = CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in bounds:
-                    break
-                if stack[k].tag in ended:
-                    del stack[k:]
-                    break
+            place = opened.last(ended)
+            if place > opened.last(bounds):
+                opened.close(place)
         node = Node(tag, m[3])
-        stack[-1].children.append(node)
+        opened.stack[-1].children.append(node)
         if tag in RAW and not m[3].endswith("/"):
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(text, at)
-            node.children.append(text[at : close.start() if close else len(text)])
-            at = close.end() if close else len(text)
+            close = re.compile(rf"</{tag}\b", re.I).search(text, at)
+            end = text.find(">", close.end()) if close else -1
+            node.children.append(text[at : close.start() if end >= 0 else len(text)])
+            at = end + 1 if end >= 0 else len(text)
         elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
+            opened.push(node)
     if at < len(text):
-        stack[-1].children.append(html.unescape(text[at:]))
+        opened.stack[-1].children.append(html.unescape(text[at:]))
     return root
 
 
@@ -186,20 +216,22 @@ def neighbours(root: Node, recurring: set[int]) -> dict[int, int]:
     return out
 
 
-def _mostly_template(node: Node, templates: set[int]) -> bool:
-    """Whether at least half of the element's text is in template subtrees."""
-    known = every = 0
-    todo: list[tuple[Node | str, bool]] = [(node, False)]
+def _weigh(root: Node, templates: set[int]) -> None:
+    """Gives every element the length of its text, and of the part in template subtrees."""
+    order, todo = [], [root]
     while todo:
-        at, inside = todo.pop()
-        if isinstance(at, str):
-            size = len(at.strip())
-            every += size
-            known += size * inside
-        else:
-            inside = inside or _key(at.digest) in templates
-            todo += [(c, inside) for c in at.children]
-    return known > 0 and 2 * known >= every
+        node = todo.pop()
+        order.append(node)
+        todo += [c for c in node.children if not isinstance(c, str)]
+    for node in reversed(order):
+        inner = [c for c in node.children if not isinstance(c, str)]
+        node.size = sum(len(c.strip()) for c in node.children if isinstance(c, str)) + sum(c.size for c in inner)
+        node.known = node.size if _key(node.digest) in templates else sum(c.known for c in inner)
+
+
+def _mostly_template(node: Node) -> bool:
+    """Whether at least half of the element's text is in template subtrees."""
+    return node.known > 0 and 2 * node.known >= node.size
 
 
 def main_text(root: Node, templates: set[int]) -> str:
@@ -208,6 +240,8 @@ def main_text(root: Node, templates: set[int]) -> str:
     The articles are that part if they hold at least half of it, else the main part if it
     does, else the page.
     """
+    if templates:
+        _weigh(root, templates)
     page = None
     for wanted in (lambda n: n.tag == "article", lambda n: n.tag == "main" or n.role == "main"):
         parts = _tops(root, wanted, templates)
@@ -242,7 +276,7 @@ def _text(parts: list[Node], root: Node, templates: set[int]) -> str:
                 continue
             elif templates and _key(node.digest) in templates:
                 continue
-            elif templates and node is not part and node.words & AMBIGUOUS and _mostly_template(node, templates):
+            elif templates and node is not part and node.weak and _mostly_template(node):
                 continue
             elif node.tag in ("br", "wbr"):
                 line.append(" " if node.tag == "br" else "")
@@ -263,7 +297,7 @@ def _tops(root: Node, wanted, templates: set[int]) -> list[Node]:
         node = todo.pop()
         if node is not root and node.furniture(False):
             continue
-        if templates and node.words & AMBIGUOUS and _mostly_template(node, templates):
+        if templates and node.weak and _mostly_template(node):
             continue
         if node is not root and wanted(node):
             out.append(node)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import time
 
 from splitlane.llm.common import fresh_path
 from splitlane.llm.html_tree import hashed, main_text, parse
@@ -42,6 +43,34 @@ def test_text_outside_teasers_and_in_ambiguous_classes_stays():
     assert main_text(root, {int.from_bytes(share.digest, "little", signed=True)}) == "one\n\nown words"
 
 
+def test_class_words_in_other_company_and_data_attributes_keep_text():
+    for words in ("comment-on-method", "promo-results", "has-sidebar", "comments-open", "banner-of-the-day"):
+        assert text_of(f"<article><p>one</p><section class={words}><p>two</p></section></article>") == "one\n\ntwo"
+        assert text_of(f"<body><article class='post {words}'><p>one</p></article></body>") == "one"
+    for words in ("ad", "ad-slot-3", "site-footer", "comment-list", "cookie-banner", "x sidebar_left", "promo"):
+        assert text_of(f"<article><p>one</p><div class='{words}'><p>two</p></div></article>") == "one"
+    assert text_of("<p data-hidden x>seen") == "seen" and text_of("<p aria-hidden=false>seen") == "seen"
+    assert text_of("<p hidden>no</p><p x hidden y>no</p><p hidden=''>no</p><p>yes") == "yes"
+    root = parse("<article><p>one</p><div class=comment-on-method><b>Rate this</b></div></article>")
+    hashed(root)
+    recurring = root.children[0].children[1].children[0]
+    assert main_text(root, {int.from_bytes(recurring.digest, "little", signed=True)}) == "one"
+
+
+def test_broken_pages_take_linear_time():
+    pages = [
+        lambda n: "<b>" * n + "</i>" * n, lambda n: "<b>" * n + "<hr>" * n, lambda n: "<ul>" + "<b>" * n + "<li></li>" * n,
+        lambda n: "<p>" + "<b>" * n + "</p><p>" * n, lambda n: "<title>" + "</title" * n, lambda n: "<div class=menu>" * n + "x",
+        lambda n: "<ul><li><ul>" + "<b>" * n + "<li></li>" * n, lambda n: "<a href='" * n, lambda n: "<!--" * n,
+    ]
+    for page in pages:
+        start = time.perf_counter()
+        root = parse(page(30_000))
+        hashed(root)
+        main_text(root, {0})
+        assert time.perf_counter() - start < 6
+
+
 def test_what_a_site_repeats_goes_but_copied_articles_stay(spark):
     note = "<p>Join our club today</p>"
     rows = [(k, f"http://a.example.com/{k}", f"<article><h1>T{k}</h1><p>Body {k}</p>{note}<p>More {k}</p></article>", "x", "y") for k in range(20)]
