@@ -215,4 +215,5 @@ def packed(
             }
         )
 
-    return whole.unionByName(rests.groupBy("block").applyInPandas(fill, whole.schema))
+    # As many tasks as blocks, whatever the session's number of shuffle partitions.
+    return whole.unionByName(rests.repartition(n_blocks, "block").groupBy("block").applyInPandas(fill, whole.schema))
