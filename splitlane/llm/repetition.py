@@ -3,8 +3,9 @@
 The word suffixes of a block of texts are sorted together; a word is numbered by text and
 hash, so no two texts share a token and no prefix crosses a border. A suffix's longest
 common prefix with its neighbours is the longest repeated run of words that starts there:
-the maximal repeats are the runs that no run starting one word earlier contains. Runs of
-``MIN_WORDS`` words and more are united to covered words. A text fails when too large a
+runs of ``MIN_WORDS`` words and more are united to covered words. The intervals of the
+common prefixes form a tree; one whose suffixes don't all follow the same word is a maximal
+repeat: lengthened on either side, it would lose an occurrence. A text fails when too large a
 share of it is covered, or when one repeated run is too long.
 """
 
@@ -38,7 +39,8 @@ NOT_CONTINUED = np.array([b & 0xC0 != 0x80 for b in range(256)])
 
 RESULT = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
-    " longest_repeat long, repeats array<struct<start:long,length:long>>"
+    " longest_repeat long, repeats array<struct<start:long,length:long>>,"
+    " maximal array<struct<start:long,length:long,times:long>>"
 )
 
 
@@ -49,21 +51,78 @@ def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(sums[offsets])
 
 
-def longest_runs(found: W.Words) -> np.ndarray:
-    """For every word the longest run from there that also starts elsewhere in its text."""
+def prefix_array(found: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token of every word, the sorted suffixes, and what each shares with the one before."""
     text = found.text.astype(np.uint64)
     _, tokens = np.unique(W.mix(found.hash + text * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True)
     order, ranks = suffix_array(tokens, int(found.count.max(initial=0)) + 1)
-    shared = common_prefixes(order, ranks)
-    run = np.zeros(len(tokens), np.int64)
+    return tokens, order, common_prefixes(order, ranks)
+
+
+def longest_runs(order: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """For every word the longest run from there that also starts elsewhere in its text."""
+    run = np.zeros(len(order), np.int64)
     run[order] = np.maximum(shared, np.r_[shared[1:], 0]) if len(shared) else shared
     return run
 
 
-def measure(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray | list]:
+def intervals(order: np.ndarray, shared: np.ndarray, least: int) -> np.ndarray:
+    """Rows ``low, high, length, first``: the suffixes ``low`` to ``high`` of the order share
+    ``length`` words (``least`` or more), their neighbours fewer; ``first`` is the earliest."""
+    out: list[tuple[int, int, int, int]] = []
+    growing: list[list[int]] = []  # length, low, first; each inside the one before
+
+    def end(above: int, at: int, earliest: int) -> tuple[int, int]:
+        low = at
+        while growing and growing[-1][0] > above:
+            length, low, first = growing.pop()
+            earliest = min(first, earliest)
+            out.append((low, at, length, earliest))
+        return low, earliest
+
+    spots = np.flatnonzero(shared >= least)
+    last = last_suffix = -1
+    for k, length, before, here in zip(
+        spots.tolist(), shared[spots].tolist(), order[spots - 1].tolist(), order[spots].tolist(), strict=True
+    ):
+        if k != last + 1:
+            end(0, last, last_suffix)
+        low, earliest = end(length, k - 1, before)
+        if growing and growing[-1][0] == length:
+            growing[-1][2] = min(growing[-1][2], earliest)
+        else:
+            growing.append([length, low, earliest])
+        last, last_suffix = k, here
+    end(0, last, last_suffix)
+    return np.array(out, np.int64).reshape(-1, 4)
+
+
+def maximal_repeats(found: W.Words, tokens: np.ndarray, order: np.ndarray, shared: np.ndarray) -> pa.ListArray:
+    """Every maximal repeat of every text: first word, length, and how often it occurs."""
+    low, high, length, first = intervals(order, shared, MIN_WORDS).T
+    leads = np.zeros(len(tokens) + 1, bool)
+    leads[found.first] = True
+    begins, prior = leads[order], tokens[order - 1]
+    change = np.zeros(len(order), np.int64)
+    change[1:] = begins[1:] | begins[:-1] | (prior[1:] != prior[:-1])
+    changes = np.cumsum(change)
+    free = changes[high] > changes[low] if len(high) else np.zeros(0, bool)
+    low, high, length, first = low[free], high[free], length[free], first[free]
+    by_place = np.lexsort((length, first))
+    low, high, length, first = low[by_place], high[by_place], length[by_place], first[by_place]
+    text = found.text[first]
+    offsets = np.searchsorted(text, np.arange(len(found.count) + 1))
+    values = [pa.array(v, pa.int64()) for v in (first - found.first[text], length, high - low + 1)]
+    return pa.ListArray.from_arrays(
+        pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(values, names=["start", "length", "times"])
+    )
+
+
+def measure(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray | list | pa.ListArray]:
     found = W.split(raw, offsets, W.NOT_SPACE)
     n_texts = len(offsets) - 1
-    run = longest_runs(found)
+    tokens, order, shared = prefix_array(found)
+    run = longest_runs(order, shared)
     at = np.arange(len(run))
     counted = run >= MIN_WORDS
     edge = np.zeros(len(run) + 1, np.int64)
@@ -73,11 +132,11 @@ def measure(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray | list
     longest = np.zeros(n_texts, np.int64)
     np.maximum.at(longest, found.text, run)
     before = np.r_[0, run[:-1]] if len(run) else run
-    maximal = np.flatnonzero(counted & (before <= run))
-    text = found.text[maximal]
+    outer = np.flatnonzero(counted & (before <= run))
+    text = found.text[outer]
     repeats: list[list[dict]] = [[] for _ in range(n_texts)]
     for t, start, length in zip(
-        text.tolist(), (maximal - found.first[text]).tolist(), run[maximal].tolist(), strict=True
+        text.tolist(), (outer - found.first[text]).tolist(), run[outer].tolist(), strict=True
     ):
         repeats[t].append({"start": start, "length": length})
     lines = W.split(raw, offsets, NOT_NEWLINE)
@@ -95,6 +154,7 @@ def measure(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray | list
         "n_repeat_words": per_text(covered, found.first),
         "longest_repeat": longest,
         "repeats": repeats,
+        "maximal": maximal_repeats(found, tokens, order, shared),
     }
 
 
@@ -105,11 +165,14 @@ def _compute() -> Callable[[pa.Array], pa.StructArray]:
     def work(texts: pa.Array) -> pa.StructArray:
         raw, offsets = W.utf8(texts)
         parts: dict[str, list] = {name: [] for name in names}
+        maximal = []
         for i, j in W.blocks(offsets):
-            for name, values in measure(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).items():
+            found = measure(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            maximal.append(found.pop("maximal"))
+            for name, values in found.items():
                 parts[name].extend(values)
         arrays = [pa.array(parts[name], kind if name == "repeats" else pa.int64()) for name in names]
-        return pa.StructArray.from_arrays(arrays, names=names)
+        return pa.StructArray.from_arrays([*arrays, pa.concat_arrays(maximal)], names=[*names, "maximal"])
 
     return work
 
@@ -119,9 +182,11 @@ def repetition(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     ``out``: ``n_words``, ``word_chars`` (code points in words), ``n_symbols``,
     ``n_dup_lines`` (lines with a word that equal an earlier one), ``n_repeat_words``
-    (words in repeated runs of ``MIN_WORDS`` and more), ``longest_repeat`` (words) and
-    ``repeats``, the maximal runs as first word and length. Null and empty texts have zeros
-    and no repeats; every row stands for itself, so repeated rows get equal results.
+    (words in repeated runs of ``MIN_WORDS`` and more), ``longest_repeat`` (words),
+    ``repeats``, the runs that no run starting one word earlier contains, as first word and
+    length, and ``maximal``, every maximal repeat of ``MIN_WORDS`` and more with its first place
+    and its number of occurrences (which may overlap). Null and empty texts have zeros and no
+    repeats; every row stands for itself, so repeated rows get equal results.
     """
     return rows_with(docs, text_col, RESULT, _compute)
 

@@ -397,3 +397,36 @@ def test_sharding_query_against_brute_force(spark):
     assert sum(sizes) == len(got) and max(sizes) - min(sizes) <= 1
     for k in range(40):
         assert [r.slot for r in ordered if r.shard == k] == list(range(sizes[k]))
+
+
+def test_maximal_repeats_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(list("ab"), n)) for n in (0, 4, 5, 9, 14, 30, 41)]
+    texts += ["a " * 12, " ".join(rng.choice(list("abcd"), 200)), "p q r s t u x p q r s t u y p q r s t z", None]
+    # The same passage in two texts is no repeat in either.
+    texts += ["one two three four five six seven", "one two three four five six seven"]
+
+    def brute(text):
+        w = words(text)
+        out = []
+        for length in range(5, len(w)):
+            where: dict[tuple, list[int]] = {}
+            for i in range(len(w) - length + 1):
+                where.setdefault(tuple(w[i : i + length]), []).append(i)
+            for at in where.values():
+                left = {w[i - 1] if i else None for i in at}
+                right = {w[i + length] if i + length < len(w) else None for i in at}
+                if len(at) > 1 and len(left) > 1 and len(right) > 1:
+                    out.append((at[0], length, len(at)))
+        return sorted(out)
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in repetition(docs).select("row.text", "out.maximal").collect():
+        assert [tuple(m) for m in r.maximal] == brute(r.text)
+
+
+def test_one_long_repeat_fails_a_text_that_the_base_rule_passes(spark):
+    once = " ".join(f"w{i}" for i in range(2_000))
+    docs = [(n, once + " " + " ".join(f"w{i}" for i in range(500, 500 + n))) for n in (100, 101)]
+    rows = judged(repetition(spark.createDataFrame(docs, "doc_id long, text string"))).select("row.doc_id", "base_failed", "kept")
+    assert sorted(map(tuple, rows.collect())) == [(100, False, True), (101, False, False)]
