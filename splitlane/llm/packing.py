@@ -192,7 +192,7 @@ def packed(
     )
     n_blocks = -(-n_docs // BLOCK_RESTS) or 1
     rests = cut.where(F.length("rest") > 0).select(
-        "doc_id", "n", "rest", (F.col("number") % n_blocks).alias("block")
+        "doc_id", "n", "rest", (F.col("number") % n_blocks).cast("int").alias("block")
     )
 
     def fill(block: pd.DataFrame) -> pd.DataFrame:
@@ -215,5 +215,6 @@ def packed(
             }
         )
 
-    # As many tasks as blocks, whatever the session's number of shuffle partitions.
-    return whole.unionByName(rests.repartition(n_blocks, "block").groupBy("block").applyInPandas(fill, whole.schema))
+    # Each block is a task of its own; by hash, one task would get several.
+    dealt = rests.repartitionById(n_blocks, F.col("block"))
+    return whole.unionByName(dealt.groupBy("block").applyInPandas(fill, whole.schema))
