@@ -2,8 +2,8 @@
 
 Each labeller votes good, bad or abstains on a text by one ratio. Expectation-maximisation
 over the counts of vote patterns (all texts; at most 3**6 patterns) estimates how often
-each labeller gives which vote for good and bad texts, and with that every pattern's
-posterior. The posteriors of a bounded pick of texts train a logistic scorer on hashed
+each labeller gives which vote for good texts and for each kind of junk, and with that every
+pattern's posterior. The posteriors of a bounded pick of texts train a logistic scorer on hashed
 word shapes, which then scores every text, also where all labellers abstain.
 """
 
@@ -29,6 +29,10 @@ STEPS = 150
 THRESHOLD = 0.5
 #: Share of good texts that a labeller calls bad, as assumed before seeing any.
 FALSE_ALARM = 0.001
+#: Share of its own kind of junk that a labeller calls bad, as assumed before seeing any.
+OWN_BAD = 0.99
+#: Texts that these two assumptions weigh.
+PRIOR_TEXTS = 200
 
 #: Words in which a word counts as seen before, so that the share does not grow with the text.
 WINDOW = 1000
@@ -123,29 +127,62 @@ def buckets(raw: np.ndarray, found: W.Words) -> tuple[np.ndarray, np.ndarray, np
     return owner, key % BUCKETS, np.sqrt(count / found.count[owner])
 
 
-def accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """Posterior probability of "good" for every vote pattern, by EM.
+class VoteModel:
+    """Good texts and some kinds of junk, fitted to vote patterns by EM.
 
-    Votes are independent given the class; abstaining says nothing. How often a labeller
-    finds a bad text is learned freely. That it calls a good one bad has a firm prior of
-    ``FALSE_ALARM``, else kinds of junk that one labeller alone sees would count as good.
+    Each kind belongs to a labeller that calls it bad; how the others vote on it is learned, and
+    so is how often each labeller calls a good text bad. Votes are independent given the kind;
+    abstaining says nothing. The kinds cover the texts with a bad vote: the labeller that calls
+    most of those left bad comes next, until fewer than ``FALSE_ALARM`` of all texts are left.
+    So junk that one labeller alone sees is a kind as any other, while a lone bad vote of a
+    labeller whose finds several others share may be overruled. The prior weighs
+    ``PRIOR_TEXTS`` texts, whatever the size of the corpus.
     """
-    total = counts.sum()
-    good = np.where((patterns == BAD).any(1), 0.1, 0.9)
-    for _ in range(rounds):
-        weights = np.stack([good, 1 - good]) * counts
-        log = np.log((weights.sum(1) + 1) / (total + 2))[:, None] + np.zeros((2, len(counts)))
-        for k in range(patterns.shape[1]):
-            vote = patterns[:, k]
-            table = np.stack([np.bincount(vote, w, 3)[:2] for w in weights]) + 0.5
-            table[0] += 10 * total * np.array([1 - FALSE_ALARM, FALSE_ALARM])
-            log += np.c_[np.log(table / table.sum(1, keepdims=True)), np.zeros(2)][:, vote]
-        new = 1 / (1 + np.exp(np.clip(log[1] - log[0], -500, 500)))
-        done = np.abs(new - good).max() < 1e-6
-        good = new
-        if done:
-            break
-    return good
+
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 5000):
+        n = patterns.shape[1]
+        self.cast = (patterns[:, :, None] == np.array([GOOD, BAD])).astype(float)
+        self.counts = counts
+        bad = self.cast[:, :, 1]
+        left = bad.any(1)
+        #: Labeller of each kind of junk.
+        self.kinds: list[int] = []
+        while counts[left].sum() > FALSE_ALARM * counts.sum():
+            self.kinds.append(int((counts[left] @ bad[left]).argmax()))
+            left &= bad[:, self.kinds[-1]] == 0
+        self.prior = np.ones((len(self.kinds) + 1, n, 2))
+        self.prior[0] = PRIOR_TEXTS * np.array([1 - FALSE_ALARM, FALSE_ALARM])
+        for kind, labeller in enumerate(self.kinds, 1):
+            self.prior[kind, labeller] = PRIOR_TEXTS * np.array([1 - OWN_BAD, OWN_BAD])
+        own = bad[:, self.kinds].T
+        seen = own.sum(0)
+        self.member = np.vstack([np.where(seen > 0, 0.1, 1), 0.9 * own / np.maximum(seen, 1)])
+        #: Logarithm of likelihood times prior after each round.
+        self.fits: list[float] = []
+        for _ in range(rounds):
+            before = self.member
+            self._maximise()
+            self.fits.append(self._expect())
+            if np.abs(self.member - before).max() < 1e-7:
+                break
+
+    def _maximise(self) -> None:
+        weight = self.member * self.counts
+        self.share = (weight.sum(1) + 1) / (weight.sum() + len(weight))
+        table = np.einsum("cp,plv->clv", weight, self.cast) + self.prior
+        self.table = table / table.sum(2, keepdims=True)
+
+    def _expect(self) -> float:
+        log = np.log(self.share)[:, None] + np.einsum("clv,plv->cp", np.log(self.table), self.cast)
+        top = log.max(0)
+        total = np.log(np.exp(log - top).sum(0)) + top
+        self.member = np.exp(log - total)
+        return float(self.counts @ total + np.log(self.share).sum() + (self.prior * np.log(self.table)).sum())
+
+
+def accuracies(patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Posterior probability of "good" for every vote pattern, by EM."""
+    return VoteModel(patterns, counts).member[0]
 
 
 class Scorer:
