@@ -8,12 +8,12 @@ Occurrences of whole windows mark words; extended to both sides they are the lon
 verbatim matches with their locations. Nothing is shuffled.
 
 The test set is the stated query set. It goes to the tasks in blocks of at most
-``TEST_BYTES`` of text, one pass over the training texts each.
+``TEST_BYTES`` of text, one pass over the training texts each; the driver holds one block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splitlane.llm import words as W
-from splitlane.llm.common import original, rows_with
+from splitlane.llm.common import numbered, original, rows_with, stored
 from splitlane.llm.suffixes import narrow, suffix_array
 
 WINDOW = 10
@@ -169,17 +169,20 @@ def searcher(test: TestItems) -> Callable[[], Callable[[pa.Array], pa.StructArra
     return compute
 
 
-def test_blocks(items: DataFrame, id_col: str, text_col: str, window: int) -> list[TestItems]:
-    """The test set in blocks of bounded size; one block is fetched at a time."""
+def test_blocks(items: DataFrame, id_col: str, text_col: str, window: int) -> tuple[int, Iterator[TestItems]]:
+    """Number of blocks of the test set, each of bounded size, and the blocks. A block is
+    fetched when it is asked for; at least one, empty without items, comes."""
     sized = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
     total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(total // TEST_BYTES) + 1
     part = F.pmod(F.xxhash64("id", "text"), F.lit(n))
-    out = []
-    for k in range(n):
-        rows = sized.where(part == k).orderBy("id", "text").collect() if n > 1 else sized.orderBy("id", "text").collect()
-        out.append(TestItems([r.id for r in rows], [r.text for r in rows], window))
-    return out
+
+    def fetch() -> Iterator[TestItems]:
+        for k in range(n):
+            rows = sized.where(part == k).orderBy("id", "text").collect()
+            yield TestItems([r.id for r in rows], [r.text for r in rows], window)
+
+    return n, fetch()
 
 
 def _merge(rows) -> list[dict]:
@@ -195,6 +198,45 @@ def merged(spans: Column) -> Column:
     return merge(spans)
 
 
+def _over_blocks(docs: DataFrame, text_col: str, blocks: Iterator[TestItems]) -> DataFrame:
+    """``contamination`` with several blocks: the hits of each are a written table before the
+    next block is fetched, and meet the documents again by their number."""
+    frame = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text")
+    )
+    frame, _ = numbered(frame, "spot", "contamination-docs")
+    hits = n_words = None
+    for block in blocks:
+        found = rows_with(frame.select("spot", "text"), "text", RESULT, searcher(block)).select("row.spot", "out.*")
+        if n_words is None:
+            n_words = stored(found, "contamination-first")
+            step = n_words.where(F.size("spans") > 0)
+            n_words = n_words.select("spot", "n_words")
+        else:
+            step = stored(found.where(F.size("spans") > 0), "contamination-block")
+        step = step.select("spot", "spans", "items", "matches")
+        hits = step if hits is None else hits.unionByName(step)
+    every = lambda field: F.flatten(F.collect_list(field))
+    hits = hits.groupBy("spot").agg(
+        every("spans").alias("spans"), every("items").alias("items"), every("matches").alias("matches")
+    )
+    none = lambda field: F.coalesce(F.col(field), F.array().cast(hits.schema[field].dataType))
+    return (
+        frame.select("spot", "row")
+        .join(n_words, "spot")
+        .join(hits, "spot", "left")
+        .select(
+            "row",
+            F.struct(
+                "n_words",
+                merged(none("spans")).alias("spans"),
+                F.sort_array(F.array_distinct(none("items"))).alias("items"),
+                F.array_sort(none("matches")).alias("matches"),
+            ).alias("out"),
+        )
+    )
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -213,25 +255,10 @@ def contamination(
     an item without id counts under the empty id, items sharing an id count once. Without
     items, or without documents, nothing is hit.
     """
-    blocks = test_blocks(benchmark, item_id, item_text, window)
-    if len(blocks) == 1:
-        return rows_with(docs, text_col, RESULT, searcher(blocks[0]))
-    columns = docs.columns
-    frame = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    for k, block in enumerate(blocks):
-        step = rows_with(frame, "text", RESULT, searcher(block))
-        frame = step.select("row.*", F.col("out").alias(f"out{k}"))
-    outs = [f"out{k}" for k in range(len(blocks))]
-    every = lambda field: F.flatten(F.array(*[F.col(o).getField(field) for o in outs]))
-    return frame.select(
-        "row",
-        F.struct(
-            F.col("out0.n_words").alias("n_words"),
-            merged(every("spans")).alias("spans"),
-            F.sort_array(F.array_distinct(every("items"))).alias("items"),
-            every("matches").alias("matches"),
-        ).alias("out"),
-    )
+    n, blocks = test_blocks(benchmark, item_id, item_text, window)
+    if n == 1:
+        return rows_with(docs, text_col, RESULT, searcher(next(blocks)))
+    return _over_blocks(docs, text_col, blocks)
 
 
 def hit_words(out: str = "out") -> Column:

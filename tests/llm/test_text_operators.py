@@ -152,6 +152,32 @@ def test_contamination_of_odd_texts_and_test_blocks(spark, odd_docs, no_docs, mo
     assert {(r.doc_id, tuple(r["items"]), r.hit) for r in blocked.collect()} == want
 
 
+def test_contamination_holds_one_test_block_at_a_time(spark, odd_docs, monkeypatch):
+    import gc
+    import weakref
+
+    from splitlane.llm import decontaminate
+
+    long_text = odd_docs.where("doc_id = 9").first().text.split(" ")
+    items = spark.createDataFrame([(k, " ".join(long_text[40 * k : 40 * k + 30])) for k in range(12)], "item_id long, text string")
+    once = {(r.doc_id, r.out) for r in contamination(odd_docs, items).select("row.doc_id", "out.spans").select("doc_id", F.to_json(F.struct("spans")).alias("out")).collect()}
+    alive, most, plain = [], [], decontaminate.TestItems
+
+    def made(*args):
+        gc.collect()
+        most.append(sum(r() is not None for r in alive))
+        block = plain(*args)
+        alive.append(weakref.ref(block))
+        return block
+
+    monkeypatch.setattr(decontaminate, "TestItems", made)
+    monkeypatch.setattr(decontaminate, "TEST_BYTES", 400)
+    found = contamination(odd_docs, items)
+    assert len(most) > 3 and max(most) <= 1  # the one before, until its place is taken
+    assert {(r.doc_id, r.out) for r in found.select("row.doc_id", F.to_json(F.struct("out.spans")).alias("out")).collect()} == once
+    assert found.count() == odd_docs.count()
+
+
 def test_repetition_equals_window_counts(spark, odd_docs, no_docs):
     docs = odd_docs.select("doc_id", "text").unionByName(common.table(spark, SF, "documents").select("doc_id", "text"))
     for r in judged(repetition(docs)).select("row.text", "out.*", "base_failed", "kept").collect():
