@@ -1,12 +1,14 @@
 """License scan by conditional compression and word differences.
 
-A candidate block is the words around licensing words (cues), to both sides as many as the
-longest license text can take, over line ends and comment marks. Every license text that a
-stretch of the block can equal but for a tenth of its words is held against it word by word;
-each such stretch is a confirmed find of its own. Whether one can is known from the number
-of shared words, so nothing is lost to a ranking. What a block has beside them is compressed
-by zstandard alone, and once with each license text as raw dictionary: the bytes saved, as a
-share of what the license text itself takes, say which near miss is compared and shown.
+Candidates come from the license texts' own words: of each text its longest words are anchors,
+one more than may differ, so a stretch that can be confirmed still holds one of them. The words
+around its anchors, to both sides as many as it can take, are candidate pieces for a license
+text, over line ends and comment marks; where they run together they are cut with overlap. A
+piece is compressed by zstandard alone, and with the license text as raw dictionary. The bytes
+saved, as a share of what the license text itself takes, rank the candidates, whatever the
+length of the line around. The winners, all that save enough, are confirmed by exact word
+differences; every stretch that equals a license text but for a tenth of its words is a find.
+Between them the nearest license text is shown as a near miss.
 """
 
 from __future__ import annotations
@@ -36,14 +38,27 @@ TEMPLATES = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("proprietary", "All rights reserved."),
 ]
-CUE = (
-    r"licen[sc]e|copyright|all[\W_]+rights[\W_]+reserved|permission[\W_]+is[\W_]+hereby|redistribut"
-    r"|creative[\W_]+commons|public[\W_]+domain|spdx"
-)
+# Wording of further public licenses and notices, and names of license identifiers.
+NOTICES = [
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."),
+]
+IDENTIFIERS = [
+    "MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1", "AGPL-3.0", "BSD-3-Clause", "BSD-2-Clause",
+    "ISC", "MPL-2.0", "Unlicense", "BSL-1.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "Zlib",
+]
+KNOWN = TEMPLATES + NOTICES + [(name, f"SPDX-License-Identifier: {name}") for name in IDENTIFIERS]
 
-LEVEL = 3
-#: Least saving, as a share of the license text's own compressed size, of a near miss.
+#: A level that leaves literals as they are: savings then are the bytes of matches, and do not
+#: depend on how well the words around the match can be entropy-coded.
+LEVEL = -1
+#: Least saving, as a share of the license text's own compressed size, of a winner.
 LEAST_REDUCTION = 0.1
+#: A piece of a long block has this many times the words of the longest stretch.
+PIECE = 4
 #: Most differing words, as a share of the template's, for a find to be confirmed.
 MOST_DIFFERENT = 0.1
 
@@ -66,10 +81,10 @@ def words_of(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     )
 
 
-def blocks(cues: list[tuple[int, int]], n_words: int, reach: int) -> list[tuple[int, int]]:
-    """Word ranges of ``reach`` words to both sides of each cue; what overlaps is one."""
+def blocks(marks: list[tuple[int, int]], n_words: int, reach: int) -> list[tuple[int, int]]:
+    """Word ranges of ``reach`` words to both sides of each mark; what overlaps is one."""
     out: list[tuple[int, int]] = []
-    for a, b in cues:
+    for a, b in marks:
         a, b = max(0, a - reach), min(n_words, b + reach)
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
@@ -118,12 +133,26 @@ def stretches(template: list[str], block: list[str], most: int) -> list[tuple[in
     return out
 
 
+def anchors(words: list[str], most: int) -> list[str]:
+    """The ``most`` + 1 longest different words; ``most`` edits leave one of them in place."""
+    return sorted(dict.fromkeys(words), key=lambda w: (-len(w), w))[: most + 1]
+
+
+def pieces(n_words: int, reach: int) -> list[tuple[int, int]]:
+    """Word ranges that hold every stretch of ``reach`` words whole."""
+    size = PIECE * reach
+    return [(a, min(a + size, n_words)) for a in range(0, max(n_words - reach, 1), size - reach)]
+
+
 class Scanner:
     def __init__(self, templates: list[tuple[str, str]]):
         import zstandard
 
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
+        empty = len(self.plain.compress(b""))
         self.known = []
+        #: Words that start a candidate, with the license texts they are anchors of.
+        self.anchors: dict[str, list[int]] = {}
         for name, text in templates:
             words = words_of(text)[0]
             if not words:
@@ -131,26 +160,51 @@ class Scanner:
             flat = " ".join(words).encode()
             raw = zstandard.ZstdCompressionDict(flat, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_dict_id=False)
-            self.known.append((name, words, squeeze, len(self.plain.compress(flat)), int(MOST_DIFFERENT * len(words))))
+            most = int(MOST_DIFFERENT * len(words))
+            self.known.append((name, words, squeeze, len(self.plain.compress(flat)) - empty, most))
+            for word in anchors(words, most):
+                self.anchors.setdefault(word, []).append(len(self.known) - 1)
         #: Words of the longest stretch that can be confirmed.
         self.reach = max((len(words) + most for _, words, _, _, most in self.known), default=0)
 
+    def winners(self, block: list[str]) -> list[tuple[float, int, int, int]]:
+        """Saving, license text, first and end word of the pieces that save enough, by saving."""
+        places: dict[int, list[tuple[int, int]]] = {}
+        for spot, word in enumerate(block):
+            for k in self.anchors.get(word, ()):
+                places.setdefault(k, []).append((spot, spot + 1))
+        out = []
+        for k, spots in places.items():
+            reach = len(self.known[k][1]) + self.known[k][4]
+            for a, b in blocks(spots, len(block), reach):
+                for at, to in pieces(b - a, reach):
+                    (saved,) = self._saved(block[a + at : a + to], [k])
+                    if saved >= LEAST_REDUCTION:
+                        out.append((saved, k, a + at, a + to))
+        return sorted(out, key=lambda f: (-f[0], *f[1:]))
+
+    def ranked(self, words: list[str]) -> list[int]:
+        """License texts that save enough on these words, the largest saving first."""
+        every = list(range(len(self.known)))
+        saved = self._saved(words, every)
+        return sorted((k for k in every if saved[k] >= LEAST_REDUCTION), key=lambda k: (-saved[k], k))
+
     def _saved(self, words: list[str], which: list[int]) -> list[float]:
         data = " ".join(words).encode()
         alone = len(self.plain.compress(data))
         return [(alone - len(self.known[k][2].compress(data))) / self.known[k][3] for k in which]
 
-    def __call__(self, block: list[str], cues: list[int]) -> list[tuple[str, int, int, float, int, int, bool]]:
+    def __call__(self, block: list[str], marks: list[int]) -> list[tuple[str, int, int, float, int, int, bool]]:
         """License, first and end word, reduction, differences, template words and whether
         they confirm it, of every confirmed stretch and of the best near miss between them."""
-        sure = [
-            (len(words) - apart, k, apart, a, b)
-            for k, (_, words, _, _, most) in enumerate(self.known)
-            for apart, a, b in stretches(words, block, most)
-        ]
+        found = {
+            (len(self.known[k][1]) - apart, k, apart, at + a, at + b)
+            for _, k, at, to in self.winners(block)
+            for apart, a, b in stretches(self.known[k][1], block[at:to], self.known[k][4])
+        }
         used = {name: np.zeros(len(block), bool) for name, *_ in self.known}
         out = []
-        for _, k, apart, a, b in sorted(sure, key=lambda s: (-s[0], s[1], s[3])):
+        for _, k, apart, a, b in sorted(found, key=lambda s: (-s[0], s[1], s[3], s[4])):
             name, words = self.known[k][:2]
             if used[name][a:b].any():
                 continue  # a shorter wording of the same license in the same place
@@ -161,7 +215,7 @@ class Scanner:
             edges.append((at, a))
             at = max(at, b)
         for a, b in [*edges, (at, len(block))]:
-            if bisect_left(cues, a) < bisect_left(cues, b):
+            if bisect_left(marks, a) < bisect_left(marks, b):
                 miss = self._nearest(block[a:b])
                 if miss:
                     name, x, y, *rest = miss
@@ -170,17 +224,20 @@ class Scanner:
 
     def _nearest(self, words: list[str]) -> tuple[str, int, int, float, int, int] | None:
         best = None
-        every = list(range(len(self.known)))
-        for k, saved in zip(every, self._saved(words, every), strict=True):
-            if saved < LEAST_REDUCTION:
-                continue
-            name, template = self.known[k][:2]
-            cost, start = _edits(template, words)
-            end = int(cost.argmin())
-            apart = int(cost[end])
-            if apart < len(template) and (best is None or (apart / len(template), -saved) < best[0]):
-                best = ((apart / len(template), -saved), (name, int(start[end]), end, saved, apart, len(template)))
-        return best[1] if best else None
+        for at, to in pieces(len(words), self.reach):
+            part = words[at:to]
+            for rank, k in enumerate(self.ranked(part)):
+                name, template = self.known[k][:2]
+                cost, start = _edits(template, part)
+                end = int(cost.argmin())
+                apart = int(cost[end])
+                order = (apart / len(template), rank, at)
+                if apart < len(template) and (best is None or order < best[0]):
+                    best = (order, (name, at + int(start[end]), at + end, k, apart, len(template)))
+        if not best:
+            return None
+        name, a, b, k, apart, size = best[1]
+        return name, a, b, self._saved(words[a:b], [k])[0], apart, size
 
 
 def scanning(templates: list[tuple[str, str]]) -> Callable[[], Callable[[pa.Array], pa.StructArray]]:
@@ -190,24 +247,23 @@ def scanning(templates: list[tuple[str, str]]) -> Callable[[], Callable[[pa.Arra
     )
 
     def compute() -> Callable[[pa.Array], pa.StructArray]:
-        scan, cue = Scanner(templates), re.compile(CUE, re.I)
+        scan = Scanner(templates)
+        likely_words = "|".join(map(re.escape, sorted(scan.anchors))) or r"[^\s\S]"
         seen: dict[tuple, list] = {}
 
         def work(texts: pa.Array) -> pa.StructArray:
-            likely = pc.match_substring_regex(texts, CUE, ignore_case=True).fill_null(False).to_pylist()
+            likely = pc.match_substring_regex(texts, likely_words, ignore_case=True).fill_null(False).to_pylist()
             n, found = [], []
             for text, look in zip(texts, likely, strict=True):
                 whole = text.as_py() if look else ""
                 words, first, end = words_of(whole)
-                places = [m.span() for m in cue.finditer(whole)] if words else []
-                begins = np.maximum(np.searchsorted(first, [a for a, _ in places], "right") - 1, 0).tolist()
-                ends = np.searchsorted(first, [b for _, b in places], "left").tolist()
-                spans = blocks(list(zip(begins, ends, strict=True)), len(words), scan.reach)
+                marks = [k for k, word in enumerate(words) if word in scan.anchors]
+                spans = blocks([(k, k + 1) for k in marks], len(words), scan.reach)
                 n.append(len(spans))
                 rows = []
                 for a, b in spans:
                     block = words[a:b]
-                    own = [c - a for c in begins[bisect_left(begins, a) : bisect_left(begins, b)]]
+                    own = [k - a for k in marks[bisect_left(marks, a) : bisect_left(marks, b)]]
                     key = (*block, *own)
                     if key not in seen:
                         if len(seen) > 2_000:
@@ -242,4 +298,4 @@ def license_scan(
     comment marks do not count. Null and empty texts have no blocks. Equal blocks get equal
     results.
     """
-    return rows_with(docs, text_col, RESULT, scanning(templates or TEMPLATES))
+    return rows_with(docs, text_col, RESULT, scanning(KNOWN if templates is None else templates))
